@@ -38,8 +38,6 @@ SEED = 42
 BLOCKS = [b for b in combinations(range(BYTES), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
 #: Members up to which a posting list is compared pair by pair.
 LIST_LIMIT = 2048
-#: Above it lies the node of fingerprints that only null doc_ids have.
-NO_ID = 1 << 62
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -232,11 +230,13 @@ def links(nodes: DataFrame) -> DataFrame:
 def groups(prints: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of every row of (doc_id, fp)."""
     prints = common.stored(prints.select("doc_id", "fp"), "prints")
-    unknown = F.lit(NO_ID) + F.shiftrightunsigned("fp", 3)
-    nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", unknown).alias("node")), "nodes")
-    roots = graph.components(links(nodes))
-    labels = common.stored(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component")), "labels")
-    return prints.join(labels, "fp").select("doc_id", "fp", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    nodes = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = graph.components(links(nodes.select("fp", F.col("fp").alias("node"))))
+    members = common.stored(roots.union(roots.select("root", "root").distinct()).toDF("fp", "root"), "members")
+    least = members.join(nodes, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    linked = members.join(least, "root").select("fp", "component", F.lit(True).alias("linked"))
+    labels = common.stored(nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component_id")), "labels")
+    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
