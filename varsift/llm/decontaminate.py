@@ -299,11 +299,11 @@ def contaminated(n_words, n_hit) -> F.Column:
     return (n_hit > 0) & (n_hit * 20 >= n_words)
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without those that are contaminated; the columns stay as they were."""
-    found = find_overlaps(docs.select(*(F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(docs.columns))), benchmark, f"d{docs.columns.index(text_col)}")
-    kept = found.where(~contaminated(F.col("n_words"), hit_words("hits")))
-    return kept.select(*(F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)))
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    found = find_overlaps(docs.toDF(*names), benchmark, names[docs.columns.index(text_col)])
+    return found.where(~contaminated(F.col("n_words"), hit_words("hits"))).select(*names).toDF(*docs.columns)
 
 
 def strip_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:

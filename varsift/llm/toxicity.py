@@ -325,9 +325,12 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def remove_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without those that score THRESHOLD or more; the columns stay as they were."""
-    return score(docs, train(docs, labels, held_out()), text_col).where(F.col("score") < THRESHOLD).select(*docs.columns)
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    field = train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, held_out())
+    scored = score(docs.toDF(*names), field, names[docs.columns.index(text_col)])
+    return scored.where(F.col("score") < THRESHOLD).select(*names).toDF(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
