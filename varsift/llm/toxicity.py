@@ -1,8 +1,8 @@
 """Toxic spans and document scores by a linear-chain conditional random field (operator 1).
 
-Training. Documents carry labels, tokens don't, so token labels are derived first: a word feature counts as toxic if
-its share among toxic documents, against that among the others, exceeds TAG_RATIO in log terms; tokens of toxic
-documents with such a feature are the toxic ones. Features are the word and its leading letters, hashed, so unseen
+Training. Documents carry labels, tokens don't, so token labels are derived first: a word is toxic if its share among
+toxic documents, against that among the others, exceeds TAG_RATIO in log terms and by more than chance over all features
+would make it; a word too rare to tell goes by its leading letters. Such words of toxic documents are toxic tokens. Features are the word and its leading letters, hashed, so unseen
 compounds of a known stem are found as well. Windows around those tokens and random windows train the field's weights
 (a two-state chain) by gradient ascent on the conditional likelihood; expected counts come from forward-backward.
 
@@ -16,8 +16,8 @@ The labelled sample is bounded by SAMPLE_DOCS documents of each label and SAMPLE
 order of a hash of doc_id, so the driver's work does not grow with the corpus. Scoring takes every text whole.
 
 Defined cases: a null or wordless text scores by its lack of evidence alone, near 0; null labels and null doc_ids are
-not learnt from; a doc_id with several labels counts once for each; repeated rows give repeated results; without any
-labelled row of either kind all scores are 0; an empty table gives an empty result; extra columns are ignored.
+not learnt from; a doc_id with several labels counts once for each; repeated rows give repeated results; without labelled rows of
+both kinds, or with too few to tell any word, all scores are 0; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from varsift.llm import common
 
 #: Bounds of the labelled sample: documents of each label, and bytes of a document that is learnt from.
 SAMPLE_DOCS, SAMPLE_TEXT = 2000, 32 << 10
-TAG_RATIO, LEAST_DOCS = 2.0, 3
+TAG_RATIO, LEAST_DOCS = 1.5, 4
 SLOTS = 1 << 18
 ROW = 64
 WINDOW = 24
@@ -177,10 +177,28 @@ def _summary(marginal: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.
     return largest, expected
 
 
+def unlike(docs: list[list[bytes]], label: list[int], shingle: int = 4) -> list[int]:
+    """Places of documents that aren't copies of earlier ones with the same label, as far as three minima of shingle
+    hashes tell: a text that was copied many times would else pass for evidence from many."""
+    from xxhash import xxh64_intdigest
+
+    seen: set[tuple[int, int, int]] = set()
+    kept = []
+    for i, (words, y) in enumerate(zip(docs, label)):
+        hashes = np.array([xxh64_intdigest(b" ".join(words[a : a + shingle])) for a in range(max(1, len(words) - shingle + 1))], np.uint64)
+        own = {(y, k, int((hashes * np.uint64(m)).min())) for k, m in enumerate((1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))}
+        if not own & seen:
+            kept.append(i)
+        seen |= own
+    return kept
+
+
 def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     """A field from labelled documents."""
     rng = np.random.default_rng(seed)
     docs = [tokens(t) for t in texts]
+    kept = unlike(docs, toxic)
+    docs, toxic = [docs[i] for i in kept], [toxic[i] for i in kept]
     label = np.array(toxic, int)
     totals = np.bincount(label, minlength=2)
     if not totals.min():
@@ -193,14 +211,36 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     seen = [Counter(), Counter()]
     for y, words in zip(toxic, docs):
         seen[y].update({f for w in set(words) for f in feats[w]})
-    toxic_features = {f for f, n in seen[1].items() if n >= LEAST_DOCS and np.log((n + 0.5) / (totals[1] + 1)) - np.log((seen[0][f] + 0.5) / (totals[0] + 1)) > TAG_RATIO}
-    marked = {w for w, fs in feats.items() if any(f in toxic_features for f in fs)}
-    # windows: around each toxic token of toxic documents, and as many from anywhere
+    share = totals[1] / totals.sum()
+    # twice-corrected for the number of features looked at, so that chance alone marks none
+    needed = np.log(max(2, len(seen[0] | seen[1]))) + 2
+
+    def evidence(n1: int, n0: int) -> float:
+        """Log likelihood of a feature's split over toxic and other documents against the overall share."""
+        n = n1 + n0
+        return n1 * np.log(n1 / (n * share)) + (n0 * np.log(n0 / (n * (1 - share))) if n0 else 0.0)
+
+    def leaning(f: int) -> bool:
+        return np.log(max(seen[1][f], 1e-9) * (1 - share) / (max(seen[0][f], 0.5) * share)) > TAG_RATIO
+
+    def toxic_word(fs: list[int]) -> bool:
+        """From the word itself to its shortest stem: the first that is certain decides."""
+        for f in (fs[0], *fs[:0:-1]):
+            if seen[1][f] + seen[0][f] >= LEAST_DOCS and not leaning(f):
+                return False
+            if leaning(f) and evidence(seen[1][f], seen[0][f]) > needed:
+                return True
+        return False
+
+    marked = {w for w, fs in feats.items() if toxic_word(fs)}
+    near = {w for w, fs in feats.items() if any(leaning(f) for f in fs)}
+    # windows: around words that are toxic, words that are like them, and from anywhere
     rows, tags = [], []
     for y, words in zip(toxic, docs):
         if not words:
             continue
-        hits = [i for i, w in enumerate(words) if y and w in marked][:8]
+        hits = [i for i, w in enumerate(words) if w in marked][:8]
+        hits += [i for i, w in enumerate(words) if w in near and w not in marked][:4]
         for i in [*hits, *rng.integers(0, len(words), 2).tolist()]:
             a = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
             if len(words) >= WINDOW:
@@ -211,7 +251,7 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     tag_rows = np.array(tags, int).reshape(-1, WINDOW)
     width = 4
     table = {w: fs + [SLOTS] * (width - len(fs)) for w, fs in feats.items()}
-    for _ in range(6):
+    for _ in range(10):
         order = rng.permutation(len(rows))
         for part in np.array_split(order, max(1, len(order) // 256)):
             if not len(part):
@@ -235,12 +275,14 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     lengths = np.array([len(w) for w in docs])
     known = {w: field.evidence(w) for w in feats}
     x = _document_features(*_summary(field.marginals(np.array([known[w] for words in docs for w in words]), lengths), lengths))
-    w = np.zeros(3)
-    share = np.where(label == 1, 0.5 / totals[1], 0.5 / totals[0])
+    if not marked:  # too few labels to tell any word: no evidence against any document
+        return field
+    w, ridge = np.zeros(3), 1 / len(docs)
+    each = np.where(label == 1, 0.5 / totals[1], 0.5 / totals[0])
     for _ in range(50):  # Newton steps with a small ridge
         p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (share * (label - p)) - 1e-4 * w
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(3)
+        slope = x.T @ (each * (label - p)) - ridge * w
+        curve = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(3)
         step = np.linalg.solve(curve, slope)
         w += step
         if abs(step).max() < 1e-9:
