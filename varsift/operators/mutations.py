@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from varsift.functions import sequence
 from varsift.operators import fitness
 
-#: Singles up to this many rows are broadcast to the doubles; there are at most 20 a position.
+#: Singles are broadcast to the doubles up to this many rows. There are at most 21 a position, one for each other
+#: letter, so the length of the reference bounds them before anything is counted.
 BROADCAST_SINGLES = 500_000
+LETTERS = 21
 
 
 def drop_uncorr(df: DataFrame) -> DataFrame:
@@ -37,10 +39,10 @@ def singles(df: DataFrame, ref: str, coding: bool) -> DataFrame:
     return drop_uncorr(_at(df.where(F.col(distance) == 1), seq, ref, 1))
 
 
-def lookup(doubles: DataFrame, singles_df: DataFrame, payload: dict[str, str]) -> DataFrame:
+def lookup(doubles: DataFrame, singles_df: DataFrame, payload: dict[str, str], length: int) -> DataFrame:
     """Columns of the singles at both positions of the doubles; payload: column -> name pattern with {} for 1 and 2."""
     side = singles_df.select("Pos", "Mut", *payload)
-    small = side.limit(BROADCAST_SINGLES + 1).count() <= BROADCAST_SINGLES
+    small = LETTERS * length <= BROADCAST_SINGLES
     for i in (1, 2):
         one = side.select(F.col("Pos").alias(f"Pos{i}"), F.col("Mut").alias(f"Mut{i}"), *[F.col(c).alias(name.format(i)) for c, name in payload.items()])
         doubles = doubles.join(F.broadcast(one) if small else one, [f"Pos{i}", f"Mut{i}"], "left")
@@ -53,7 +55,7 @@ def doubles(df: DataFrame, singles_df: DataFrame | None, ref: str, coding: bool)
     found = _at(df.where(F.col(distance) == 2), seq, ref, 2)
     if singles_df is None or "mean_count" not in singles_df.columns:
         return found.withColumns({f"s{i}_mean_count": F.lit(None).cast("double") for i in (1, 2)})
-    return lookup(found, singles_df, {"mean_count": "s{}_mean_count"})
+    return lookup(found, singles_df, {"mean_count": "s{}_mean_count"}, len(ref))
 
 
 # Columns of the reports, in order.
@@ -86,10 +88,9 @@ def _by_merge_seq(df: DataFrame) -> DataFrame:
     return df.drop("nt_seq").withColumnRenamed("merge_seq", "nt_seq") if "merge_seq" in df.columns else df
 
 
-def merged_tables(everything: DataFrame, singles_df: DataFrame, doubles_df: DataFrame, reps: Sequence[int], coding: bool) -> dict[str, DataFrame]:
+def merged_tables(everything: DataFrame, singles_df: DataFrame, doubles_df: DataFrame, reps: Sequence[int], coding: bool, length: int) -> dict[str, DataFrame]:
     """All result tables: fitness merged over replicates, nucleotides blanked where they aren't one variant's."""
     every = _by_merge_seq(fitness.merge(everything, reps))
-    # merged singles first get their own names, as fitness{E} of replicates 1 and 2 would else meet the doubles' columns
     single = _by_merge_seq(fitness.merge(singles_df, reps, suffix=""))
     double = _by_merge_seq(fitness.merge(doubles_df, reps, fitness="fitness_uncorr", sigma="sigma_uncorr"))
     changed, indel = F.coalesce("Nham_aa", F.lit(0)) > 0, F.coalesce("indel", F.lit(False))
@@ -102,7 +103,7 @@ def merged_tables(everything: DataFrame, singles_df: DataFrame, doubles_df: Data
     if coding:
         every = every.where(F.coalesce("WT", F.lit(False)) | changed | indel)
     double = double.drop(*[f"{k}{i}" for k in ("fitness", "sigma") for i in (1, 2)])
-    double = lookup(double, single, {"fitness": "fitness{}", "sigma": "sigma{}"})
+    double = lookup(double, single, {"fitness": "fitness{}", "sigma": "sigma{}"}, length)
     out, database = finalise_singles(single, coding)
     tables = {"all_variants": every, "wildtype": wildtype, "singles": out, "doubles": finalise_doubles(double, coding), "database": database}
     return tables | ({"synonymous": synonymous} if coding else {})

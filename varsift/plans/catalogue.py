@@ -64,7 +64,7 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wild(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
-    rows = retained(spark, sf_dir)
+    rows = retained(spark, sf_dir).persist()  # the scalars and the result come from one pass
     return rows, fitness.wildtype_counts(rows, REPS)
 
 
@@ -74,7 +74,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fitness.calculate_fitness(retained(spark, sf_dir), config(), REPS)
+    return fitness.calculate_fitness(retained(spark, sf_dir).persist(), config(), REPS)
 
 
 # --- the same steps in SQL ----------------------------------------------------------------------------------------
@@ -378,7 +378,7 @@ _ABOVE = " and ".join(f"count_e{e}_s0 > t" for e in REPS)
 
 @query(f"with {P1_SQL} select nt_seq, {_ALL} as all_reads, {_ABOVE} as above from retained cross join least")
 def usable_variants(spark, sf_dir):
-    rows = retained(spark, sf_dir)
+    rows = retained(spark, sf_dir).persist()
     least = error_model.input_threshold(rows, REPS).first()[0]
     return rows.select("nt_seq", estimates.all_reads(REPS).alias("all_reads"), estimates.inputs_above(REPS, least).alias("above"))
 
@@ -467,7 +467,7 @@ def _tables(spark, sf_dir, coding: bool = True) -> dict[str, DataFrame]:
     own = rows.where("error_model")
     ref = WT_AMINO if coding else WT
     single = mutations.singles(own, ref, coding)
-    return mutations.merged_tables(rows, single, mutations.doubles(own, single, ref, coding), REPS, coding) | {"own": own, "single": single}
+    return mutations.merged_tables(rows, single, mutations.doubles(own, single, ref, coding), REPS, coding, len(ref)) | {"own": own, "single": single}
 
 
 @query(f"with {_AAS} select Pos, Mut, WT_AA, merge_seq as aa_seq, round(mean_count, 6) as mean_count, round(fitness, 6) as fitness, round(sigma, 6) as sigma from singles")
@@ -586,7 +586,7 @@ _GROWTH = (
 
 @query(f"with {_GROWTH} select nt_seq, round(fitness * m + c, 6) as growthrate, round(sigma * abs(m), 6) as growthrate_sigma from merged cross join last")
 def growth_rate(spark, sf_dir):
-    done = growth.infer(fitness.merge(estimated(spark, sf_dir), REPS), design(), REPS)
+    done = growth.infer(fitness.merge(estimated(spark, sf_dir), REPS).persist(), design(), REPS)
     return done.select("nt_seq", r6("growthrate", "growthrate"), r6("growthrate_sigma", "growthrate_sigma"))
 
 
@@ -713,14 +713,14 @@ def pair_merge(spark, sf_dir):
 
 @query()
 def norm_model(spark, sf_dir):
-    _, norm = error_model.fit(retained(spark, sf_dir), REPS, True, True, n_bootstraps=1)
+    _, norm = error_model.fit(retained(spark, sf_dir).persist(), REPS, True, True, n_bootstraps=1)
     row = norm.row()
     return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} double" for k in row))
 
 
 @query()
 def error_model_fit(spark, sf_dir):
-    errors, _ = error_model.fit(retained(spark, sf_dir), REPS, True, True)
+    errors, _ = error_model.fit(retained(spark, sf_dir).persist(), REPS, True, True)
     return spark.createDataFrame([tuple(r.values()) for r in errors.rows], "parameter string, rep int, mean_value double, CI90_lower double, CI90_upper double, ensemble int")
 
 

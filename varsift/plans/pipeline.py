@@ -149,11 +149,13 @@ def fitness_tables(retained: DataFrame, config: RunConfig, design: ExperimentDes
         rows = fitness.aggregate_counts(rows, reps, synonyms)
     else:
         rows = rows.withColumn("merge_seq", F.col("nt_seq"))
+    rows = rows.persist()  # small next to the reads, and the models, scalars and all tables come from it
     errors, norm = error_model.fit(rows, reps, config.fitness_normalise, config.fitness_error_model)
     rows = fitness.add_dropout_pseudocount(rows, config.fitness_dropout_pseudocount, reps)
     every = fitness.calculate_fitness(rows, config, reps, errors, norm)
     if config.coding and not config.mixed_substitutions:
         every = fitness.aggregate_fitness(every, reps)
+    every = every.persist()
     own = every.where(F.coalesce("error_model", F.lit(True)))
     target = sequence.translate_text(ref) if config.coding else ref
     single = mutations.singles(own, target, config.coding)
@@ -164,7 +166,7 @@ def fitness_tables(retained: DataFrame, config: RunConfig, design: ExperimentDes
         single = fitness.by_generations(single, generations, reps, suffix="")
     if design.has_growth_data():
         every = growth.infer(fitness.merge(every, reps), design, reps)
-    return mutations.merged_tables(every, single, double, reps, config.coding), every, errors, norm
+    return mutations.merged_tables(every, single, double, reps, config.coding, len(target)), every, errors, norm
 
 
 def run_fitness(retained: DataFrame, stats: DataFrame, config: RunConfig, design: ExperimentDesign, reps: list[int]) -> dict[str, DataFrame]:
