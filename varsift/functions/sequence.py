@@ -202,10 +202,14 @@ def annotate_batch(seqs: pd.Series, wt: str, coding: bool) -> pd.DataFrame:
 
 
 def annotate(wt: str, coding: bool):
-    """A pandas UDF from a sequence to the ANNOTATION struct."""
+    """A pandas UDF from a sequence to the ANNOTATION struct.
+
+    It is declared nondeterministic, though it isn't, so that the optimiser neither repeats it for each field nor pushes
+    a filter on its result below the aggregation that makes sequences distinct.
+    """
 
     @F.pandas_udf(ANNOTATION)
     def run(seqs: pd.Series) -> pd.DataFrame:
         return annotate_batch(seqs, wt, coding)
 
-    return run
+    return run.asNondeterministic()

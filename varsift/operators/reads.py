@@ -120,13 +120,13 @@ def nearest_barcode(barcodes1: list[str], barcodes2: list[str] | None, rate: flo
         def single(seq1: pd.Series) -> pd.Series:
             return pick([barcode_errors(seq1, barcodes1)])
 
-        return single
+        return single.asNondeterministic()  # once a read, not once for each use
 
     @F.pandas_udf("int")
     def paired(seq1: pd.Series, seq2: pd.Series) -> pd.Series:
         return pick([barcode_errors(seq1, barcodes1), barcode_errors(seq2, barcodes2)])
 
-    return paired
+    return paired.asNondeterministic()
 
 
 def demultiplex(reads: DataFrame, design: list[dict], rate: float, paired: bool = True) -> DataFrame:
@@ -211,7 +211,7 @@ def trim(reads: DataFrame, side: str, adapter: Adapter, rate: float, overlap: in
     def spans(seqs: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([trim_span(s, adapter, rate, overlap) for s in seqs], columns=["start", "end", "found"])
 
-    reads = reads.withColumn("_t", spans(seq))
+    reads = reads.withColumn("_t", spans.asNondeterministic()(seq))
     at, width = F.col("_t.start") + 1, F.col("_t.end") - F.col("_t.start")
     return reads.withColumns({seq: F.substring(F.col(seq), at, width), qual: F.substring(F.col(qual), at, width), f"trimmed{side}": F.col("_t.found")}).drop("_t")
 
@@ -282,7 +282,7 @@ def orient(pairs: DataFrame, forward: str, reverse: str, rate: float, overlap: i
         return pd.Series([score(s, reverse) > score(s, forward) for s in seqs])
 
     turn = F.col("swapped")
-    pairs = pairs.withColumn("swapped", swapped("seq1"))
+    pairs = pairs.withColumn("swapped", swapped.asNondeterministic()("seq1"))
     exchanged = {f"{k}{i}": F.when(turn, F.col(f"{k}{3 - i}")).otherwise(F.col(f"{k}{i}")) for k in ("seq", "qual") for i in (1, 2)}
     return pairs.select(*[c for c in pairs.columns if c not in exchanged], *[c.alias(n) for n, c in exchanged.items()])
 
@@ -340,7 +340,7 @@ def merge_pairs(pairs: DataFrame, config: RunConfig) -> DataFrame:
     def merged(s1: pd.Series, q1: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([merge_pair(*row, *options) for row in zip(s1, q1, s2, q2)], columns=["seq", "qual", "reason"])
 
-    out = pairs.withColumn("_m", merged("seq1", "qual1", "seq2", "qual2")).withColumns({"seq": F.col("_m.seq"), "qual": F.col("_m.qual")})
+    out = pairs.withColumn("_m", merged.asNondeterministic()("seq1", "qual1", "seq2", "qual2")).withColumns({"seq": F.col("_m.seq"), "qual": F.col("_m.qual")})
     low = F.coalesce(least_quality("qual") < config.vsearch_min_qual, F.lit(False))
     return out.withColumn("fail_reason", F.coalesce(F.col("_m.reason"), F.when(low, F.lit("Min_Q_too_low")))).drop("_m")
 
