@@ -52,7 +52,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about `most` bytes of text each, so that work arrays stay small."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = [x or 0 for x in pc.binary_length(column).to_pylist()]

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varsift.llm import common, pretokens
-from varsift.llm.bpe import CACHED_PIECES
 
+#: Distinct pieces that a worker keeps; beyond it the cache starts anew, so memory stays bounded.
+CACHED_PIECES = 700_000
 MAGIC = b"VSTOKEN1"
 #: A select sample for so many ends.
 SAMPLE = 256
@@ -144,14 +145,18 @@ class LibraryCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
 
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encode those not known yet in one call of the library."""
-        new = list({p for p in pieces if p not in self})
-        if len(self) + len(new) > CACHED_PIECES:
-            self.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            self[piece] = np.array(found.ids, "<u4").tobytes()
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece; those not known yet are encoded in one call of the library."""
+        found = list(map(self.get, pieces))
+        if None in found:
+            new = list({p for p, ids in zip(pieces, found) if ids is None})
+            if len(self) + len(new) > CACHED_PIECES:
+                self.clear()
+            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+            fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, encoded)}
+            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
+            self.update(fresh)
+        return found
 
 
 @lru_cache(2)
@@ -166,9 +171,7 @@ def encode_texts(texts: list[bytes], path: str, ranges) -> list[bytes]:
     """Ids of each text, packed in 32 bits. A text with a special token's string goes to the library whole."""
     library = _library(path)
     pieces = pretokens.Pieces(texts, ranges)
-    cut = pieces.slices()
-    library.learn(cut)
-    packed = list(map(library.__getitem__, cut))
+    packed = library.ids(pieces.slices())
     bounds = pieces.bounds.tolist()
     out = [b"".join(packed[a:b]) for a, b in zip(bounds, bounds[1:])]
     for special in map(str.encode, library.added):
@@ -179,14 +182,8 @@ def encode_texts(texts: list[bytes], path: str, ranges) -> list[bytes]:
 
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
-READ = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("n_tokens", T.LongType()),
-        T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
-    ]
-)
+READ = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
+IDS = T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -234,9 +231,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
     return manifest
 
 
-def read_tokens(spark: SparkSession, manifest: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids of every document of a written store."""
-    to = common.arrow_schema(READ)
+def read_tokens(spark: SparkSession, manifest: str, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, the crc32 of the ids as little-endian 32-bit integers,
+    and on request the ids, of every document of a written store."""
+    schema = T.StructType([*READ.fields, *[IDS] * ids])
+    to = common.arrow_schema(schema)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +246,12 @@ def read_tokens(spark: SparkSession, manifest: str) -> DataFrame:
                 ends = np.r_[0, shard.ends.values()]
                 for a in range(0, len(shard.doc_ids), 4096):
                     b = min(a + 4096, len(shard.doc_ids))
-                    lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(shard.ids[ends[a] : ends[b]].astype(np.int32)))
-                    columns = [pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(row["base"] + ends[a:b]), pa.array(np.diff(ends[a : b + 1])), lists]
+                    part = shard.ids[ends[a] : ends[b]].astype("<u4")
+                    own = ends[a : b + 1] - ends[a]
+                    sums = [zlib.crc32(part[x:y]) for x, y in zip(own, own[1:])]
+                    columns = [pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(row["base"] + ends[a:b]), pa.array(np.diff(own)), pa.array(sums, pa.int64())]
+                    if ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(part.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, to)], schema=to)
 
     # a row for each shard of some million ids: small enough for one running sum
@@ -256,21 +259,7 @@ def read_tokens(spark: SparkSession, manifest: str) -> DataFrame:
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
     spread = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return common.map_arrow(spread, read, READ)
-
-
-def with_crc32(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian 32-bit integers."""
-    schema = T.StructType([*READ.fields[:3], T.StructField("ids_crc32", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            flat, at = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=schema.fieldNames())
-
-    return common.map_arrow(tokens, run, schema)
+    return common.map_arrow(spread, read, schema)
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,4 +267,4 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     manifest = write_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), common.scratch(spark, "tokens"), end_id=2)
-    return with_crc32(read_tokens(spark, manifest))
+    return read_tokens(spark, manifest, ids=False)
