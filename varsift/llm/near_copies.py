@@ -11,10 +11,13 @@ similarity, with a standard error of 0.014 at 0.8. A pair that a short fingerpri
 before that.
 
 Texts that are equal but for case and blanks are one node (a 64-bit hash of the words; two of 10^10 different texts
-meet with odds of 10^-9 a text). Posting lists of up to LIST_LIMIT nodes give all their pairs. Longer ones, which large
-groups of near copies make, first link every node with the list's least and with its neighbour; once those links have
-been joined into components, the lists give the pairs between different components, all of them, so that no link
-between components is lost and members of one component aren't paired again.
+meet with odds of 10^-9 a text). Posting lists of up to LIST_LIMIT nodes give their pairs, which are verified by a join.
+The members of longer lists, which large groups of near copies make, meet once more with their whole fingerprints: all
+pairs of a list are compared there, in blocks, and what comes out is a spanning forest of the similar ones, so the rows
+grow with the members and no link is lost. A list of more than HELD members would come in parts that share one.
+
+Defined cases: a null text is an empty one, and all wordless texts are copies of each other; a null doc_id stands behind
+all others; repeated rows are copies; an empty table gives an empty result; extra columns are kept by keep_one().
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from varsift.llm.simhash import shingle_hashes
 WORDS, SIMILARITY = 5, 0.8
 PLANES, GROUP = 48, 3
 GROUPS = PLANES * 8 // GROUP
-LIST_LIMIT = 32
+LIST_LIMIT = 6
 #: Bits in which the first 64 may differ; at a similarity of 0.8, ten do, and more than this with odds of 10^-5.
 SKETCH_DISTANCE = 23
 
@@ -143,15 +146,21 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 PAIRS = "a long, b long, key long"
 #: Members of one list that a task holds at once; longer ones come in parts that share a member.
-HELD = 1 << 20
+HELD = 1 << 18
+
+
+def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
+    """The first three columns as arrays, and a fourth of prints as rows of words."""
+    out = [batch.column(i).to_numpy() for i in range(3)]
+    return out if n == 3 else [*out, batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, PLANES)]
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
+def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[np.ndarray], int | None]]:
     """Whole lists of a partition sorted by key, many at a time; the key of a list that comes in parts."""
     carry: list[np.ndarray] | None = None
     parted = None
     for batch in batches:
-        rows = [batch.column(i).to_numpy() for i in range(3)]
+        rows = _columns(batch, n)
         rows = [np.concatenate(x) for x in zip(carry, rows)] if carry else rows
         if not len(rows[0]):
             continue
@@ -176,8 +185,8 @@ def _triples(a: np.ndarray, b: np.ndarray | None, key: np.ndarray) -> pa.RecordB
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the lists of a partition sorted by key; the members of long lists are handed on (b is null)."""
-    for (key, node, sketch), parted in _windows(batches):
+    """Candidate pairs of the short lists of a partition sorted by key; members of longer ones go on (b is null)."""
+    for (key, node, sketch), parted in _windows(batches, 3):
         edges = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.r_[0, edges], np.r_[edges, len(key)]
         sizes = ends - starts
@@ -189,12 +198,49 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)) <= SKETCH_DISTANCE
             if near.any():
                 yield _triples(node[a[near]], node[b[near]], key[a[near]])
-        for s in np.flatnonzero(long):
-            own = slice(starts[s], ends[s])
-            n, k = node[own], key[own]
-            order = np.argsort(sketch[own], kind="stable")
-            yield _triples(np.r_[n, n[order[:-1]]], np.r_[np.full(len(n), n.min()), n[order[1:]]], np.r_[k, k[1:]])
-            yield _triples(n, None, k)
+        own = np.repeat(long, sizes)
+        if own.any():
+            yield _triples(node[own], None, key[own])
+
+
+def _spanning(node: np.ndarray, size: np.ndarray, prints: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Edges that connect exactly the members of a list that similar pairs connect: fewer than members. Every pair is
+    compared on all bits, block by block, but none is emitted."""
+    n = len(node)
+    label = np.arange(n)
+    u: list[int] = []
+    v: list[int] = []
+    roots = np.sqrt(size.astype(float))
+    for a in range(0, n, 256):
+        b = min(a + 256, n)
+        differ = np.zeros((b - a, b), np.int32)
+        for w in range(PLANES):
+            differ += np.bitwise_count(prints[a:b, w, None] ^ prints[None, :b, w])
+        shared = np.cos(differ * (math.pi / (64 * PLANES))) * roots[a:b, None] * roots[None, :b]
+        close = shared * (1 + similarity) >= similarity * (size[a:b, None] + size[None, :b])
+        for i in range(a, b):
+            met = np.unique(label[:i][close[i - a, :i]])
+            if len(met):
+                u += [int(node[i])] * len(met)
+                v += node[met].tolist()
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
+                label[i] = met[0]
+    return u, v
+
+
+def _linked(similarity: float):
+    """Spanning edges of the long lists of a partition sorted by key; rows: key, content, size, print."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node, size, prints), _ in _windows(batches, 4):
+            edges = np.flatnonzero(np.diff(key)) + 1
+            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(key)].tolist()):
+                if b - a > 1:
+                    u, v = _spanning(node[a:b], size[a:b], prints[a:b], similarity)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -209,15 +255,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.where((total > 0) & (common_size * (1 + similarity) >= total * similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _across(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs between different components within long lists. lists: key, content."""
-    labelled = lists.join(roots.select(F.col("node").alias("content"), "root"), "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
-    counts = labelled.select("key", "root").distinct().groupBy("key").count().where("count > 1").select("key")
-    rows = labelled.join(counts, "key")
-    other = rows.select("key", F.col("content").alias("other"), F.col("root").alias("other_root"))
-    return rows.join(other, "key").where("root < other_root").select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b"), "key")
-
-
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """content, least (smallest doc_id of the text), root and keep: keep holds for one text of each group of near copies,
     the one of the smallest doc_id."""
@@ -226,12 +263,12 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     postings = common.map_arrow(nodes.where("size > 0").select("content", "print"), _postings, POSTINGS)
     named = common.stored(common.map_arrow(postings.repartition(parts, "key").sortWithinPartitions("key"), _pairs, PAIRS), "pairs")
-    edges = common.stored(_verified(named.where("b is not null"), nodes, similarity), "links")
+    edges = _verified(named.where("b is not null"), nodes, similarity)
+    members = named.where("b is null").select("key", F.col("a").alias("content"))
+    if not members.isEmpty():
+        whole = members.join(nodes.select("content", "size", "print"), "content").select("key", "content", "size", "print")
+        edges = edges.union(common.map_arrow(whole.repartition(parts, "key").sortWithinPartitions("key"), _linked(similarity), "u long, v long"))
     roots = graph.components(edges)
-    long_lists = named.where("b is null").select("key", F.col("a").alias("content"))
-    if not long_lists.isEmpty():
-        more = common.stored(_verified(_across(long_lists, roots), nodes, similarity), "links")
-        roots = graph.components(edges.union(more))
     labelled = common.stored(nodes.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", F.coalesce("root", "content").alias("root")), "labels")
     first = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content")).alias("first"))
     return labelled.join(first.select("root", F.col("first.content").alias("kept")), "root").select("content", "least", "root", (F.col("content") == F.col("kept")).alias("keep"))
