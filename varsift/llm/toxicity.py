@@ -120,12 +120,16 @@ class Field:
         move = np.exp(self.trans)
         # each row's product of transfer matrices, scaled; what fills a text's last row changes nothing
         product = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+        head = np.zeros(n, bool)
+        head[first[rows > 0]] = True  # no transition leads into a text's first token
         for t in range(ROW):
             step = product @ move
+            if not t:
+                step[head] = product[head]
             step[:, :, 1] *= push[t][:, None]
             step /= step.sum((1, 2), keepdims=True)
             product = np.where(real[t][:, None, None], step, product)
-        # chain the rows of each text, all texts at once; the state before a text is either, as likely
+        # chain the rows of each text, all texts at once
         enter, leave = np.ones((n, 2)), np.ones((n, 2))
         for k in range(1, int(rows.max())):
             at = first[rows > k] + k
@@ -139,6 +143,8 @@ class Field:
         at = enter
         for t in range(ROW):
             step = at @ move
+            if not t:
+                step[head] = at[head]
             step[:, 1] *= push[t]
             step /= step.sum(1, keepdims=True)
             at = np.where(real[t][:, None], step, at)
