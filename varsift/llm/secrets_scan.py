@@ -6,8 +6,8 @@ documents in which the base rules label the random strings and all other tokens
 CANDIDATE_LEAST or more characters is a secret if its log-likelihood ratio reaches RATIO and it touches no base span.
 
 Counting, training data and scoring all run as DataFrame operations; the driver gets at most 2 * 69 * 69 counts of
-character pairs and sends them back as one literal array. Add-one smoothing toward uniform characters makes the models
-defined on any sample, even an empty one.
+character pairs and sends them back as one literal array. Smoothing makes the models defined on any sample, even an
+empty one.
 
 Defined cases: a null text is an empty one and has no spans; a null doc_id is carried; repeated rows give repeated
 results; an empty table gives an empty result; extra columns are ignored.
@@ -35,6 +35,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LEAST
 TOKEN = r"[A-Za-z0-9+/_=-]{6,}"
 #: Natural logarithm of the odds that a token must reach.
 RATIO = 15.0
+#: Weight, in counts, of what a model expects before it has seen a pair of characters.
+LEANING = 100.0
 #: Documents of the training sample.
 SAMPLE_DOCS = 4000
 
@@ -82,15 +84,35 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
     pairs = F.zip_with(F.concat(F.array(F.lit(0)), states), states, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     # the aggregate has at most 2 * STATES * STATES rows
     counts = labelled.select("random", F.explode(pairs).alias("p")).where("p.a is not null and p.b > 0").groupBy("random", "p.a", "p.b").count().collect()
-    seen = {(r["random"], r["a"], r["b"]): r["count"] for r in counts}
-    totals: dict[tuple[int, int], int] = {}
-    for (kind, a, _), n in seen.items():
-        totals[kind, a] = totals.get((kind, a), 0) + n
+    return ratios({(r["random"], r["a"], r["b"]): r["count"] for r in counts})
+
+
+def _kind(state: int) -> int:
+    """Start, lower case, upper case, digit, other."""
+    return 0 if not state else 1 if state <= 26 else 2 if state <= 52 else 3 if state <= 62 else 4
+
 
-    def log_p(kind: int, a: int, b: int) -> float:
-        # one count for each possible successor; random strings lean to uniform until there is evidence
-        prior = 1.0 if kind == 0 else 4.0
-        return math.log((seen.get((kind, a, b), 0) + prior) / (totals.get((kind, a), 0) + prior * (STATES - 1)))
+def ratios(seen: dict[tuple[int, int, int], int]) -> list[float]:
+    """Log-likelihood ratios from counts by (random, before, after).
+
+    Pairs of characters lean on what their model expects without having seen them: random strings on uniform
+    characters, identifiers on how often one kind of character follows another.
+    """
+    totals: dict[tuple[int, int], int] = {}
+    kinds: dict[tuple[int, int], int] = {}
+    for (random, a, b), n in seen.items():
+        totals[random, a] = totals.get((random, a), 0) + n
+        if not random:
+            kinds[_kind(a), _kind(b)] = kinds.get((_kind(a), _kind(b)), 0) + n
+    sizes = {1: 26, 2: 26, 3: 10, 4: 5}
+
+    def log_p(random: int, a: int, b: int) -> float:
+        if random:
+            expected = 1 / (STATES - 1)
+        else:
+            row = [kinds.get((_kind(a), k), 0) + 1 for k in sizes]
+            expected = row[_kind(b) - 1] / sum(row) / sizes[_kind(b)]
+        return math.log((seen.get((random, a, b), 0) + LEANING * expected) / (totals.get((random, a), 0) + LEANING))
 
     return [log_p(1, a, b) - log_p(0, a, b) if b else 0.0 for a in range(STATES) for b in range(STATES)]
 
