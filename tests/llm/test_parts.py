@@ -104,7 +104,7 @@ def test_strip_and_remove(spark):
     item = " ".join(f"w{i}" for i in range(15))
     frame = docs(spark, [f"Keep. {item}, end", "clean", None], hits=["x", "y", "z"])
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    assert [r.text for r in decontaminate.strip_spans(frame.select("doc_id", "text"), bench).orderBy("doc_id").collect()] == ["Keep. , end", "clean", ""]
+    assert [r.text for r in decontaminate.strip_spans(frame.select("doc_id", "text"), bench).orderBy("doc_id").collect()] == ["Keep. , end", "clean", None]
     kept = decontaminate.remove_contaminated(frame, bench)
     assert kept.columns == frame.columns and [tuple(r) for r in kept.orderBy("doc_id").collect()] == [(1, "clean", "y"), (2, None, "z")]
 
@@ -428,8 +428,11 @@ def test_pipeline(spark, edge_dir):
         if name == "decontamination":
             want = {d for d, *_, bad in brute.op5([tuple(r) for r in frame.select("doc_id", "text").collect()], [tuple(r) for r in common.table(spark, edge_dir, "benchmark").select("item_id", "text").collect()]) if not bad}
             assert {r.doc_id for r in after.collect()} == want
+            left = decontaminate.find_overlaps(after.select("doc_id", "text"), common.table(spark, edge_dir, "benchmark"))
+            assert all(b - a < 13 for r in left.collect() for a, b in zip(r.hits[::2], r.hits[1::2]))
         if name == "secrets":
             assert all(a + b + c == 0 for _, a, b, c, _ in brute.op6([tuple(r) for r in after.select("doc_id", "text").collect()]))
+        if name in ("decontamination", "secrets"):
             assert all(r.n_chars == len(r.text) for r in after.collect() if r.text is not None)
         frame = after
     last = corpus_pipeline.STAGES[-1][1](spark, frame, edge_dir).collect()

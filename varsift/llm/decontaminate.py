@@ -15,8 +15,7 @@ than a chunk is cut into pieces that overlap by a window less one word, so every
 
 Defined cases: a null or wordless text has no words, no hits and is not contaminated; items that are null or without
 words take no part; equal items count by their own ids; a null item_id takes no part; repeated rows give repeated
-results; an empty benchmark hits nothing; an empty documents table gives an empty result; extra columns are kept only
-by remove_contaminated().
+results; an empty benchmark hits nothing; an empty documents table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -306,33 +305,40 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     return found.where(~contaminated(F.col("n_words"), hit_words("hits"))).select(*names).toDF(*docs.columns)
 
 
-def strip_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs whose hit words are cut out of the text, from the first byte of a span's first word to the last of its last."""
-    found = find_overlaps(docs, benchmark, text_col)
+def _without(text: bytes, spans: list[int], least: int) -> bytes:
+    """The text without the spans of `least` words or more, from a first word's first byte to a last word's last."""
+    long = [(a, b) for a, b in zip(spans[::2], spans[1::2]) if b - a >= least]
+    if not long:
+        return text
+    inside = np.frombuffer(text.translate(_CLEAN), np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+    heads, tails = edges[::2], edges[1::2]
+    out, done = [], 0
+    for a, b in long:
+        out.append(text[done : heads[a]])
+        done = tails[b - 1]
+    return b"".join([*out, text[done:]])
+
+
+def strip_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: int = 1, drop_contaminated: bool = False) -> DataFrame:
+    """docs whose hit spans of `least` words or more are cut out of the text, and on request without the documents that
+    are contaminated; the other columns stay as they were, and a null text stays null."""
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    found = find_overlaps(docs.toDF(*names), benchmark, names[at])
+    if drop_contaminated:
+        found = found.where(~contaminated(F.col("n_words"), hit_words("hits")))
     schema = T.StructType([*found.schema.fields, T.StructField("stripped", T.StringType())])
     to = common.arrow_schema(schema)
-    at = docs.columns.index(text_col)
-
-    def cut(text: bytes, spans: list[int]) -> str:
-        if not spans:
-            return text.decode("utf-8", "replace")
-        plain = np.frombuffer(text.translate(_CLEAN), np.uint8) != 32
-        edges = np.flatnonzero(np.diff(np.r_[False, plain, False].astype(np.int8)))
-        heads, tails = edges[::2], edges[1::2]
-        out, done = [], 0
-        for a, b in zip(spans[::2], spans[1::2]):
-            out.append(text[done : heads[a]])
-            done = tails[b - 1]
-        return b"".join([*out, text[done:]]).decode("utf-8", "replace")
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        texts = common.text_bytes(rows.column(at))
+        known = rows.column(at).is_valid().to_pylist()
         spans = rows.column(rows.schema.get_field_index("hits")).to_pylist()
-        columns = [*rows.columns, pa.array([cut(t, s) for t, s in zip(texts, spans)], pa.string())]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to)], schema=to)
+        texts = [_without(t, s, least).decode("utf-8", "replace") if k else None for t, s, k in zip(common.text_bytes(rows.column(at)), spans, known)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rows.columns, pa.array(texts, pa.string())], to)], schema=to)
 
-    done = common.map_texts(found, text_col, batch, schema)
-    return done.select(*(F.col("stripped").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    done = common.map_texts(found, names[at], batch, schema)
+    return done.select(*("stripped" if i == at else n for i, n in enumerate(names))).toDF(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
