@@ -22,17 +22,23 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return near_copies.keep_one(docs)
 
 
+def _with_length(docs: DataFrame) -> DataFrame:
+    """n_chars after texts were changed."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+
+
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark windows go."""
-    return decontaminate.remove_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    """Documents with a twentieth or more of their words in benchmark windows go; from the others, passages of a window
+    or longer are cut."""
+    bench = common.table(spark, sf_dir, "benchmark")
+    return _with_length(decontaminate.strip_spans(docs, bench, least=decontaminate.WINDOW, drop_contaminated=True))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts, and n_chars follows."""
-    masked = secrets_scan.mask(docs, secrets_scan.train(docs))
-    if "n_chars" not in masked.columns:
-        return masked
-    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    """Secrets are masked in the texts."""
+    return _with_length(secrets_scan.mask(docs, secrets_scan.train(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
