@@ -161,7 +161,7 @@ _MAP = f"{VARIANTS_SQL}, barcodes as (select nt_seq as barcode, substr(nt_seq, 1
 
 
 def _barcodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = fixture.variants(spark, sf_dir)
+    rows = fixture.variants(spark, sf_dir).persist()  # the map is made from it as well
     known = rows.where(F.length(F.replace("nt_seq", F.lit("a"), F.lit(""))) % 5 != 0)
     pairs = known.select(F.col("nt_seq").alias("barcode"), F.concat(F.substring("nt_seq", 1, 15), F.lit(WT[15:])).alias("variant"))
     return counts.debarcode(rows, pairs, COUNTS)
