@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from varsift.llm import common, pretokens
 
 #: Distinct pieces that a worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 150_000
 
 
 @lru_cache(4)

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from varsift.shipping import ship
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,7 +81,11 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Record
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    ship(df.sparkSession)
+    """mapInArrow with the package at hand and batches that suit rows with texts, unless the session sets its own."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default; ten thousand texts of some kilobytes are a lot at once
+        spark.conf.set(BATCH_ROWS, "4000")
     return df.mapInArrow(fn, schema)
 
 

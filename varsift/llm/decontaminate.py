@@ -249,8 +249,11 @@ class _Chunk:
         return _built(self.key, window, self)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """All columns of docs and n_words, hits (start and end word of each hit span, flat), items (distinct ids)."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, cut: int | None = None) -> DataFrame:
+    """All columns of docs and n_words, hits (start and end word of each hit span, flat), items (distinct ids).
+
+    cut: spans of so many words or more are cut out of the text by the pass over the last chunk, when all are known.
+    """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     carried = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema)])
@@ -258,14 +261,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     to = common.arrow_schema(schema)
     found = docs.toDF(*names).select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
 
-    def passed(rows: DataFrame, chunk: _Chunk) -> DataFrame:
+    def passed(rows: DataFrame, chunk: _Chunk, last: bool) -> DataFrame:
         sent = rows.sparkSession.sparkContext.broadcast(chunk)
 
         def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
             automaton = sent.value.automaton(window)
             *old, _, hits, items = rows.columns
-            new = match(common.text_bytes(rows.column(at)), automaton)
+            texts = common.text_bytes(rows.column(at))
+            new = match(texts, automaton)
             merged = [_merged([*spans, *zip(h[::2], h[1::2])]) if h else spans for (_, spans, _), h in zip(new, hits.to_pylist())]
+            if last and cut is not None and any(merged):
+                known = old[at].is_valid().to_pylist()
+                old[at] = pa.array([_without(t, [x for s in m for x in s], cut).decode("utf-8", "replace") if k else None for t, m, k in zip(texts, merged, known)], pa.string())
             columns = [
                 *old,
                 pa.array([n for n, _, _ in new], pa.int64()),
@@ -276,14 +283,14 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         return common.map_texts(rows, names[at], batch, schema)
 
-    passes = 0
-    for items in _chunks(benchmark, item_id, item_text, window):
+    chunks = _chunks(benchmark, item_id, item_text, window)
+    chunk, passes = next(chunks, []), 0
+    while chunk is not None:
+        following = next(chunks, None)
         if passes and passes % PASSES_A_PLAN == 0:
             found = common.stored(found, "overlaps")
-        found = passed(found, _Chunk(items))
-        passes += 1
-    if not passes:
-        found = passed(found, _Chunk([]))
+        found = passed(found, _Chunk(chunk), following is None)
+        chunk, passes = following, passes + 1
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), *SCHEMA.fieldNames())
 
 
@@ -324,21 +331,10 @@ def strip_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", l
     """docs whose hit spans of `least` words or more are cut out of the text, and on request without the documents that
     are contaminated; the other columns stay as they were, and a null text stays null."""
     names = [f"d{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index(text_col)
-    found = find_overlaps(docs.toDF(*names), benchmark, names[at])
+    found = find_overlaps(docs.toDF(*names), benchmark, names[docs.columns.index(text_col)], cut=least)
     if drop_contaminated:
         found = found.where(~contaminated(F.col("n_words"), hit_words("hits")))
-    schema = T.StructType([*found.schema.fields, T.StructField("stripped", T.StringType())])
-    to = common.arrow_schema(schema)
-
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        known = rows.column(at).is_valid().to_pylist()
-        spans = rows.column(rows.schema.get_field_index("hits")).to_pylist()
-        texts = [_without(t, s, least).decode("utf-8", "replace") if k else None for t, s, k in zip(common.text_bytes(rows.column(at)), spans, known)]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*rows.columns, pa.array(texts, pa.string())], to)], schema=to)
-
-    done = common.map_texts(found, names[at], batch, schema)
-    return done.select(*("stripped" if i == at else n for i, n in enumerate(names))).toDF(*docs.columns)
+    return found.select(*names).toDF(*docs.columns)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ SLOTS = 1 << 18
 ROW = 64
 WINDOW = 24
 THRESHOLD = 0.7
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
