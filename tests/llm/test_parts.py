@@ -211,6 +211,35 @@ def test_near_copies_rows_without_ids_and_repeated_rows(spark):
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def near_groups(texts):
+    """The least index of each group that pairs at a similarity of 0.8 or more connect."""
+    sets = [shingles(t) for t in texts]
+    top = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a | b and 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((top[i], top[j]))
+                top = [low if x == high else x for x in top]
+    return top
+
+
+@pytest.mark.parametrize("limit", [6, 2])
+def test_near_copies_are_exact_at_the_threshold(spark, monkeypatch, limit):
+    """Pairs at exactly 0.8 are linked, pairs just below aren't, in short texts and long ones, and in long lists."""
+    monkeypatch.setattr(near_copies, "LIST_LIMIT", limit)
+    rng = random.Random(limit)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for n in (4, 5, 6, 7, 8, 40, 80, 200) * 3:  # n shingles against as many and more behind: 4 of 5, 5 of 6, 40 of 50
+        base = [word() for _ in range(n + 4)]
+        texts += [" ".join(base), " ".join(base + [word() for _ in range(n // 4)]), " ".join([word() for _ in range(n // 4 + 1)] + base)]
+    base = [word() for _ in range(100)]
+    texts += [" ".join(base[:i] + [word()] + base[i + 1 : j] + [word()] + base[j + 1 :]) for i, j in [sorted(rng.sample(range(100), 2)) for _ in range(30)]] + [" ".join(base)]
+    top = near_groups(texts)
+    kept = near_copies.keep_one(docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(top)) and 40 < len(set(top)) < len(texts) - 40
+
+
 # --- segment trees ------------------------------------------------------------------------------------------------
 
 

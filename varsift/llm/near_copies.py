@@ -1,20 +1,19 @@
-"""Groups of near copies at a word-shingle similarity, by wide SimHash fingerprints (operator 8, general form).
+"""Groups of near copies at a word-shingle similarity, by an exact set-similarity join (operator 8, general form).
 
 A fingerprint of 64 bits finds pairs that differ in three bits, which at a Jaccard similarity of 0.8 hardly any pair
-does (about ten differ). So this form takes PLANES * 64 bits. The method is the same: an index on positional bytes, in
-groups of three neighbouring bytes; the bytes that a pair shares are tallied, and pairs reaching the minimum of one
-whole group are verified on all bits. At a similarity of 0.8 a group agrees with odds of 2 percent, and one of the 128
-with odds of 92 percent; at 0.85 with 99, at 0.9 with more than 99.99.
-
-The share of differing bits estimates the angle between the two shingle sets, and with their sizes their Jaccard
-similarity, with a standard error of 0.014 at 0.8. A pair that a short fingerprint tells to be far apart is dropped
-before that.
+does (about ten differ), and wider ones only estimate the similarity. So this form joins the sets of shingles (64-bit
+hashes of them) themselves. Shingles have one order for all texts: those that a bounded sample tells to be frequent
+stand last, by frequency, all others by their hash. Of a text with n shingles the first n - ceil(0.8 n) + 1 are its
+postings: two texts at a similarity of 0.8 or more share one of them, whatever the order (prefix filter). Pairs whose
+sizes (length filter) or places in the order (positional filter) rule 0.8 out are dropped; what remains is verified by
+the exact intersection of the sets. No step is an estimate, so a pair is linked if and only if it reaches 0.8.
 
 Texts that are equal but for case and blanks are one node (a 64-bit hash of the words; two of 10^10 different texts
 meet with odds of 10^-9 a text). Posting lists of up to LIST_LIMIT nodes give their pairs, which are verified by a join.
-The members of longer lists, which large groups of near copies make, meet once more with their whole fingerprints: all
-pairs of a list are compared there, in blocks, and what comes out is a spanning forest of the similar ones, so the rows
-grow with the members and no link is lost. A list of more than HELD members would come in parts that share one.
+Of a longer list, which large groups of near copies make, each member is first verified against one hub, the member
+that stands in most long lists. Lists whose members are connected by then are done. The members of the others meet with
+their sets: all pairs of different components are compared there, exactly, and what comes out is a spanning forest of
+the similar ones, so the rows grow with the members and no link is lost.
 
 Defined cases: a null text is an empty one, and all wordless texts are copies of each other; a null doc_id stands behind
 all others; repeated rows are copies; an empty table gives an empty result; extra columns are kept by keep_one().
@@ -35,11 +34,12 @@ from varsift.llm import common, graph
 from varsift.llm.simhash import shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-PLANES, GROUP = 48, 3
-GROUPS = PLANES * 8 // GROUP
+PLANES = 48
 LIST_LIMIT = 6
-#: Bits in which the first 64 may differ; at a similarity of 0.8, ten do, and more than this with odds of 10^-5.
-SKETCH_DISTANCE = 23
+#: About so many texts are looked at to tell frequent shingles, and at most so many shingles count as frequent.
+SAMPLE, FREQUENT = 10_000, 100_000
+#: Texts of the sample that a frequent shingle is in.
+LEAST_SEEN = 10
 
 _SEEDS = (np.arange(1, PLANES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -113,54 +113,70 @@ def content(text: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(common.lower_az(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
-def _nodes(rows: DataFrame, words: int) -> DataFrame:
-    """content, least doc_id, size (distinct shingles) and print of each distinct text. rows: doc_id, content, text."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "content", "size")] + [T.StructField("print", T.ArrayType(T.LongType(), False))])
-    to = common.arrow_schema(schema)
+def _sets(text: pa.Array, words: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text."""
+    return [np.unique(shingle_hashes(t.lower().split(), words)) for t in common.text_bytes(text)]
 
-    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [np.unique(shingle_hashes(t.lower().split(), words)) for t in common.text_bytes(part.column(2))]
-        prints = wide_prints(hashes).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hashes) + 1, dtype=np.int32) * PLANES), pa.array(prints.ravel()))
-        columns = [part.column(0), part.column(1), pa.array([len(h) for h in hashes], pa.int64()), lists]
-        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, to)], schema=to)
 
-    found = common.map_texts(rows.select("doc_id", "content", "text"), "text", batch, schema)
-    return found.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("print").alias("print"))
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
 
 
-POSTINGS = "key long, content long, sketch long"
+def _schema(text: str) -> T.StructType:
+    return T.StructType.fromDDL(text)
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each group of positional bytes: key (group and bytes), content, and the first word as a sketch."""
-    for whole in batches:
-        for a in range(0, whole.num_rows, 2000):
-            batch = whole.slice(a, 2000)
-            ids = batch.column(0).to_numpy()
-            words = batch.column(1).flatten().to_numpy().reshape(-1, PLANES)
-            triples = np.ascontiguousarray(words).view(np.uint8).reshape(-1, GROUPS, GROUP).astype(np.int64)
-            keys = (np.arange(GROUPS) << 24) + (triples @ np.array([1 << 16, 1 << 8, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, GROUPS)), pa.array(np.repeat(words[:, 0], GROUPS))], names=["key", "content", "sketch"])
+def _frequent(texts: DataFrame, words: int) -> np.ndarray:
+    """Frequent shingles of a sample, as signed integers, from less to more frequent. Any result gives an exact join."""
+    step = max(1, texts.count() // SAMPLE)
 
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate([*_sets(part.column(0), words), np.empty(0, "<u8")]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
 
-PAIRS = "a long, b long, key long"
-#: Members of one list that a task holds at once; longer ones come in parts that share a member.
-HELD = 1 << 18
+    some = texts.where(F.pmod("content", F.lit(step)) == 0).select("text")
+    seen = common.map_texts(some, "text", batch, _schema("shingle long, n long")).groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN)
+    rows = seen.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
+    return np.array([r.shingle for r in reversed(rows)], np.int64)
+
+
+def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """key (shingle), content, size and place (in the order, from 0) of the first shingles of each text."""
+    frequent = _frequent(texts, words)
+    by_value = np.argsort(frequent)
+    sent = texts.sparkSession.sparkContext.broadcast((frequent[by_value], by_value + 1))
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        values, ranks = sent.value
+        columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+        for content, h in zip(part.column(0).to_pylist(), _sets(part.column(1), words)):
+            n = len(h)
+            if not n:
+                continue
+            h = h.view(np.int64)
+            first = n - math.ceil(similarity * n - 1e-9) + 1
+            if len(values):
+                at = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                h = h[np.argsort(np.where(values[at] == h, ranks[at], 0), kind="stable")]
+            for to, x in zip(columns, (h[:first], np.full(first, content), np.full(first, n), np.arange(first))):
+                to.append(x[:first])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in columns], names=["key", "content", "size", "place"])
+
+    return common.map_texts(texts.select("content", "text"), "text", batch, _schema("key long, content long, size long, place long"))
 
 
-def _columns(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """The first three columns as arrays, and a fourth of prints as rows of words."""
-    out = [batch.column(i).to_numpy() for i in range(3)]
-    return out if n == 3 else [*out, batch.column(3).flatten().to_numpy().view(np.uint64).reshape(-1, PLANES)]
+PAIRS = "a long, b long, key long"
+#: Postings of one list that a task holds at once when it looks for pairs; members of longer lists go on in parts.
+HELD = 1 << 18
 
 
-def _windows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list[np.ndarray], int | None]]:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
     """Whole lists of a partition sorted by key, many at a time; the key of a list that comes in parts."""
     carry: list[np.ndarray] | None = None
     parted = None
     for batch in batches:
-        rows = _columns(batch, n)
+        rows = [x.to_numpy() for x in batch.columns]
         rows = [np.concatenate(x) for x in zip(carry, rows)] if carry else rows
         if not len(rows[0]):
             continue
@@ -184,92 +200,178 @@ def _triples(a: np.ndarray, b: np.ndarray | None, key: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good]), pa.array(key[good])], names=["a", "b", "key"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(common_size, size_a, size_b, similarity: float):
+    """Whether a Jaccard similarity is reached; of arrays or of columns."""
+    return common_size * (1 + similarity) >= (size_a + size_b) * similarity - 1e-9
+
+
+def _pairs(similarity: float, limit: int):
     """Candidate pairs of the short lists of a partition sorted by key; members of longer ones go on (b is null)."""
-    for (key, node, sketch), parted in _windows(batches, 3):
-        edges = np.flatnonzero(np.diff(key)) + 1
-        starts, ends = np.r_[0, edges], np.r_[edges, len(key)]
-        sizes = ends - starts
-        long = (sizes > LIST_LIMIT) | (key[starts] == parted) if parted is not None else sizes > LIST_LIMIT
-        for size in np.unique(sizes[(sizes > 1) & ~long]):
-            first = starts[(sizes == size) & ~long]
-            i, j = np.triu_indices(size, 1)
-            a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-            near = np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)) <= SKETCH_DISTANCE
-            if near.any():
-                yield _triples(node[a[near]], node[b[near]], key[a[near]])
-        own = np.repeat(long, sizes)
-        if own.any():
-            yield _triples(node[own], None, key[own])
-
-
-def _spanning(node: np.ndarray, size: np.ndarray, prints: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """Edges that connect exactly the members of a list that similar pairs connect: fewer than members. Every pair is
-    compared on all bits, block by block, but none is emitted."""
-    n = len(node)
-    label = np.arange(n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, node, size, place), parted in _windows(batches):
+            edges = np.flatnonzero(np.diff(key)) + 1
+            starts, ends = np.r_[0, edges], np.r_[edges, len(key)]
+            sizes = ends - starts
+            long = (sizes > limit) | (key[starts] == parted) if parted is not None else sizes > limit
+            for length in np.unique(sizes[(sizes > 1) & ~long]):
+                first = starts[(sizes == length) & ~long]
+                i, j = np.triu_indices(length, 1)
+                a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+                most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
+                may = _similar(np.minimum(most, np.minimum(size[a], size[b])), size[a], size[b], similarity)
+                if may.any():
+                    yield _triples(node[a[may]], node[b[may]], key[a[may]])
+            own = np.repeat(long, sizes)
+            if own.any():
+                yield _triples(node[own], None, key[own])
+
+    return run
+
+
+#: Members whose pairs are counted in one matrix, and the product of list lengths from which a shingle is multiplied.
+TILE, DENSE = 1024, 256
+
+
+def _by_term(term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(term, kind="stable")
+    found, starts, counts = np.unique(term[order], return_index=True, return_counts=True)
+    return found, starts, counts, doc[order]
+
+
+def _overlaps(x: tuple, y: tuple, nx: int, ny: int) -> np.ndarray:
+    """Sizes of the intersections of nx sets with ny sets, each given by _by_term()."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    (sx, cx), (sy, cy) = (x[1][i], x[2][i]), (y[1][j], y[2][j])
+    out = np.zeros((nx, ny), np.float32)
+    many = np.flatnonzero(cx * cy > DENSE)
+    for a in range(0, len(many), 1024):
+        part = many[a : a + 1024]
+        sides = []
+        for n, starts, counts, docs in ((nx, sx[part], cx[part], x[3]), (ny, sy[part], cy[part], y[3])):
+            side = np.zeros((n, len(part)), np.float32)
+            at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+            side[docs[at], np.repeat(np.arange(len(part)), counts)] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    few = np.flatnonzero(cx * cy <= DENSE)
+    for a in range(0, len(few), 20_000):
+        part = few[a : a + 20_000]
+        n, wide = cx[part] * cy[part], cy[part]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        u, v = step // np.repeat(wide, n), step % np.repeat(wide, n)
+        cells = x[3][np.repeat(sx[part], n) + u].astype(np.int64) * ny + y[3][np.repeat(sy[part], n) + v]
+        out += np.bincount(cells, minlength=nx * ny).reshape(nx, ny)
+    return out.astype(np.int64)
+
+
+def _spanning(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges that, with those within equal roots, connect exactly the members that similar pairs connect: fewer than
+    members. Every pair of different components is compared by its exact intersection, but none is emitted."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    node, sets, size = node[order], [sets[i] for i in order], np.array([len(sets[i]) for i in order])
+    label = np.unique(root[order], return_inverse=True)[1]
     u: list[int] = []
     v: list[int] = []
-    roots = np.sqrt(size.astype(float))
-    for a in range(0, n, 256):
-        b = min(a + 256, n)
-        differ = np.zeros((b - a, b), np.int32)
-        for w in range(PLANES):
-            differ += np.bitwise_count(prints[a:b, w, None] ^ prints[None, :b, w])
-        shared = np.cos(differ * (math.pi / (64 * PLANES))) * roots[a:b, None] * roots[None, :b]
-        close = shared * (1 + similarity) >= similarity * (size[a:b, None] + size[None, :b])
-        for i in range(a, b):
-            met = np.unique(label[:i][close[i - a, :i]])
-            if len(met):
-                u += [int(node[i])] * len(met)
-                v += node[met].tolist()
-                if len(met) > 1:
-                    label[np.isin(label, met)] = met[0]
-                label[i] = met[0]
+    tiles = []
+    for a in range(0, len(node), TILE):
+        part = sets[a : a + TILE]
+        tiles.append((a, len(part), _by_term(np.concatenate(part), np.repeat(np.arange(len(part)), size[a : a + TILE]))))
+    for k, (a, n, x) in enumerate(tiles):
+        for b, m, y in tiles[: k + 1]:
+            mine, other = label[a : a + n], label[b : b + m]
+            # sizes rise, so the last of the earlier tile is its largest and the first of this one its smallest
+            if size[b + m - 1] < similarity * size[a] - 1e-9 or (mine == mine[0]).all() and (other == mine[0]).all():
+                continue
+            close = _similar(_overlaps(x, y, n, m), size[a : a + n, None], size[None, b : b + m], similarity)
+            close &= mine[:, None] != other[None, :]
+            for i in np.flatnonzero(close.any(1)).tolist():
+                near = b + np.flatnonzero(close[i])
+                for met, first in zip(*np.unique(label[near], return_index=True)):
+                    if met != label[a + i]:
+                        u.append(int(node[a + i]))
+                        v.append(int(node[near[first]]))
+                        label[label == met] = label[a + i]
     return u, v
 
 
 def _linked(similarity: float):
-    """Spanning edges of the long lists of a partition sorted by key; rows: key, content, size, print."""
+    """Spanning edges of the members of each task of a partition sorted by task; rows: task, content, root, set."""
+
+    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        node, root = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2))
+        sets = [x.values.to_numpy(zero_copy_only=False) for p in parts for x in p.column(3)]
+        u, v = _spanning(node, root, sets, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, node, size, prints), _ in _windows(batches, 4):
-            edges = np.flatnonzero(np.diff(key)) + 1
-            for a, b in zip(np.r_[0, edges].tolist(), np.r_[edges, len(key)].tolist()):
-                if b - a > 1:
-                    u, v = _spanning(node[a:b], size[a:b], prints[a:b], similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            task = batch.column(0).to_numpy()
+            bounds = np.r_[0, np.flatnonzero(np.diff(task)) + 1, len(task)].tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                if a == b:
+                    continue
+                if held and held[0].column(0)[0].as_py() != task[a]:
+                    yield edges(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield edges(held)
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """u, v of the pairs whose estimated similarity reaches the threshold."""
-    # the tally of shared groups is the number of lists that named the pair; one is the minimum
-    tally = pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 1")
-    side = lambda n: nodes.select(F.col("content").alias(n), F.col("size").alias(f"size_{n}"), F.col("print").alias(f"print_{n}"))
-    both = tally.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("print_a", "print_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    common_size = F.cos(differ * F.lit(math.pi / (64 * PLANES))) * F.sqrt(F.col("size_a").cast("double") * F.col("size_b"))
-    total = F.col("size_a") + F.col("size_b")
-    return both.where((total > 0) & (common_size * (1 + similarity) >= total * similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs whose similarity reaches the threshold."""
+    side = lambda n: sets.select(F.col("content").alias(n), F.col("set").alias(f"set_{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(_similar(shared, F.size("set_a"), F.size("set_b"), similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """a, b: each member of a long list with the list's hub, the member that stands in most long lists."""
+    weighed = members.join(members.groupBy("content").count(), "content")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("count", "content"))["content"].alias("hub"))
+    both = members.join(hubs, "key").where("content <> hub")
+    return both.select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
+
+
+def _tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """task, content, root: the members of each long list that has members of several components, to be compared."""
+    placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return placed.join(mixed.select("key"), "key").select(F.col("key").alias("task"), "content", "root")
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """content, least (smallest doc_id of the text), root and keep: keep holds for one text of each group of near copies,
     the one of the smallest doc_id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), content(F.col(text_col)).alias("content"), F.col(text_col).alias("text"))
-    nodes = common.stored(_nodes(rows, words), "nodes")
+    texts = common.stored(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")), "texts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = common.map_arrow(nodes.where("size > 0").select("content", "print"), _postings, POSTINGS)
-    named = common.stored(common.map_arrow(postings.repartition(parts, "key").sortWithinPartitions("key"), _pairs, PAIRS), "pairs")
-    edges = _verified(named.where("b is not null"), nodes, similarity)
+    postings = _postings(texts, words, similarity).repartition(parts, "key").sortWithinPartitions("key")
+    named = common.stored(common.map_arrow(postings, _pairs(similarity, LIST_LIMIT), PAIRS), "pairs")
     members = named.where("b is null").select("key", F.col("a").alias("content"))
-    if not members.isEmpty():
-        whole = members.join(nodes.select("content", "size", "print"), "content").select("key", "content", "size", "print")
-        edges = edges.union(common.map_arrow(whole.repartition(parts, "key").sortWithinPartitions("key"), _linked(similarity), "u long, v long"))
-    roots = graph.components(edges)
-    labelled = common.stored(nodes.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", F.coalesce("root", "content").alias("root")), "labels")
+    some_long = not members.isEmpty()
+    pairs = named.where("b is not null").select("a", "b")
+    pairs = common.stored((pairs.union(_stars(members)) if some_long else pairs).distinct(), "pairs")
+    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("content")).distinct().toDF("content")
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(0), _lists([h.view(np.int64) for h in _sets(part.column(1), words)])], names=["content", "set"])
+
+    chosen = texts.select("content", "text").join(wanted, "content", "left_semi")
+    sets = common.stored(common.map_texts(chosen, "text", batch, _schema("content long, set array<long>")), "sets")
+    roots = graph.components(_verified(pairs, sets, similarity))
+    if some_long:
+        tasks = common.stored(_tasks(members, roots), "tasks")
+        if not tasks.isEmpty():
+            whole = tasks.join(sets, "content").select("task", "content", "root", "set")
+            links = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _linked(similarity), "u long, v long")
+            roots = graph.components(links.union(roots.toDF("u", "v")))
+    labelled = common.stored(texts.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", F.coalesce("root", "content").alias("root")), "labels")
     first = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content")).alias("first"))
     return labelled.join(first.select("root", F.col("first.content").alias("kept")), "root").select("content", "least", "root", (F.col("content") == F.col("kept")).alias("keep"))
 
