@@ -240,6 +240,19 @@ def test_near_copies_are_exact_at_the_threshold(spark, monkeypatch, limit):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(top)) and 40 < len(set(top)) < len(texts) - 40
 
 
+def test_near_copies_in_lists_of_many_blocks(spark, monkeypatch):
+    """Two members of a long list meet whichever blocks they are dealt to."""
+    monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", 3)
+    rows = [(key, content) for key in (1, 2) for content in range(20)] + [(3, 5), (3, 6)]
+    members = spark.createDataFrame(rows, "key long, content long")
+    roots = spark.createDataFrame([(i, 0) for i in range(1, 4)] + [(6, 5)], "node long, root long")
+    met = {}
+    for r in near_copies._tasks(members, roots, members.select("content").distinct().withColumn("size", F.lit(5))).collect():
+        met.setdefault(r.task, set()).add(r.content)
+    assert all(any({a, b} <= m for m in met.values()) for a in range(20) for b in range(a))
+    assert max(map(len, met.values())) < 20 and {5, 6} not in met.values()
+
+
 # --- segment trees ------------------------------------------------------------------------------------------------
 
 

@@ -13,7 +13,8 @@ meet with odds of 10^-9 a text). Posting lists of up to LIST_LIMIT nodes give th
 Of a longer list, which large groups of near copies make, each member is first verified against one hub, the member
 that stands in most long lists. Lists whose members are connected by then are done. The members of the others meet with
 their sets: all pairs of different components are compared there, exactly, and what comes out is a spanning forest of
-the similar ones, so the rows grow with the members and no link is lost.
+the similar ones, so the rows grow with the members. A long list is dealt out in blocks, one task for each pair of
+blocks, so that any two members meet whatever the list's length, and no link is lost.
 
 Defined cases: a null text is an empty one, and all wordless texts are copies of each other; a null doc_id stands behind
 all others; repeated rows are copies; an empty table gives an empty result; extra columns are kept by keep_one().
@@ -338,11 +339,24 @@ def _stars(members: DataFrame) -> DataFrame:
     return both.select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
 
 
-def _tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """task, content, root: the members of each long list that has members of several components, to be compared."""
+#: Shingles and members that a block of a long list holds about.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1 << 13
+
+
+def _tasks(members: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
+    """task, content, root: the members of each long list that has members of several components, to be compared.
+
+    A list of several blocks has a task for each pair of blocks, so that any two of its members meet in one. sizes:
+    content, size.
+    """
     placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return placed.join(mixed.select("key"), "key").select(F.col("key").alias("task"), "content", "root")
+    blocks = F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("long")
+    mixed = placed.join(sizes, "content").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks")).where("low <> high")
+    dealt = placed.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("content"), "blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))
+    met = dealt.select("key", "content", "root", "block", F.explode(others).alias("other"))
+    # tasks whose hashes meet only compare more pairs
+    return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "content", "root")
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,7 +380,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     sets = common.stored(common.map_texts(chosen, "text", batch, _schema("content long, set array<long>")), "sets")
     roots = graph.components(_verified(pairs, sets, similarity))
     if some_long:
-        tasks = common.stored(_tasks(members, roots), "tasks")
+        tasks = common.stored(_tasks(members, roots, sets.select("content", F.size("set").alias("size"))), "tasks")
         if not tasks.isEmpty():
             whole = tasks.join(sets, "content").select("task", "content", "root", "set")
             links = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _linked(similarity), "u long, v long")
