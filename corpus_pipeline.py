@@ -30,10 +30,10 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a twentieth or more of their words in benchmark windows go; from the others, passages of a window
-    or longer are cut."""
+    """Documents with a twentieth or more of their words in benchmark windows go; from the others, every passage of a
+    window or of a whole shorter item is cut."""
     bench = common.table(spark, sf_dir, "benchmark")
-    return _with_length(decontaminate.strip_spans(docs, bench, least=decontaminate.WINDOW, drop_contaminated=True))
+    return _with_length(decontaminate.strip_spans(docs, bench, drop_contaminated=True))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

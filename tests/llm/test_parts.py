@@ -482,6 +482,16 @@ def test_pipeline(spark, edge_dir):
     assert {r.doc_id: r.ids for r in last} == {r.doc_id: encoding.encode_ordinary(r.text or "") for r in frame.collect()}
 
 
+def test_pipeline_cuts_short_items(spark, tmp_path):
+    """A benchmark item of fewer words than a window is cut from a long document that stays."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rest = " ".join(f"w{i}" for i in range(100))
+    (left,) = corpus_pipeline.remove_leaks(spark, docs(spark, [f"{rest} Alpha, beta gamma! alpha beta"]), str(tmp_path)).collect()
+    assert left.text == f"{rest} ! alpha beta"
+
+
 def test_pipeline_on_empty_tables(spark, empty_dir):
     import corpus_pipeline
 
