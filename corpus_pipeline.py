@@ -42,9 +42,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts, with the byte offsets at which tokens end."""
-    done = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets")
+    """Token ids of the texts, with the byte offsets at which tokens end, and the bytes that the ids decode to."""
+    done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets", "decoded")
 
 
 STAGES = [

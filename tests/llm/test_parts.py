@@ -492,6 +492,14 @@ def test_pipeline_cuts_short_items(spark, tmp_path):
     assert left.text == f"{rest} ! alpha beta"
 
 
+def test_pipeline_decodes(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["The naïve 漢字 isn't here", "", None]
+    got = {r.doc_id: bytes(r.decoded) for r in corpus_pipeline.encode(spark, docs(spark, texts), str(tmp_path)).collect()}
+    assert got == {i: (t or "").encode() for i, t in enumerate(texts)}
+
+
 def test_pipeline_on_empty_tables(spark, empty_dir):
     import corpus_pipeline
 
