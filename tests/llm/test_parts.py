@@ -339,6 +339,20 @@ def test_license_templates(spark):
     assert [got[i]["labels"] for i in (2, 3, 4)] == [[], [], []] and got[4]["n_words"] == 0
 
 
+def test_wrapped_license_notices(spark, tmp_path):
+    """Notices that are wrapped in lines are found at any place of a text."""
+    import textwrap
+
+    texts, want = [], []
+    for label, notice in licenses.TEMPLATES:
+        for n in (0, 5, 17, 40):
+            texts.append("\n".join(textwrap.wrap(" ".join(["word"] * n + [notice] + ["tail"] * 30), 30)))
+            want.append(label)
+    docs(spark, [*texts, "nothing", None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r["labels"].split(",") for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
+    assert all(label in got[i] for i, label in enumerate(want)) and got[len(want)] == got[len(want) + 1] == [""]
+
+
 def test_license_join_is_exact(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(14)]

@@ -1,13 +1,17 @@
 """License scans with built-in functions only (operator 10).
 
 Base rules are phrases whose words stand consecutively. The method is an exact set-similarity join between text blocks
-(lines) and license templates: a block matches a template if at least CONTAINMENT of the template's distinct words are
+(lines, or windows) and license templates: a block matches a template if at least CONTAINMENT of the template's distinct words are
 in the block. Template words are put in the order of their document frequency over the whole corpus, rarest first. Of
 a template with n words of which a must be found, any matching block holds one of the first n - a + 1 (prefix filter),
 has a words or more (length filter), and, if its first template word stands at place i of the order, cannot share more
 than n - i (positional filter). What passes is verified by the intersection itself. The filters only skip blocks that
 cannot match.
 
+Windows are runs of consecutive words of the whole text, whatever lines they stand on, so that a wrapped notice counts
+as a whole. For a template of L words (repeats included) they hold 2 L words and begin at every L-th, so any L
+consecutive words stand in one of them. Only templates of which the whole text holds enough words are tried.
+
 Templates are the small side, at most MOST_TEMPLATE_WORDS words in all, and travel as literals; no row is shuffled but
 the frequencies, which are counted for template words alone and summed before they are.
 
@@ -56,9 +60,14 @@ def _blanks(text: Column) -> Column:
     return (F.length(text) - F.length(F.translate(text, " ", ""))).cast("long")
 
 
+def plain_words(text: str) -> list[str]:
+    """Words of a template."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+
+
 def template_words(text: str) -> list[str]:
     """Distinct words of a template."""
-    return list(dict.fromkeys(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))))
+    return list(dict.fromkeys(plain_words(text)))
 
 
 def frequencies(plains: DataFrame, words: list[str]) -> dict[str, int]:
@@ -68,6 +77,12 @@ def frequencies(plains: DataFrame, words: list[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
+def _windows(words: Column, length: int) -> Column:
+    """Runs of 2 * length of an array's words, beginning at each length-th: any `length` consecutive ones are in one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(words) / length).cast("int") - 2))
+    return F.transform(starts, lambda i: F.slice(words, i * length + 1, F.lit(2 * length)))
+
+
 def ordered_templates(templates: list[tuple[str, str]], seen: dict[str, int], threshold: float) -> list[tuple[str, list[str], int]]:
     """Label, words from rare to frequent, and the number of words a match must share."""
     out = []
@@ -80,10 +95,11 @@ def ordered_templates(templates: list[tuple[str, str]], seen: dict[str, int], th
     return out
 
 
-def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float = CONTAINMENT, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float = CONTAINMENT, text_col: str = "text", windows: bool = False) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels and labels (arrays) and score.
 
-    labels holds the labels of the base rules and of the templates that some line contains.
+    labels holds the labels of the base rules and of the templates that some line contains; with windows, that some
+    window of the text does.
     """
     # the columns of docs go by in one struct, so that their names can't clash with those made here
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
@@ -118,6 +134,21 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
     empty = F.array().cast("array<array<string>>")
     if not first_words:
         rows = rows.withColumn("matches", F.array().cast("array<struct<label:string,share:double>>"))
+    elif windows:
+        lengths = {tuple(sorted(template_words(t))): len(plain_words(t)) for _, t in templates}
+        every = F.array(*map(F.lit, vocabulary))
+        any_word = " (?:" + "|".join(map(re.escape, first_words)) + ") "
+        tokens = F.split(F.trim(F.col("plain")), " ")
+        rows = rows.withColumn("tokens", F.when(F.col("plain").rlike(any_word), tokens))
+        rows = rows.withColumn("held", F.array_intersect(every, F.col("tokens")))
+        found = []
+        for label, ws, least in order:
+            own = F.array(*map(F.lit, ws))
+            blocks = _windows(F.col("tokens"), lengths[tuple(sorted(ws))])
+            shared = F.array_max(F.transform(blocks, lambda b: F.size(F.array_intersect(own, b))))
+            best = F.when(F.size(F.array_intersect(own, F.col("held"))) >= least, shared)
+            found.append(F.struct(F.lit(label).alias("label"), (F.coalesce(best, F.lit(0)) / len(ws)).alias("share"), (F.coalesce(best, F.lit(0)) >= least).alias("enough")))
+        rows = rows.withColumn("matches", F.transform(F.filter(F.array(*found), lambda m: m["enough"]), lambda m: F.struct(m["label"].alias("label"), m["share"].alias("share"))))
     else:
         prefix = F.array(*map(F.lit, first_words))
         any_word = " (?:" + "|".join(map(re.escape, first_words)) + ") "
@@ -155,7 +186,7 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
-    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES)
+    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES, windows=True)
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
     )
