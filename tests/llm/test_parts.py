@@ -353,6 +353,14 @@ def test_wrapped_license_notices(spark, tmp_path):
     assert all(label in got[i] for i, label in enumerate(want)) and got[len(want)] == got[len(want) + 1] == [""]
 
 
+def test_license_names_are_asked_for(spark, tmp_path):
+    """Common words of a short template alone give no label, nor do its words far apart."""
+    texts = ["Released under the Apache License", "Released under the BSD License", "Licensed under the License, Version 2.0.", "released " + "w " * 40 + "under the license " + "w " * 40 + "mit"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r["labels"] for r in licenses.op10_licenses(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(4)] == ["apache", "", "", ""]
+
+
 def test_license_join_is_exact(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(14)]

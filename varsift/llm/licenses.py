@@ -10,7 +10,8 @@ cannot match.
 
 Windows are runs of consecutive words of the whole text, whatever lines they stand on, so that a wrapped notice counts
 as a whole. For a template of L words (repeats included) they hold 2 L words and begin at every L-th, so any L
-consecutive words stand in one of them. Only templates of which the whole text holds enough words are tried.
+consecutive words stand in one of them. Only templates of which the whole text holds enough words are tried, and a
+window must hold those words of the template that tell its license from others (MARKS).
 
 Templates are the small side, at most MOST_TEMPLATE_WORDS words in all, and travel as literals; no row is shuffled but
 the frequencies, which are counted for template words alone and summed before they are.
@@ -23,6 +24,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,9 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 ]
 
+#: Words that tell a license from others; a block holds all those of a template that it matches.
+MARKS = {"gpl": ["gnu"], "apache": ["apache"], "mit": ["mit"], "cc-by": ["cc", "creative", "commons"], "mpl": ["mozilla"]}
+
 
 def plain(text: Column) -> Column:
     """Words of a text, A-Z in lower case, each with a blank before and behind: ' a b c '; a wordless text is ' '."""
@@ -145,6 +151,9 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
         for label, ws, least in order:
             own = F.array(*map(F.lit, ws))
             blocks = _windows(F.col("tokens"), lengths[tuple(sorted(ws))])
+            marks = [w for w in MARKS.get(label, []) if w in ws]
+            if marks:
+                blocks = F.filter(blocks, lambda b: reduce(and_, (F.array_contains(b, w) for w in marks)))
             shared = F.array_max(F.transform(blocks, lambda b: F.size(F.array_intersect(own, b))))
             best = F.when(F.size(F.array_intersect(own, F.col("held"))) >= least, shared)
             found.append(F.struct(F.lit(label).alias("label"), (F.coalesce(best, F.lit(0)) / len(ws)).alias("share"), (F.coalesce(best, F.lit(0)) >= least).alias("enough")))
