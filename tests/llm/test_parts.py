@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -163,12 +164,39 @@ def test_links_are_complete(spark, monkeypatch, limit):
     assert got == {i: top(i) for i in range(len(rows))}
 
 
-def test_wide_prints():
+def test_positional_simhashes():
+    """Each position holds the fingerprint of its shingles, and similar texts share the guaranteed minimum of bytes."""
     rng = np.random.default_rng(1)
-    hashes = [rng.integers(0, 2**63, size=n).astype(np.uint64) for n in (1, 2, 3, 5, 8, 101, 570, 3000, 0)]
-    for h, got in zip(hashes, near_copies.wide_prints(hashes)):
-        bits = np.unpackbits(near_copies._mixed(h).view(np.uint8), axis=-1, bitorder="little").reshape(len(h), -1).sum(0, dtype=int) if len(h) else np.zeros(near_copies.PLANES * 64, int)
-        assert (np.packbits(2 * bits > len(h), bitorder="little").view(np.uint64) == got).all()
+    sets = [np.unique(rng.integers(0, 2**63, size=n).astype("<u8")) for n in (1, 2, 3, 101, 570, 0, 3000)]
+    positions = np.array([1, 5, 48, 48, 384, 48, 96])
+    found = {(int(t), int(p)): int(x) for t, p, x in zip(*near_copies.simhashes(sets, positions))}
+    want: dict = {}
+    for t, s in enumerate(sets):
+        for x, p in zip(s, near_copies._mixed(s) % np.uint64(positions[t])):
+            want.setdefault((t, int(p)), []).append(x)
+    assert found == {k: simhash.fingerprint(np.array(v, "<u8")) % 2**64 for k, v in want.items()}
+
+
+@pytest.mark.parametrize("n", [1, 4, 30, 63, 64, 70, 79, 80, 127, 128, 150, 160, 1000, 1024, 1100])
+def test_similar_texts_share_a_key_and_bytes(n):
+    """The least similar partners that still count, of every size, are proposed and pass the count filter."""
+    rng = np.random.default_rng(n)
+    for m in {n, math.ceil(0.8 * n), math.floor(1.25 * n), (n + math.floor(1.25 * n)) // 2}:
+        both = math.ceil(0.8 * (n + m) / 1.8 - 1e-9)
+        if not both or both > min(n, m):
+            continue
+        for _ in range(20):
+            h = np.unique(rng.integers(0, 2**63, size=n + m - both).astype("<u8"))
+            rng.shuffle(h)
+            a, b = np.sort(h[:n]), np.sort(h[n - both :])
+            key, own = near_copies._keys([a, b], 0.8)
+            assert set(key[own == 0]) & set(key[own == 1])
+            steps = near_copies._steps(np.array([n, m]))
+            step = np.maximum(steps.min(), 0)
+            x, y = near_copies._prints([a, b], np.array([step, step]))
+            assert near_copies._enough(sum(p == q for p, q in zip(x, y)), n, m, near_copies._positions(step), 0.8)
+            lower = np.where(near_copies._below(np.array([n, m]), steps, 0.8), steps - 1, -1)
+            assert all(max(s, 0) == step or low == step for s, low in zip(steps, lower))
 
 
 def shingles(text, k=5):
@@ -240,17 +268,37 @@ def test_near_copies_are_exact_at_the_threshold(spark, monkeypatch, limit):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(top)) and 40 < len(set(top)) < len(texts) - 40
 
 
-def test_near_copies_in_lists_of_many_blocks(spark, monkeypatch):
-    """Two members of a long list meet whichever blocks they are dealt to."""
+@pytest.mark.parametrize("one_root", [True, False])
+def test_near_copies_in_lists_of_many_blocks(spark, monkeypatch, one_root):
+    """Two members of different components of a long list meet whichever blocks they are dealt to."""
     monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", 3)
-    rows = [(key, content) for key in (1, 2) for content in range(20)] + [(3, 5), (3, 6)]
-    members = spark.createDataFrame(rows, "key long, content long")
-    roots = spark.createDataFrame([(i, 0) for i in range(1, 4)] + [(6, 5)], "node long, root long")
+    rows = [(key, node) for key in (1, 2) for node in range(20)] + [(3, 5), (3, 6)]
+    members = spark.createDataFrame(rows, "key long, node long")
+    roots = {i: 0 for i in range(1, 12 if one_root else 2)} | {6: 5}
     met = {}
-    for r in near_copies._tasks(members, roots, members.select("content").distinct().withColumn("size", F.lit(5))).collect():
-        met.setdefault(r.task, set()).add(r.content)
-    assert all(any({a, b} <= m for m in met.values()) for a in range(20) for b in range(a))
-    assert max(map(len, met.values())) < 20 and {5, 6} not in met.values()
+    for r in near_copies._tasks(members, spark.createDataFrame(list(roots.items()), "node long, root long")).collect():
+        met.setdefault(r.task, set()).add(r.node)
+    assert all(any({a, b} <= m for m in met.values()) for a in range(20) for b in range(a) if roots.get(a, a) != roots.get(b, b))
+    assert max(map(len, met.values())) < 20 and (one_root or {5, 6} not in met.values())
+
+
+@pytest.mark.parametrize("seen", [2, 10**9])
+def test_hot_group_with_spread_keys(spark, monkeypatch, seen):
+    """A group that holds most texts, whose members are linked through others only: nothing is lost, spread or not."""
+    monkeypatch.setattr(near_copies, "LEAST_SEEN", seen)
+    monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", 16)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for n in (90, 30):
+        chain = [word() for _ in range(n)]
+        for _ in range(60):  # each differs little from the one before, the ends of the chain differ much
+            chain[rng.randrange(n)] = word()
+            texts.append(" ".join(chain))
+    texts += [" ".join(word() for _ in range(60)) for _ in range(10)]
+    rng.shuffle(texts)
+    kept = near_copies.keep_one(docs(spark, texts))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(near_groups(texts)))
 
 
 # --- segment trees ------------------------------------------------------------------------------------------------

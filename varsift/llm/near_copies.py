@@ -1,28 +1,36 @@
-"""Groups of near copies at a word-shingle similarity, by an exact set-similarity join (operator 8, general form).
-
-A fingerprint of 64 bits finds pairs that differ in three bits, which at a Jaccard similarity of 0.8 hardly any pair
-does (about ten differ), and wider ones only estimate the similarity. So this form joins the sets of shingles (64-bit
-hashes of them) themselves. Shingles have one order for all texts: those that a bounded sample tells to be frequent
-stand last, by frequency, all others by their hash. Of a text with n shingles the first n - ceil(0.8 n) + 1 are its
-postings: two texts at a similarity of 0.8 or more share one of them, whatever the order (prefix filter). Pairs whose
-sizes (length filter) or places in the order (positional filter) rule 0.8 out are dropped; what remains is verified by
-the exact intersection of the sets. No step is an estimate, so a pair is linked if and only if it reaches 0.8.
-
-Texts that are equal but for case and blanks are one node (a 64-bit hash of the words; two of 10^10 different texts
-meet with odds of 10^-9 a text). Posting lists of up to LIST_LIMIT nodes give their pairs, which are verified by a join.
-Of a longer list, which large groups of near copies make, each member is first verified against one hub, the member
-that stands in most long lists. Lists whose members are connected by then are done. The members of the others meet with
-their sets: all pairs of different components are compared there, exactly, and what comes out is a spanning forest of
-the similar ones, so the rows grow with the members. A long list is dealt out in blocks, one task for each pair of
-blocks, so that any two members meet whatever the list's length, and no link is lost.
+"""Groups of near copies at a word-shingle similarity: operator 8 in its general form.
+
+A fingerprint of 64 bits at three bits finds hardly any pair of a Jaccard similarity of 0.8, and a longer one of that
+kind only estimates it. So the fingerprint here is positional: a text's distinct shingles are dealt to positions by
+their hash, and each position holds the SimHash of the shingles dealt to it. A shingle that two texts don't share
+touches one position, so two texts of n and m shingles at a similarity of s agree at all positions but
+(n + m) (1 - s) / (1 + s). That makes the method of operator 8 exact:
+
+1. Inverted index. The postings of a text are its first filled positions, each with all 64 bits of its SimHash, one more
+   than may differ. Two texts that reach s share one (prefix filter over the filled positions).
+2. Count filter. For every pair that a posting list proposes, the shared positional bytes (the low byte of each SimHash)
+   are tallied; a pair below the guaranteed minimum, positions less those that may differ, goes.
+3. Verification by the exact intersection of the shingle sets (64-bit hashes).
+
+The number of positions grows with the text by powers of two (_positions). Texts just above such a step are indexed, and
+carry bytes, at the step below as well, for the sake of partners there. Texts of fewer than SMALL shingles are indexed
+by single shingles. A text needs so many filled positions as it has postings; the odds that one falls short are below
+10^-11. Else no step is an estimate, whatever the length of a list.
+
+Texts that are equal but for case and blanks are one node (128-bit digest of the words). Posting lists of up to
+LIST_LIMIT nodes propose their pairs. Of a longer list, which large groups of near copies make, each member is first
+held against one hub, the member that stands in most long lists. Lists whose members are connected by then are done. In
+the others, the bytes of all pairs of different components meet, dealt out in tasks of two blocks of members; what the
+count filter leaves is verified like all pairs. Keys that a sample shows to stand in very many texts never meet in one
+task: their members go straight to this step, and joins on a key are left to the engine, which splits large ones.
 
 Defined cases: a null text is an empty one, and all wordless texts are copies of each other; a null doc_id stands behind
-all others; repeated rows are copies; an empty table gives an empty result; extra columns are kept by keep_one().
+all others; repeated rows are copies; a text is read whole, however long; an empty table gives an empty result; extra
+columns are kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,278 +40,347 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varsift.llm import common, graph
-from varsift.llm.simhash import shingle_hashes
+from varsift.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-PLANES = 48
+#: Shingles from which a text is indexed by positions; positions at the first step.
+SMALL, FIRST_POSITIONS = 64, 48
+#: Members up to which a posting list proposes all its pairs.
 LIST_LIMIT = 6
-#: About so many texts are looked at to tell frequent shingles, and at most so many shingles count as frequent.
-SAMPLE, FREQUENT = 10_000, 100_000
-#: Texts of the sample that a frequent shingle is in.
-LEAST_SEEN = 10
+#: About so many texts are looked at to tell which keys are to be spread; at most so many are.
+SAMPLE, SPREAD_KEYS = 10_000, 100_000
+#: Texts of the sample that such a key is in at least, and tasks that its postings are spread over.
+LEAST_SEEN, SPREAD = 10, 64
+#: Members that a block of a long list holds about.
+BLOCK_MEMBERS = 1 << 11
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Pseudo-random words for words, one to one."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-_SEEDS = (np.arange(1, PLANES + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
 
+def _steps(sizes: np.ndarray) -> np.ndarray:
+    """The step of texts with so many shingles: -1 below SMALL, then one more with each doubling."""
+    return np.frexp(sizes // SMALL)[1] - 1
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """PLANES pseudo-random words for each hash."""
-    x = h[..., None] + _SEEDS
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
-def _column_counts(rows: np.ndarray) -> np.ndarray:
-    """Number of rows with each bit set, for rows (n, ...words): carry-save adders over whole words, then unpacked."""
-    level, planes = rows, []
-    while True:
-        carried: list[np.ndarray] = []
-        while len(level) > 2:
-            m = len(level) // 3
-            a, b, c = level[:m], level[m : 2 * m], level[2 * m : 3 * m]
-            both = a ^ b
-            carried.append((a & b) | (both & c))
-            level = np.concatenate([both ^ c, level[3 * m :]])
-        if len(level) == 2:
-            carried.append((level[0] & level[1])[None])
-            level = (level[0] ^ level[1])[None]
-        planes.append(level[0])
-        if not carried:
-            break
-        level = np.concatenate(carried)
-    counts = np.zeros((*planes[0].shape[:-1], planes[0].shape[-1] * 64), np.int32)
-    for k, plane in enumerate(planes):
-        counts += np.unpackbits(np.ascontiguousarray(plane).view(np.uint8), axis=-1, bitorder="little").astype(np.int32) << k
-    return counts
-
-
-def wide_prints(hashes: list[np.ndarray]) -> np.ndarray:
-    """(len(hashes), PLANES) words: the bits that more than half of a text's distinct shingles set."""
-    out = np.zeros((len(hashes), PLANES), np.uint64)
-    sizes = np.array([len(h) for h in hashes])
-    order = np.argsort(sizes, kind="stable")
-    order = order[sizes[order] > 0]
-    at = 0
-    while at < len(order):
-        # texts of similar length together, padded with rows of zeros; at most some megabytes at once
-        n = int(sizes[order[at]])
-        end = at + 1
-        while end < len(order) and sizes[order[end]] <= n * 1.25 + 4 and (end - at + 1) * sizes[order[end]] <= 20_000:
-            end += 1
-        some = order[at:end]
-        n = int(sizes[some[-1]])
-        counts = np.zeros((len(some), PLANES * 64), np.int32)
-        for a in range(0, n, 20_000):  # very long texts in parts
-            width = min(20_000, n - a)
-            rows = np.zeros((width, len(some), PLANES), np.uint64)
-            for j, i in enumerate(some):
-                part = hashes[i][a : a + width]
-                rows[: len(part), j] = _mixed(part)
-            counts += _column_counts(rows)
-        bits = 2 * counts > sizes[some][:, None]
-        out[some] = np.packbits(bits, axis=-1, bitorder="little").view(np.uint64)
-        at = end
-    return out
+
+def _positions(step: np.ndarray | int) -> np.ndarray:
+    """Positions at a step; small texts have bytes at the first."""
+    return FIRST_POSITIONS << np.maximum(step, 0)
+
+
+def _first_size(step: np.ndarray) -> np.ndarray:
+    """Shingles from which a text is at a step."""
+    return np.where(step < 0, 0, SMALL << np.maximum(step, 0))
+
+
+def _differing(n, m, similarity: float):
+    """Shingles, and so positions, in which two texts at the similarity may differ at most."""
+    return np.floor((n + m) * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+
+
+def _similar(common_size, size_a, size_b, similarity: float):
+    """Whether a Jaccard similarity is reached; of arrays or of columns."""
+    return common_size * (1 + similarity) >= (size_a + size_b) * similarity - 1e-9
 
 
 def content(text: Column) -> Column:
-    """A hash of a text's words: equal for texts that differ in case (A-Z) and blanks alone."""
-    return F.xxhash64(F.trim(F.regexp_replace(common.lower_az(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+    """A 128-bit digest of a text's words: equal for texts that differ in case (A-Z) and blanks alone."""
+    return F.unhex(F.md5(F.trim(F.regexp_replace(common.lower_az(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))))
 
 
-def _sets(text: pa.Array, words: int) -> list[np.ndarray]:
+def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
     """Sorted distinct shingles of each text."""
     return [np.unique(shingle_hashes(t.lower().split(), words)) for t in common.text_bytes(text)]
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    ends = np.r_[0, np.cumsum([len(x) for x in rows])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
+def simhashes(sets: list[np.ndarray], positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, position and SimHash of every filled position, ascending, for sets with so many positions each."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    h = np.concatenate([*sets, np.empty(0, "<u8")])
+    own = np.repeat(np.arange(len(sets)), sizes)
+    place = (_mixed(h) % positions.astype(np.uint64)[own]).astype(np.int64)
+    first = np.r_[0, np.cumsum(positions)]
+    cell = first[own] + place
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    text = own[order[starts]]
+    return text, cell[order[starts]] - first[text], majority(h[order], starts)
+
+
+def _prints(sets: list[np.ndarray], steps: np.ndarray) -> list[bytes | None]:
+    """The positional bytes of each set at its step; none for a step below the first."""
+    some = np.flatnonzero(steps >= 0)
+    positions = _positions(steps[some])
+    text, place, sims = simhashes([sets[i] for i in some], positions)
+    first = np.r_[0, np.cumsum(positions)]
+    flat = np.zeros(first[-1], np.uint8)
+    flat[first[text] + place] = (sims & np.uint64(255)).astype(np.uint8)
+    out: list[bytes | None] = [None] * len(sets)
+    for k, i in enumerate(some.tolist()):
+        out[i] = flat[first[k] : first[k + 1]].tobytes()
+    return out
+
+
+def _firsts(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of the first so many entries of each text; text ascends."""
+    starts = np.searchsorted(text, np.arange(len(wanted)))
+    return np.flatnonzero(np.arange(len(text)) - starts[text] < wanted[text])
+
+
+def _below(sizes: np.ndarray, steps: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether a partner of fewer shingles may be a step below."""
+    return (steps >= 0) & (sizes * similarity - 1e-9 <= _first_size(steps) - 1)
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+def _keys(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all postings of the sets, and the set that each belongs to."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    steps = _steps(sizes)
+    below = _below(sizes, steps, similarity)
+    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
 
+    def single(some: np.ndarray) -> None:
+        """By single shingles, in the order of their hashes."""
+        own = np.repeat(some, sizes[some])
+        h = np.concatenate([*(sets[i] for i in some), np.empty(0, "<u8")])
+        at = _firsts(np.repeat(np.arange(len(some)), sizes[some]), sizes[some] - np.ceil(similarity * sizes[some] - 1e-9).astype(np.int64) + 1)
+        keys.append(_mixed(h[at]))
+        owners.append(own[at])
 
-def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Frequent shingles of a sample, as signed integers, from less to more frequent. Any result gives an exact join."""
-    step = max(1, texts.count() // SAMPLE)
+    def positional(some: np.ndarray, step: np.ndarray, partner: np.ndarray) -> None:
+        text, place, sims = simhashes([sets[i] for i in some], _positions(step))
+        at = _firsts(text, _differing(sizes[some], partner, similarity) + 1)
+        text, place = text[at], place[at]
+        named = (step[text].astype(np.uint64) + np.uint64(1) << np.uint64(48)) + place.astype(np.uint64)
+        keys.append(_mixed(sims[at] ^ _mixed(named)))
+        owners.append(some[text])
+
+    own = np.flatnonzero(steps >= 0)
+    positional(own, steps[own], np.floor(sizes[own] / similarity + 1e-9))
+    low = np.flatnonzero(below & (steps > 0))
+    positional(low, steps[low] - 1, _first_size(steps[low]) - 1)
+    single(np.flatnonzero((sizes > 0) & ((steps < 0) | below & (steps == 0))))
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners)
+
+
+def _spread_keys(texts: DataFrame, words: int, similarity: float) -> np.ndarray:
+    """Keys that a sample tells to stand in at least one of so many texts as there are partitions. Any result is right."""
+    count, parts = texts.count(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    step = max(1, count // SAMPLE)
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate([*_sets(part.column(0), words), np.empty(0, "<u8")]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
+        found, counts = np.unique(_keys(shingle_sets(part.column(0), words), similarity)[0], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], names=["key", "n"])
 
-    some = texts.where(F.pmod("content", F.lit(step)) == 0).select("text")
-    seen = common.map_texts(some, "text", batch, _schema("shingle long, n long")).groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    rows = seen.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    return np.array([r.shingle for r in reversed(rows)], np.int64)
+    some = texts.where(F.pmod(F.xxhash64("content"), step) == 0).select("text")
+    seen = common.map_texts(some, "text", batch, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = seen.where(F.col("n") >= max(LEAST_SEEN, count // step // parts)).orderBy(F.desc("n"), "key").limit(SPREAD_KEYS).collect()
+    return np.sort(np.array([r.key for r in rows], np.int64))
 
 
 def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """key (shingle), content, size and place (in the order, from 0) of the first shingles of each text."""
-    frequent = _frequent(texts, words)
-    by_value = np.argsort(frequent)
-    sent = texts.sparkSession.sparkContext.broadcast((frequent[by_value], by_value + 1))
+    """key, node, size and spread (a part of a key that is spread, else -1) of all postings."""
+    sent = texts.sparkSession.sparkContext.broadcast(_spread_keys(texts, words, similarity))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        values, ranks = sent.value
-        columns: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
-        for content, h in zip(part.column(0).to_pylist(), _sets(part.column(1), words)):
-            n = len(h)
-            if not n:
+        sets = shingle_sets(part.column(1), words)
+        key, own = _keys(sets, similarity)
+        node = part.column(0).to_numpy()[own]
+        size = np.array([len(s) for s in sets], np.int32)[own]
+        spread = np.where(np.isin(key, sent.value), node % SPREAD, -1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size), pa.array(spread)], names=["key", "node", "size", "spread"])
+
+    return common.map_texts(texts.select("node", "text"), "text", batch, "key long, node long, size int, spread int")
+
+
+PROPOSED = "a long, b long, key long"
+
+
+def _proposed(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if key is None else pa.array(key)], names=["a", "b", "key"])
+
+
+def _lists(similarity: float, limit: int):
+    """Pairs of the short lists of a partition sorted by key; members (key, a) of the longer ones and of spread keys.
+
+    A long list is handed on as it comes and never held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        over = None  # the key of a long list that may go on
+        for batch in batches:
+            rows = [x.to_numpy() for x in batch.columns]
+            apart = rows[3] >= 0
+            if over is not None:
+                apart |= rows[0] == over
+            if apart.any():
+                yield _proposed(rows[1][apart], None, rows[0][apart])
+                rows = [x[~apart] for x in rows]
+            rows = [np.concatenate(x) for x in zip(held, rows)] if held else rows
+            if not len(rows[0]):
                 continue
-            h = h.view(np.int64)
-            first = n - math.ceil(similarity * n - 1e-9) + 1
-            if len(values):
-                at = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                h = h[np.argsort(np.where(values[at] == h, ranks[at], 0), kind="stable")]
-            for to, x in zip(columns, (h[:first], np.full(first, content), np.full(first, n), np.arange(first))):
-                to.append(x[:first])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in columns], names=["key", "content", "size", "place"])
-
-    return common.map_texts(texts.select("content", "text"), "text", batch, _schema("key long, content long, size long, place long"))
-
-
-PAIRS = "a long, b long, key long"
-#: Postings of one list that a task holds at once when it looks for pairs; members of longer lists go on in parts.
-HELD = 1 << 18
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], int | None]]:
-    """Whole lists of a partition sorted by key, many at a time; the key of a list that comes in parts."""
-    carry: list[np.ndarray] | None = None
-    parted = None
-    for batch in batches:
-        rows = [x.to_numpy() for x in batch.columns]
-        rows = [np.concatenate(x) for x in zip(carry, rows)] if carry else rows
-        if not len(rows[0]):
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        if cut:
-            yield [x[:cut] for x in rows], parted
-            parted = None
-        carry = [x[cut:] for x in rows]
-        if len(carry[0]) > HELD:
-            parted = int(carry[0][0])
-            yield carry, parted
-            carry = [x[-1:] for x in carry]
-    if carry:
-        yield carry, parted
-
-
-def _triples(a: np.ndarray, b: np.ndarray | None, key: np.ndarray) -> pa.RecordBatch:
-    if b is None:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.nulls(len(a), pa.int64()), pa.array(key)], names=["a", "b", "key"])
-    good = a != b
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good]), pa.array(key[good])], names=["a", "b", "key"])
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from lists([x[:cut] for x in rows])
+            held = [x[cut:] for x in rows]
+            if len(held[0]) > limit:
+                over = held[0][0]
+                yield _proposed(held[1], None, held[0])
+                held = None
+        if held:
+            yield from lists(held)
+
+    def lists(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, node, size, _ = rows
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
+        sizes = np.diff(np.r_[starts, len(key)])
+        for length in np.unique(sizes[(sizes > 1) & (sizes <= limit)]):
+            first = starts[sizes == length]
+            i, j = np.triu_indices(length, 1)
+            a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
+            may = _similar(np.minimum(size[a], size[b]), size[a], size[b], similarity) & (node[a] != node[b])
+            pairs = np.unique(np.sort(np.c_[node[a[may]], node[b[may]]], axis=1), axis=0)
+            if len(pairs):
+                yield _proposed(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), None)
+        long = np.repeat(sizes > limit, sizes)
+        if long.any():
+            yield _proposed(node[long], None, key[long])
 
+    return run
 
-def _similar(common_size, size_a, size_b, similarity: float):
-    """Whether a Jaccard similarity is reached; of arrays or of columns."""
-    return common_size * (1 + similarity) >= (size_a + size_b) * similarity - 1e-9
+
+def _stars(members: DataFrame) -> DataFrame:
+    """a, b: each member of a long list with the list's hub, the member that stands in most long lists."""
+    weighed = members.join(members.groupBy("node").count(), "node")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("count", "node"))["node"].alias("hub"))
+    both = members.join(hubs, "key").where("node <> hub")
+    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+SHEET = "node long, size int, print binary, lower binary, set array<long>"
+
+
+def _sheets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """What pairs are judged by: size, bytes at the text's step (print) and at the one below (lower) where partners of
+    fewer shingles may be there, and the set of shingles."""
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(part.column(1), words)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        steps = _steps(sizes)
+        lower = np.where(_below(sizes, steps, similarity), steps - 1, -1)
+        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        flat = pa.array(np.concatenate([*sets, np.empty(0, "<u8")]).view(np.int64))
+        columns = [part.column(0), pa.array(sizes, pa.int32()), pa.array(_prints(sets, np.maximum(steps, 0)), pa.binary()), pa.array(_prints(sets, lower), pa.binary()), pa.ListArray.from_arrays(ends, flat)]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "size", "print", "lower", "set"])
+
+    return common.map_texts(texts.select("node", "text"), "text", batch, T.StructType.fromDDL(SHEET))
 
 
-def _pairs(similarity: float, limit: int):
-    """Candidate pairs of the short lists of a partition sorted by key; members of longer ones go on (b is null)."""
+def _enough(shared, size_a, size_b, positions, similarity: float):
+    """The count filter: whether the guaranteed minimum of positional bytes is shared."""
+    return shared >= positions - _differing(size_a, size_b, similarity)
+
+
+def _tallied(similarity: float):
+    """The pairs that the count filter leaves; rows: a, b, size, print and lower of a, then of b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (key, node, size, place), parted in _windows(batches):
-            edges = np.flatnonzero(np.diff(key)) + 1
-            starts, ends = np.r_[0, edges], np.r_[edges, len(key)]
-            sizes = ends - starts
-            long = (sizes > limit) | (key[starts] == parted) if parted is not None else sizes > limit
-            for length in np.unique(sizes[(sizes > 1) & ~long]):
-                first = starts[(sizes == length) & ~long]
-                i, j = np.triu_indices(length, 1)
-                a, b = (first[:, None] + i).ravel(), (first[:, None] + j).ravel()
-                most = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b])
-                may = _similar(np.minimum(most, np.minimum(size[a], size[b])), size[a], size[b], similarity)
-                if may.any():
-                    yield _triples(node[a[may]], node[b[may]], key[a[may]])
-            own = np.repeat(long, sizes)
-            if own.any():
-                yield _triples(node[own], None, key[own])
+        for batch in batches:
+            size_a, size_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 5))
+            step = np.maximum(np.minimum(_steps(size_a), _steps(size_b)), 0)
+            print_a, lower_a, print_b, lower_b = (batch.column(i).to_pylist() for i in (3, 4, 6, 7))
+            shared = np.empty(len(step), np.int64)
+            for i, width in enumerate(_positions(step).tolist()):
+                x = print_a[i] if len(print_a[i]) == width else lower_a[i]
+                y = print_b[i] if len(print_b[i]) == width else lower_b[i]
+                shared[i] = -1 if x is None or y is None else np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))
+            good = pa.array(_enough(shared, size_a, size_b, _positions(step), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return run
 
 
-#: Members whose pairs are counted in one matrix, and the product of list lengths from which a shingle is multiplied.
-TILE, DENSE = 1024, 256
-
-
-def _by_term(term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(term, kind="stable")
-    found, starts, counts = np.unique(term[order], return_index=True, return_counts=True)
-    return found, starts, counts, doc[order]
-
-
-def _overlaps(x: tuple, y: tuple, nx: int, ny: int) -> np.ndarray:
-    """Sizes of the intersections of nx sets with ny sets, each given by _by_term()."""
-    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
-    (sx, cx), (sy, cy) = (x[1][i], x[2][i]), (y[1][j], y[2][j])
-    out = np.zeros((nx, ny), np.float32)
-    many = np.flatnonzero(cx * cy > DENSE)
-    for a in range(0, len(many), 1024):
-        part = many[a : a + 1024]
-        sides = []
-        for n, starts, counts, docs in ((nx, sx[part], cx[part], x[3]), (ny, sy[part], cy[part], y[3])):
-            side = np.zeros((n, len(part)), np.float32)
-            at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-            side[docs[at], np.repeat(np.arange(len(part)), counts)] = 1
-            sides.append(side)
-        out += sides[0] @ sides[1].T
-    few = np.flatnonzero(cx * cy <= DENSE)
-    for a in range(0, len(few), 20_000):
-        part = few[a : a + 20_000]
-        n, wide = cx[part] * cy[part], cy[part]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        u, v = step // np.repeat(wide, n), step % np.repeat(wide, n)
-        cells = x[3][np.repeat(sx[part], n) + u].astype(np.int64) * ny + y[3][np.repeat(sy[part], n) + v]
-        out += np.bincount(cells, minlength=nx * ny).reshape(nx, ny)
-    return out.astype(np.int64)
-
-
-def _spanning(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Edges that, with those within equal roots, connect exactly the members that similar pairs connect: fewer than
-    members. Every pair of different components is compared by its exact intersection, but none is emitted."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    node, sets, size = node[order], [sets[i] for i in order], np.array([len(sets[i]) for i in order])
-    label = np.unique(root[order], return_inverse=True)[1]
-    u: list[int] = []
-    v: list[int] = []
-    tiles = []
-    for a in range(0, len(node), TILE):
-        part = sets[a : a + TILE]
-        tiles.append((a, len(part), _by_term(np.concatenate(part), np.repeat(np.arange(len(part)), size[a : a + TILE]))))
-    for k, (a, n, x) in enumerate(tiles):
-        for b, m, y in tiles[: k + 1]:
-            mine, other = label[a : a + n], label[b : b + m]
-            # sizes rise, so the last of the earlier tile is its largest and the first of this one its smallest
-            if size[b + m - 1] < similarity * size[a] - 1e-9 or (mine == mine[0]).all() and (other == mine[0]).all():
+def _verified(pairs: DataFrame, sheets: DataFrame, similarity: float) -> DataFrame:
+    """u, v of the pairs that are similar: first by the count filter, then by the intersection of their sets."""
+
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        side = lambda n: sheets.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in columns))
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{n}" for n in "ab" for c in columns))
+
+    left = common.map_arrow(joined(pairs, "size", "print", "lower"), _tallied(similarity), "a long, b long")
+    both = joined(left, "set")
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return both.where(_similar(shared, F.size("set_a"), F.size("set_b"), similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """task, node, root: the members of each long list that has members of several components.
+
+    A list of several blocks has a task for each pair of blocks, so that any two members of different components meet;
+    blocks of the largest component don't meet each other. Lists with the same members are one.
+    """
+    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mark = F.xxhash64("node")
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("mark"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("marks"))
+    by_key = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.bit_xor("mark").alias("mark"), F.sum("marks").alias("marks"))
+    blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
+    mixed = by_key.where("all > top.n").dropDuplicates(["all", "mark", "marks"])
+    mixed = mixed.select("key", F.col("top.root").alias("largest"), blocks(F.col("all") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("most"), (F.col("all") <= BLOCK_MEMBERS).alias("one"))
+    dealt = placed.join(mixed, "key").withColumn("is_most", F.col("root") == F.col("largest"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_most"), F.col("most")).otherwise(F.col("rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    task = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    same = F.transform(upto(F.col("rest")), lambda i: task(1, F.least("block", i), F.greatest("block", i)))
+    other = F.transform(upto(F.col("most")), lambda i: task(2, F.col("block"), i))
+    for_most = F.transform(upto(F.col("rest")), lambda i: task(2, i, F.col("block")))
+    wanted = F.when(F.col("one"), F.array(task(0, F.lit(0), F.lit(0)))).when(F.col("is_most"), for_most).otherwise(F.concat(same, other))
+    met = dealt.select("key", "node", "root", F.explode(wanted).alias("in"))
+    # tasks whose hashes meet only compare more pairs
+    return met.select(F.xxhash64("key", "in.kind", "in.x", "in.y").alias("task"), "node", "root")
+
+
+def _across(node: np.ndarray, root: np.ndarray, size: np.ndarray, prints: list, lowers: list, similarity: float) -> Iterator[np.ndarray]:
+    """Pairs of members of different components that the count filter leaves."""
+    steps = np.maximum(_steps(size), 0)
+    labels, label, counts = np.unique(root, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(label != counts.argmax())
+    for step in np.unique(steps).tolist():
+        width = int(_positions(step))
+        at = np.array([i for i in range(len(node)) if len(prints[i]) == width or lowers[i] is not None and len(lowers[i]) == width])
+        bytes_at = np.frombuffer(b"".join(prints[i] if len(prints[i]) == width else lowers[i] for i in at), np.uint8).reshape(len(at), width)
+        where = np.full(len(node), -1)
+        where[at] = np.arange(len(at))
+        for i in rest.tolist():
+            if where[i] < 0:
                 continue
-            close = _similar(_overlaps(x, y, n, m), size[a : a + n, None], size[None, b : b + m], similarity)
-            close &= mine[:, None] != other[None, :]
-            for i in np.flatnonzero(close.any(1)).tolist():
-                near = b + np.flatnonzero(close[i])
-                for met, first in zip(*np.unique(label[near], return_index=True)):
-                    if met != label[a + i]:
-                        u.append(int(node[a + i]))
-                        v.append(int(node[near[first]]))
-                        label[label == met] = label[a + i]
-    return u, v
-
-
-def _linked(similarity: float):
-    """Spanning edges of the members of each task of a partition sorted by task; rows: task, content, root, set."""
-
-    def edges(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        node, root = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2))
-        sets = [x.values.to_numpy(zero_copy_only=False) for p in parts for x in p.column(3)]
-        u, v = _spanning(node, root, sets, similarity)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            # of two members of the smaller components, the one that comes first looks for the other
+            may = (root[at] != root[i]) & (np.minimum(steps[at], steps[i]) == step) & ((label[at] == counts.argmax()) | (at > i))
+            may &= _similar(np.minimum(size[at], size[i]), size[at], size[i], similarity)
+            some = np.flatnonzero(may)
+            for a in range(0, len(some), 4096):
+                part = some[a : a + 4096]
+                shared = (bytes_at[part] == bytes_at[where[i]]).sum(1)
+                near = at[part[_enough(shared, size[at[part]], size[i], width, similarity)]]
+                if len(near):
+                    yield np.c_[np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]
+
+
+def _compared(similarity: float):
+    """Pairs a, b of each task of a partition sorted by task; rows: task, node, root, size, print, lower."""
+
+    def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, root, size = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2, 3))
+        prints, lowers = ([x for p in parts for x in p.column(i).to_pylist()] for i in (4, 5))
+        for found in _across(node, root, size.astype(np.int64), prints, lowers, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -314,78 +391,41 @@ def _linked(similarity: float):
                 if a == b:
                     continue
                 if held and held[0].column(0)[0].as_py() != task[a]:
-                    yield edges(held)
+                    yield from pairs(held)
                     held = []
                 held.append(batch.slice(a, b - a))
         if held:
-            yield edges(held)
+            yield from pairs(held)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v of the pairs whose similarity reaches the threshold."""
-    side = lambda n: sets.select(F.col("content").alias(n), F.col("set").alias(f"set_{n}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(_similar(shared, F.size("set_a"), F.size("set_b"), similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-
-def _stars(members: DataFrame) -> DataFrame:
-    """a, b: each member of a long list with the list's hub, the member that stands in most long lists."""
-    weighed = members.join(members.groupBy("content").count(), "content")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("count", "content"))["content"].alias("hub"))
-    both = members.join(hubs, "key").where("content <> hub")
-    return both.select(F.least("content", "hub").alias("a"), F.greatest("content", "hub").alias("b")).distinct()
-
-
-#: Shingles and members that a block of a long list holds about.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 1 << 20, 1 << 13
-
-
-def _tasks(members: DataFrame, roots: DataFrame, sizes: DataFrame) -> DataFrame:
-    """task, content, root: the members of each long list that has members of several components, to be compared.
-
-    A list of several blocks has a task for each pair of blocks, so that any two of its members meet in one. sizes:
-    content, size.
-    """
-    placed = members.join(roots.withColumnRenamed("node", "content"), "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
-    blocks = F.ceil(F.greatest(F.sum("size") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).cast("long")
-    mixed = placed.join(sizes, "content").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks")).where("low <> high")
-    dealt = placed.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("content"), "blocks"))
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != F.col("block")))
-    met = dealt.select("key", "content", "root", "block", F.explode(others).alias("other"))
-    # tasks whose hashes meet only compare more pairs
-    return met.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "content", "root")
-
-
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """content, least (smallest doc_id of the text), root and keep: keep holds for one text of each group of near copies,
     the one of the smallest doc_id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), content(F.col(text_col)).alias("content"), F.col(text_col).alias("text"))
-    texts = common.stored(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")), "texts")
+    if not 0.5 < similarity <= 1:
+        raise ValueError("a similarity above 0.5: partners must not be more than one step of positions below")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), content(F.col(f"`{text_col}`")).alias("content"), F.col(f"`{text_col}`").alias("text"))
+    # node numbers are written with the rows, so all that follows reads the same ones
+    texts = common.stored(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")).withColumn("node", F.monotonically_increasing_id()), "texts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = _postings(texts, words, similarity).repartition(parts, "key").sortWithinPartitions("key")
-    named = common.stored(common.map_arrow(postings, _pairs(similarity, LIST_LIMIT), PAIRS), "pairs")
-    members = named.where("b is null").select("key", F.col("a").alias("content"))
+    postings = _postings(texts, words, similarity).repartition(parts, "key", "spread").sortWithinPartitions("key")
+    proposed = common.stored(common.map_arrow(postings, _lists(similarity, LIST_LIMIT), PROPOSED), "proposed")
+    members = proposed.where("b is null").select("key", F.col("a").alias("node"))
     some_long = not members.isEmpty()
-    pairs = named.where("b is not null").select("a", "b")
+    pairs = proposed.where("b is not null").select("a", "b")
     pairs = common.stored((pairs.union(_stars(members)) if some_long else pairs).distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("content")).distinct().toDF("content")
-
-    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), _lists([h.view(np.int64) for h in _sets(part.column(1), words)])], names=["content", "set"])
-
-    chosen = texts.select("content", "text").join(wanted, "content", "left_semi")
-    sets = common.stored(common.map_texts(chosen, "text", batch, _schema("content long, set array<long>")), "sets")
-    roots = graph.components(_verified(pairs, sets, similarity))
+    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("node")).distinct().toDF("node")
+    sheets = common.stored(_sheets(texts.select("node", "text").join(wanted, "node", "left_semi"), words, similarity), "sheets")
+    roots = graph.components(_verified(pairs, sheets, similarity))
     if some_long:
-        tasks = common.stored(_tasks(members, roots, sets.select("content", F.size("set").alias("size"))), "tasks")
+        tasks = common.stored(_tasks(members, roots), "tasks")
         if not tasks.isEmpty():
-            whole = tasks.join(sets, "content").select("task", "content", "root", "set")
-            links = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _linked(similarity), "u long, v long")
+            whole = tasks.join(sheets.select("node", "size", "print", "lower"), "node").select("task", "node", "root", "size", "print", "lower")
+            found = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _compared(similarity), "a long, b long")
+            links = _verified(common.stored(found.distinct(), "across"), sheets, similarity)
             roots = graph.components(links.union(roots.toDF("u", "v")))
-    labelled = common.stored(texts.join(roots.withColumnRenamed("node", "content"), "content", "left").select("content", "least", F.coalesce("root", "content").alias("root")), "labels")
+    labelled = common.stored(texts.select("content", "least", "node").join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root")), "labels")
     first = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content")).alias("first"))
     return labelled.join(first.select("root", F.col("first.content").alias("kept")), "root").select("content", "least", "root", (F.col("content") == F.col("kept")).alias("keep"))
 

@@ -61,6 +61,20 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def majority(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The fingerprints of runs of hashes that begin at starts; no run is empty."""
+    out = hashes[starts]
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    several = np.flatnonzero(sizes > 1)
+    if len(several):
+        own = np.repeat(sizes > 1, sizes)
+        bits = np.unpackbits(hashes[own].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sizes = sizes[several]
+        counts = np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]], axis=0, dtype=np.uint32)
+        out[several] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 FINGERPRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
 
 
