@@ -13,14 +13,20 @@ list of ranges (the JSON tokenizer library was asked character by character too:
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
+from varsift.llm.piece_cache import PieceCache
+
 LETTER, NUMBER, OTHER, SPACE, WHITE, BREAK, SPACE_NEXT, WHITE_NEXT, QUOTE2, QUOTE3 = range(10)
 START, IN_LETTER, IN_NUMBER, IN_OTHER, AFTER_SPACE, IN_WHITE, ONE_LEFT, TWO_LEFT = range(8)
 STATES = 8
 WIDTH = 128
+#: Bytes of text that are split into pieces at once; each takes some thirty bytes of work space.
+PORTION = 1 << 20
 
 Ranges = tuple[tuple[int, int, int], ...]
 
@@ -127,6 +133,36 @@ def cuts(kinds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(found.T.ravel()[:n])
 
 
+#: A blank behind a visible ASCII character: a piece begins there, whatever stands before and behind.
+_CUT = re.compile(rb"[!-~](?= )")
+
+
+def portions(texts: list[bytes], most: int = PORTION) -> Iterator[tuple[list[bytes], list[int]]]:
+    """The texts in portions of about `most` bytes, and the text that each part belongs to.
+
+    Texts longer than that are cut where a piece begins in any case; one without such a place stays whole.
+    """
+    parts: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+    for i, text in enumerate(texts):
+        a = 0
+        while a < len(text) or not text:
+            found = _CUT.search(text, a + most) if len(text) - a > most else None
+            b = found.end() if found else len(text)
+            parts.append(text[a:b])
+            owners.append(i)
+            held += b - a
+            a = b
+            if held >= most:
+                yield parts, owners
+                parts, owners, held = [], [], 0
+            if not text:
+                break
+    if parts:
+        yield parts, owners
+
+
 class Pieces:
     """Pieces of a list of texts: byte slices, and where each text's slices begin in the list of slices."""
 
@@ -152,3 +188,14 @@ class Pieces:
     def slices(self) -> list[bytes]:
         buffer = self.buffer
         return [buffer[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist())]
+
+
+def encode(texts: list[bytes], ranges: Ranges, cache: PieceCache) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and the ends of the texts among them, from 0 on."""
+    found, counts = [np.empty(0, np.uint32)], np.zeros(len(texts) + 1, np.int64)
+    for parts, owners in portions(texts):
+        pieces = Pieces(parts, ranges)
+        ids, sizes = cache.look_up(pieces.buffer, pieces.starts, pieces.ends)
+        found.append(ids)
+        np.add.at(counts, np.array(owners) + 1, np.diff(np.r_[0, np.cumsum(sizes, dtype=np.int64)][pieces.bounds]))
+    return np.concatenate(found), np.cumsum(counts)

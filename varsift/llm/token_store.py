@@ -2,8 +2,9 @@
 
 A shard holds the ids of consecutive documents, one after the other, and the cumulative ends of the documents as an
 Elias-Fano sequence: the low bits of each end are packed, the high bits are written in unary, and a sample of set-bit
-positions lets select(i) find the i-th end in a short scan. n ends below u take about n * (2 + log2(u / n)) bits, with
-no table of 64-bit offsets.
+positions lets select find the i-th end, or a run of ends, in a short scan. n ends below u take about
+n * (2 + log2(u / n)) bits, with no table of 64-bit offsets; readers go by select too. The ascending doc_ids are a
+second such sequence, and of null ones only the number is kept.
 
 Documents are dealt out by ranges of (doc_id, hash of the text), so a doc_id that many rows share is spread as well.
 Every task writes its shards under names of its own attempt and reports them; the manifest, a table in the shared
@@ -11,7 +12,7 @@ folder, lists only what successful attempts reported. A task that is run again a
 doubles or damages a shard.
 
 Defined cases: a null text is an empty one and has the end id alone; null doc_ids come first; rows with equal doc_id
-are in the order of their texts' hashes and texts; an empty table gives no shards and an empty result; extra columns
+are in the order of their texts' hashes and texts; a text is encoded whole, however long; an empty table gives no shards and an empty result; extra columns
 are ignored.
 """
 
@@ -28,15 +29,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varsift.llm import common, pretokens
+from varsift.llm import common, piece_cache, pretokens
 
-#: Distinct pieces that a worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHED_PIECES = 700_000
-MAGIC = b"VSTOKEN1"
+#: New pieces that go to the library in one call.
+JOINED = 4096
+MAGIC = b"VSTOKEN2"
 #: A select sample for so many ends.
 SAMPLE = 256
 #: A shard is closed at so many ids or documents.
 SHARD_IDS, SHARD_DOCS = 1 << 22, 1 << 17
+#: Documents that are read from a shard at once.
+READ_DOCS = 1 << 12
 
 
 class EliasFano:
@@ -62,49 +65,40 @@ class EliasFano:
         high[ones] = 1
         return cls(n, top, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
 
-    def _low(self, i: np.ndarray) -> np.ndarray:
+    def _low(self, a: int, b: int) -> np.ndarray:
+        """Low bits of the values a to b."""
         if not self.width:
-            return np.zeros(len(i), np.int64)
-        at = i[:, None] * self.width + np.arange(self.width)
+            return np.zeros(b - a, np.uint64)
+        at = np.arange(a, b)[:, None] * self.width + np.arange(self.width)
         bits = (self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        return (bits.astype(np.int64) << np.arange(self.width)).sum(1)
-
-    def select(self, i: int) -> int:
-        """The i-th value, from the sample before it and a scan of the bits between."""
-        first = int(self.samples[i // SAMPLE])
-        left = i % SAMPLE
-        byte = first >> 3
-        window = 2 * SAMPLE // 8
-        while True:
-            bits = np.unpackbits(self.high[byte : byte + window], bitorder="little")
-            found = np.flatnonzero(bits)
-            found = found[found + byte * 8 >= first]
-            if len(found) > left or byte + window >= len(self.high):
-                one = int(found[left]) + byte * 8
-                return ((one - i) << self.width) | int(self._low(np.array([i]))[0])
-            window *= 2
-
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return ((ones - i) << self.width) | self._low(i)
+        return (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(1, dtype=np.uint64)
+
+    def select(self, a: int, b: int | None = None) -> np.ndarray:
+        """The values a to b (one, if no b is given), from the sample before them and a scan of the bits up to the
+        sample behind them; no other value is touched."""
+        b = a + 1 if b is None else b
+        if a >= b:
+            return np.empty(0, np.uint64)
+        byte = int(self.samples[a // SAMPLE]) >> 3
+        behind = (b - 1) // SAMPLE + 1
+        last = (int(self.samples[behind]) >> 3) + 1 if behind < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:last], bitorder="little")) + byte * 8
+        skip = int(np.searchsorted(ones, self.samples[a // SAMPLE])) + a % SAMPLE
+        ones = ones[skip : skip + b - a]
+        return ((ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.width)) | self._low(a, b)
+
+    def parts(self) -> list[bytes]:
+        return [self.low.tobytes(), self.high.tobytes(), self.samples.astype("<u4").tobytes()]
 
 
 def pack_shard(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """Header, doc_ids with their nulls, Elias-Fano ends, ids in 16 or 32 bits."""
-    ef = EliasFano.encode(ends)
+    """Header, doc_ids and ends as Elias-Fano sequences, ids in 16 or 32 bits. doc_ids ascend, nulls first."""
+    known = np.array([x for x in doc_ids if x is not None], np.int64)
+    first = known[:1].view(np.uint64)
+    named, ends = EliasFano.encode(known.view(np.uint64) - (first if len(first) else np.uint64(0))), EliasFano.encode(ends)
     wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    known = np.array([x is not None for x in doc_ids], np.uint8)
-    parts = [
-        np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(),
-        np.packbits(known, bitorder="little").tobytes(),
-        ef.low.tobytes(),
-        ef.high.tobytes(),
-        ef.samples.astype("<u4").tobytes(),
-        ids.astype("<u2" if wide == 2 else "<u4").tobytes(),
-    ]
-    header = np.array([len(doc_ids), ef.top, wide, *map(len, parts)], "<u8").tobytes()
+    parts = [*named.parts(), *ends.parts(), ids.astype("<u2" if wide == 2 else "<u4").tobytes()]
+    header = np.array([len(doc_ids), len(known), int(first[0]) if len(first) else 0, named.top, ends.top, wide, *map(len, parts)], "<u8").tobytes()
     return MAGIC + header + b"".join(parts)
 
 
@@ -114,19 +108,32 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a token shard")
-        n, top, wide, *sizes = np.frombuffer(data, "<u8", 9, 8).tolist()
-        at, parts = 8 + 72, []
+        self.n, known, self.first, top_id, top_end, wide, *sizes = np.frombuffer(data, "<u8", 13, 8).tolist()
+        at, parts = 8 + 13 * 8, []
         for size in sizes:
             parts.append(data[at : at + size])
             at += size
-        known = np.unpackbits(np.frombuffer(parts[1], np.uint8), bitorder="little")[:n]
-        self.doc_ids = [x if k else None for x, k in zip(np.frombuffer(parts[0], "<i8").tolist(), known.tolist())]
-        self.ends = EliasFano(n, top, np.frombuffer(parts[2], np.uint8), np.frombuffer(parts[3], np.uint8), np.frombuffer(parts[4], "<u4"))
-        self.ids = np.frombuffer(parts[5], "<u2" if wide == 2 else "<u4")
+        low, high, samples = (lambda p: np.frombuffer(p, np.uint8)), (lambda p: np.frombuffer(p, np.uint8)), (lambda p: np.frombuffer(p, "<u4"))
+        self.nulls = self.n - known
+        self.named = EliasFano(known, top_id, low(parts[0]), high(parts[1]), samples(parts[2]))
+        self.ends = EliasFano(self.n, top_end, low(parts[3]), high(parts[4]), samples(parts[5]))
+        self.ids = np.frombuffer(parts[6], "<u2" if wide == 2 else "<u4")
+
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        """doc_ids of the documents a to b."""
+        none = max(0, min(b, self.nulls) - a)
+        known = self.named.select(max(0, a - self.nulls), max(0, b - self.nulls)) + np.uint64(self.first)
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(known.view(np.int64), pa.int64())])
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where the documents a to b begin, and where the last of them ends."""
+        found = self.ends.select(max(0, a - 1), b).astype(np.int64)
+        return found if a else np.r_[0, found]
 
     def document(self, i: int) -> np.ndarray:
-        """Ids of the i-th document, by two selects."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        """Ids of the i-th document."""
+        a, b = self.bounds(i, i + 1)
+        return self.ids[a:b]
 
 
 def _files(path: str):
@@ -135,49 +142,56 @@ def _files(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-class LibraryCache(dict):
-    """Piece -> its ids by the tokenizers library, as little-endian 32-bit integers."""
+class Library:
+    """The tokenizers library behind a cache of pieces."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece; those not known yet are encoded in one call of the library."""
-        found = list(map(self.get, pieces))
-        if None in found:
-            new = list({p for p, ids in zip(pieces, found) if ids is None})
-            if len(self) + len(new) > CACHED_PIECES:
-                self.clear()
-            encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-            fresh = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(new, encoded)}
-            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found)]
-            self.update(fresh)
-        return found
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a line feed between two pieces without white space at their ends is a piece of its own
+        self.line_feed = self.encode("\n")
+        self.cache = piece_cache.PieceCache(self.resolve)
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def resolve(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and the number of each one's: many to a call of the library, with line feeds between."""
+        found: list[np.ndarray | None] = [None] * len(pieces)
+        texts = [p.decode() for p in pieces]
+        some = [i for i, t in enumerate(texts) if not t.isspace()] if len(self.line_feed) == 1 else []
+        for a in range(0, len(some), JOINED):
+            part = some[a : a + JOINED]
+            ids = np.array(self.encode("\n".join(texts[i] for i in part)), np.uint32)
+            ends = np.r_[np.flatnonzero(ids == self.line_feed[0]), len(ids)]
+            if len(ends) != len(part):  # then each piece by itself
+                continue
+            for i, x, y in zip(part, np.r_[0, ends[:-1] + 1].tolist(), ends.tolist()):
+                found[i] = ids[x:y]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+            found[i] = np.array(e.ids, np.uint32)
+        return np.concatenate([*found, np.empty(0, np.uint32)]), np.array([len(x) for x in found], np.int32)
 
 
 @lru_cache(2)
-def _library(path: str) -> LibraryCache:
+def _library(path: str) -> Library:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return LibraryCache(path)
+    return Library(path)
 
 
-def encode_texts(texts: list[bytes], path: str, ranges) -> list[bytes]:
-    """Ids of each text, packed in 32 bits. A text with a special token's string goes to the library whole."""
+def encode_texts(texts: list[bytes], path: str, ranges) -> list[np.ndarray]:
+    """Ids of each text. A text with a special token's string goes to the library whole."""
     library = _library(path)
-    pieces = pretokens.Pieces(texts, ranges)
-    packed = library.ids(pieces.slices())
-    bounds = pieces.bounds.tolist()
-    out = [b"".join(packed[a:b]) for a, b in zip(bounds, bounds[1:])]
-    for special in map(str.encode, library.added):
-        for i, t in enumerate(texts):
-            if special in t:
-                out[i] = np.array(library.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    ids, ends = pretokens.encode(texts, ranges, library.cache)
+    out = [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+    for i, t in enumerate(texts):
+        if any(special in t for special in library.special):
+            out[i] = np.array(library.encode(t.decode("utf-8", "replace")), np.uint32)
     return out
 
 
@@ -195,14 +209,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], np.uint32)
         files, base = _files(folder)
-        held: list[tuple[int | None, bytes]] = []
+        held: list[tuple[int | None, np.ndarray]] = []
         size = seq = 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            ends = np.cumsum([len(x) // 4 for _, x in held])
+            ids = np.concatenate([y for _, x in held for y in (x, end)])
+            ends = np.cumsum([len(x) + 1 for _, x in held])
             name = f"{base}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tokens"
             with files.open_output_stream(name) as out:
                 out.write(pack_shard([i for i, _ in held], ends, ids))
@@ -212,9 +226,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int,
         files.create_dir(base, recursive=True)
         for batch in batches:
             for rows in common.slices(batch, "text"):
-                for i, packed in zip(rows.column(0).to_pylist(), encode_texts(common.text_bytes(rows.column(1)), tokenizer_path, ranges)):
-                    held.append((i, packed + end))
-                    size += len(packed) // 4 + 1
+                for i, ids in zip(rows.column(0).to_pylist(), encode_texts(common.text_bytes(rows.column(1)), tokenizer_path, ranges)):
+                    held.append((i, ids))
+                    size += len(ids) + 1
                     if size >= SHARD_IDS or len(held) >= SHARD_DOCS:
                         yield flush()
                         held.clear()
@@ -243,21 +257,22 @@ def read_tokens(spark: SparkSession, manifest: str, ids: bool = True) -> DataFra
                 files, name = _files(row["path"])
                 with files.open_input_stream(name) as data:
                     shard = Shard(data.read())
-                ends = np.r_[0, shard.ends.values()]
-                for a in range(0, len(shard.doc_ids), 4096):
-                    b = min(a + 4096, len(shard.doc_ids))
-                    part = shard.ids[ends[a] : ends[b]].astype("<u4")
-                    own = ends[a : b + 1] - ends[a]
+                for a in range(0, shard.n, READ_DOCS):
+                    b = min(a + READ_DOCS, shard.n)
+                    bounds = shard.bounds(a, b)
+                    part = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    own = bounds - bounds[0]
                     sums = [zlib.crc32(part[x:y]) for x, y in zip(own, own[1:])]
-                    columns = [pa.array(shard.doc_ids[a:b], pa.int64()), pa.array(row["base"] + ends[a:b]), pa.array(np.diff(own)), pa.array(sums, pa.int64())]
+                    columns = [shard.doc_ids(a, b), pa.array(row["base"] + bounds[:-1]), pa.array(np.diff(own)), pa.array(sums, pa.int64())]
                     if ids:
                         columns.append(pa.ListArray.from_arrays(pa.array(own.astype(np.int32)), pa.array(part.astype(np.int32))))
                     yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, to)], schema=to)
 
-    # a row for each shard of some million ids: small enough for one running sum
+    # running sums in two steps: within the parts, and over one row for each part
     shards = spark.read.parquet(manifest)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = shards.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("all")).select("part", F.coalesce(F.sum("all").over(before("part")), F.lit(0)).alias("first"))
+    placed = shards.join(parts, "part").select("path", (F.col("first") + F.coalesce(F.sum("n_tokens").over(before("part", "seq")), F.lit(0))).alias("base"))
     spread = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return common.map_arrow(spread, read, schema)
 
