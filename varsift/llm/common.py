@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """df, kept on the executors' disks from its first use on. What a lost executor held is made anew from its lineage,
+    so df must give the same rows each time. For small tables that are used again soon; the caller unpersists them."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def parts(spark: SparkSession, share: int = 1) -> int:
+    """The session's number of shuffle partitions, or for smaller tables a share of it."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+
+
+def others(df: DataFrame, results: list[str]) -> list[str]:
+    """The columns of df whose names no result takes."""
+    taken = {c.lower() for c in results}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def lower_az(column):
     """Lower-case A-Z alone; other letters keep their case."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -13,7 +13,7 @@ touches one position, so two texts of n and m shingles at a similarity of s agre
 3. Verification by the exact intersection of the shingle sets (64-bit hashes).
 
 The number of positions grows with the text by powers of two (_positions). Texts just above such a step are indexed, and
-carry bytes, at the step below as well, for the sake of partners there. Texts of fewer than SMALL shingles are indexed
+have bytes, at the step below as well, for the sake of partners there. Texts of fewer than SMALL shingles are indexed
 by single shingles. A text needs so many filled positions as it has postings; the odds that one falls short are below
 10^-11. Else no step is an estimate, whatever the length of a list.
 
@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,18 +114,14 @@ def simhashes(sets: list[np.ndarray], positions: np.ndarray) -> tuple[np.ndarray
     return text, cell[order[starts]] - first[text], majority(h[order], starts)
 
 
-def _prints(sets: list[np.ndarray], steps: np.ndarray) -> list[bytes | None]:
-    """The positional bytes of each set at its step; none for a step below the first."""
-    some = np.flatnonzero(steps >= 0)
-    positions = _positions(steps[some])
-    text, place, sims = simhashes([sets[i] for i in some], positions)
+def bytes_of(sets: list[np.ndarray], steps: np.ndarray) -> list[bytes]:
+    """The positional bytes of each set at a step."""
+    positions = _positions(steps)
+    text, place, sims = simhashes(sets, positions)
     first = np.r_[0, np.cumsum(positions)]
     flat = np.zeros(first[-1], np.uint8)
     flat[first[text] + place] = (sims & np.uint64(255)).astype(np.uint8)
-    out: list[bytes | None] = [None] * len(sets)
-    for k, i in enumerate(some.tolist()):
-        out[i] = flat[first[k] : first[k + 1]].tobytes()
-    return out
+    return [flat[a:b].tobytes() for a, b in zip(first.tolist(), first[1:].tolist())]
 
 
 def _firsts(text: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -171,7 +168,7 @@ def _keys(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nda
 
 def _spread_keys(texts: DataFrame, words: int, similarity: float) -> np.ndarray:
     """Keys that a sample tells to stand in at least one of so many texts as there are partitions. Any result is right."""
-    count, parts = texts.count(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count, parts = texts.count(), common.parts(texts.sparkSession)
     step = max(1, count // SAMPLE)
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -184,8 +181,20 @@ def _spread_keys(texts: DataFrame, words: int, similarity: float) -> np.ndarray:
     return np.sort(np.array([r.key for r in rows], np.int64))
 
 
+def _prints(sets: list[np.ndarray], similarity: float) -> list[bytes]:
+    """The positional bytes of each set at its step, and behind them those at the step below where it has partners."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    steps = _steps(sizes)
+    lower = np.flatnonzero(_below(sizes, steps, similarity) & (steps > 0))
+    own, below = bytes_of(sets, np.maximum(steps, 0)), bytes_of([sets[i] for i in lower], steps[lower] - 1)
+    for i, x in zip(lower.tolist(), below):
+        own[i] += x
+    return own
+
+
 def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """key, node, size and spread (a part of a key that is spread, else -1) of all postings."""
+    """key, node, size and spread (a part of a key that is spread, else -1) of all postings; the first of each text has
+    its bytes."""
     sent = texts.sparkSession.sparkContext.broadcast(_spread_keys(texts, words, similarity))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -194,21 +203,26 @@ def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         node = part.column(0).to_numpy()[own]
         size = np.array([len(s) for s in sets], np.int32)[own]
         spread = np.where(np.isin(key, sent.value), node % SPREAD, -1).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size), pa.array(spread)], names=["key", "node", "size", "spread"])
+        first = np.zeros(len(own), bool)
+        first[np.unique(own, return_index=True)[1]] = True
+        prints = pa.array(_prints(sets, similarity), pa.binary()).take(pa.array(own, mask=~first))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size), pa.array(spread), prints], names=["key", "node", "size", "spread", "print"])
 
-    return common.map_texts(texts.select("node", "text"), "text", batch, "key long, node long, size int, spread int")
+    return common.map_texts(texts.select("node", "text"), "text", batch, "key long, node long, size int, spread int, print binary")
 
 
-PROPOSED = "a long, b long, key long"
+PROPOSED = "a long, b long, key long, size int, print binary"
 
 
-def _proposed(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if key is None else pa.array(key)], names=["a", "b", "key"])
+def _proposed(a, b=None, key=None, size=None, print=None) -> pa.RecordBatch:
+    n = len(a)
+    columns = [(a, pa.int64()), (b, pa.int64()), (key, pa.int64()), (size, pa.int32()), (print, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x) if isinstance(x, np.ndarray) else x for x, t in columns], names=["a", "b", "key", "size", "print"])
 
 
 def _lists(similarity: float, limit: int):
-    """Pairs of the short lists of a partition sorted by key; members (key, a) of the longer ones and of spread keys.
+    """From a partition sorted by key: the bytes of the texts (a, size, print), pairs of the short lists (a, b), and the
+    members (a, key) of the longer ones and of spread keys.
 
     A long list is handed on as it comes and never held.
     """
@@ -217,12 +231,15 @@ def _lists(similarity: float, limit: int):
         held: list[np.ndarray] | None = None
         over = None  # the key of a long list that may go on
         for batch in batches:
-            rows = [x.to_numpy() for x in batch.columns]
+            if batch.column(4).null_count < len(batch):
+                some = batch.filter(pc.is_valid(batch.column(4)))
+                yield _proposed(some.column(1), size=some.column(2), print=some.column(4))
+            rows = [batch.column(i).to_numpy() for i in range(4)]
             apart = rows[3] >= 0
             if over is not None:
                 apart |= rows[0] == over
             if apart.any():
-                yield _proposed(rows[1][apart], None, rows[0][apart])
+                yield _proposed(rows[1][apart], key=rows[0][apart])
                 rows = [x[~apart] for x in rows]
             rows = [np.concatenate(x) for x in zip(held, rows)] if held else rows
             if not len(rows[0]):
@@ -232,7 +249,7 @@ def _lists(similarity: float, limit: int):
             held = [x[cut:] for x in rows]
             if len(held[0]) > limit:
                 over = held[0][0]
-                yield _proposed(held[1], None, held[0])
+                yield _proposed(held[1], key=held[0])
                 held = None
         if held:
             yield from lists(held)
@@ -248,10 +265,10 @@ def _lists(similarity: float, limit: int):
             may = _similar(np.minimum(size[a], size[b]), size[a], size[b], similarity) & (node[a] != node[b])
             pairs = np.unique(np.sort(np.c_[node[a[may]], node[b[may]]], axis=1), axis=0)
             if len(pairs):
-                yield _proposed(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]), None)
+                yield _proposed(np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
         long = np.repeat(sizes > limit, sizes)
         if long.any():
-            yield _proposed(node[long], None, key[long])
+            yield _proposed(node[long], key=key[long])
 
     return run
 
@@ -264,59 +281,58 @@ def _stars(members: DataFrame) -> DataFrame:
     return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-SHEET = "node long, size int, print binary, lower binary, set array<long>"
-
-
-def _sheets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """What pairs are judged by: size, bytes at the text's step (print) and at the one below (lower) where partners of
-    fewer shingles may be there, and the set of shingles."""
-
-    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(part.column(1), words)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        steps = _steps(sizes)
-        lower = np.where(_below(sizes, steps, similarity), steps - 1, -1)
-        ends = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        flat = pa.array(np.concatenate([*sets, np.empty(0, "<u8")]).view(np.int64))
-        columns = [part.column(0), pa.array(sizes, pa.int32()), pa.array(_prints(sets, np.maximum(steps, 0)), pa.binary()), pa.array(_prints(sets, lower), pa.binary()), pa.ListArray.from_arrays(ends, flat)]
-        return pa.RecordBatch.from_arrays(columns, names=["node", "size", "print", "lower", "set"])
-
-    return common.map_texts(texts.select("node", "text"), "text", batch, T.StructType.fromDDL(SHEET))
-
-
 def _enough(shared, size_a, size_b, positions, similarity: float):
     """The count filter: whether the guaranteed minimum of positional bytes is shared."""
     return shared >= positions - _differing(size_a, size_b, similarity)
 
 
+def _at(print: bytes, own: int, step: int) -> bytes | None:
+    """A text's bytes at a step, if it has them; own: the step of the text."""
+    width = int(_positions(own))
+    if own == step:
+        return print[:width]
+    return print[width:] if own == step + 1 and len(print) > width else None
+
+
 def _tallied(similarity: float):
-    """The pairs that the count filter leaves; rows: a, b, size, print and lower of a, then of b."""
+    """The pairs that the count filter leaves; rows: a, b, size and print of a, then of b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size_a, size_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 5))
-            step = np.maximum(np.minimum(_steps(size_a), _steps(size_b)), 0)
-            print_a, lower_a, print_b, lower_b = (batch.column(i).to_pylist() for i in (3, 4, 6, 7))
-            shared = np.empty(len(step), np.int64)
-            for i, width in enumerate(_positions(step).tolist()):
-                x = print_a[i] if len(print_a[i]) == width else lower_a[i]
-                y = print_b[i] if len(print_b[i]) == width else lower_b[i]
-                shared[i] = -1 if x is None or y is None else np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))
+            size_a, size_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 4))
+            own_a, own_b = np.maximum(_steps(size_a), 0), np.maximum(_steps(size_b), 0)
+            step = np.minimum(own_a, own_b)
+            shared = np.full(len(step), -1, np.int64)
+            for i, (x, y, p, q, k) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), own_a.tolist(), own_b.tolist(), step.tolist())):
+                x, y = _at(x, p, k), _at(y, q, k)
+                if x is not None and y is not None:
+                    shared[i] = np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))
             good = pa.array(_enough(shared, size_a, size_b, _positions(step), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sheets: DataFrame, similarity: float) -> DataFrame:
-    """u, v of the pairs that are similar: first by the count filter, then by the intersection of their sets."""
+def _joined(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with facts of either node."""
+    side = lambda n: facts.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in columns))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{n}" for n in "ab" for c in columns))
 
-    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
-        side = lambda n: sheets.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in columns))
-        return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{n}" for n in "ab" for c in columns))
 
-    left = common.map_arrow(joined(pairs, "size", "print", "lower"), _tallied(similarity), "a long, b long")
-    both = joined(left, "set")
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """u, v of the pairs whose sets of shingles are similar."""
+
+    def batch(part: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(part.column(1), words)
+        ends = pa.array(np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32))
+        flat = pa.array(np.concatenate([*sets, np.empty(0, "<u8")]).view(np.int64))
+        return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], names=["node", "set"])
+
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    chosen = texts.select("node", "text").join(wanted, "node", "left_semi")
+    # the texts that are left are a small part of all, and so are the tasks
+    sets = common.stored(common.map_texts(chosen, "text", batch, T.StructType.fromDDL("node long, set array<long>")).coalesce(common.parts(texts.sparkSession, 8)), "sets")
+    both = _joined(pairs, sets, "set")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(_similar(shared, F.size("set_a"), F.size("set_b"), similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
@@ -347,39 +363,37 @@ def _tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("key", "in.kind", "in.x", "in.y").alias("task"), "node", "root")
 
 
-def _across(node: np.ndarray, root: np.ndarray, size: np.ndarray, prints: list, lowers: list, similarity: float) -> Iterator[np.ndarray]:
+def _across(node: np.ndarray, root: np.ndarray, size: np.ndarray, prints: list[bytes], similarity: float) -> Iterator[np.ndarray]:
     """Pairs of members of different components that the count filter leaves."""
     steps = np.maximum(_steps(size), 0)
-    labels, label, counts = np.unique(root, return_inverse=True, return_counts=True)
-    rest = np.flatnonzero(label != counts.argmax())
+    label, counts = np.unique(root, return_inverse=True, return_counts=True)[1:]
+    most = counts.argmax()
     for step in np.unique(steps).tolist():
+        held = [_at(p, own, step) for p, own in zip(prints, steps.tolist())]
+        at = np.array([i for i, x in enumerate(held) if x is not None])
         width = int(_positions(step))
-        at = np.array([i for i in range(len(node)) if len(prints[i]) == width or lowers[i] is not None and len(lowers[i]) == width])
-        bytes_at = np.frombuffer(b"".join(prints[i] if len(prints[i]) == width else lowers[i] for i in at), np.uint8).reshape(len(at), width)
-        where = np.full(len(node), -1)
-        where[at] = np.arange(len(at))
-        for i in rest.tolist():
-            if where[i] < 0:
-                continue
+        table = np.frombuffer(b"".join(x for x in held if x is not None), np.uint8).reshape(len(at), width)
+        for row in np.flatnonzero(label[at] != most).tolist():
+            i = at[row]
             # of two members of the smaller components, the one that comes first looks for the other
-            may = (root[at] != root[i]) & (np.minimum(steps[at], steps[i]) == step) & ((label[at] == counts.argmax()) | (at > i))
+            may = (root[at] != root[i]) & (np.minimum(steps[at], steps[i]) == step) & ((label[at] == most) | (at > i))
             may &= _similar(np.minimum(size[at], size[i]), size[at], size[i], similarity)
             some = np.flatnonzero(may)
             for a in range(0, len(some), 4096):
                 part = some[a : a + 4096]
-                shared = (bytes_at[part] == bytes_at[where[i]]).sum(1)
+                shared = (table[part] == table[row]).sum(1)
                 near = at[part[_enough(shared, size[at[part]], size[i], width, similarity)]]
                 if len(near):
                     yield np.c_[np.minimum(node[near], node[i]), np.maximum(node[near], node[i])]
 
 
 def _compared(similarity: float):
-    """Pairs a, b of each task of a partition sorted by task; rows: task, node, root, size, print, lower."""
+    """Pairs a, b of each task of a partition sorted by task; rows: task, node, root, size, print."""
 
     def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, root, size = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (1, 2, 3))
-        prints, lowers = ([x for p in parts for x in p.column(i).to_pylist()] for i in (4, 5))
-        for found in _across(node, root, size.astype(np.int64), prints, lowers, similarity):
+        prints = [x for p in parts for x in p.column(4).to_pylist()]
+        for found in _across(node, root, size.astype(np.int64), prints, similarity):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,33 +415,38 @@ def _compared(similarity: float):
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """content, least (smallest doc_id of the text), root and keep: keep holds for one text of each group of near copies,
-    the one of the smallest doc_id."""
+    """content, least (smallest doc_id of the text) and root of every text: texts of one group have one root."""
     if not 0.5 < similarity <= 1:
         raise ValueError("a similarity above 0.5: partners must not be more than one step of positions below")
+    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), content(F.col(f"`{text_col}`")).alias("content"), F.col(f"`{text_col}`").alias("text"))
     # node numbers are written with the rows, so all that follows reads the same ones
-    texts = common.stored(rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("text").alias("text")).withColumn("node", F.monotonically_increasing_id()), "texts")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
+    texts = common.stored(first.coalesce(common.parts(spark, 2)).withColumn("node", F.monotonically_increasing_id()), "texts")
+    parts = common.parts(spark)
     postings = _postings(texts, words, similarity).repartition(parts, "key", "spread").sortWithinPartitions("key")
-    proposed = common.stored(common.map_arrow(postings, _lists(similarity, LIST_LIMIT), PROPOSED), "proposed")
-    members = proposed.where("b is null").select("key", F.col("a").alias("node"))
+    proposed = common.stored(common.map_arrow(postings, _lists(similarity, LIST_LIMIT), PROPOSED).coalesce(common.parts(spark, 4)), "proposed")
+    prints = proposed.where("print is not null").select(F.col("a").alias("node"), "size", "print")
+    members = proposed.where("key is not null").select("key", F.col("a").alias("node"))
     some_long = not members.isEmpty()
     pairs = proposed.where("b is not null").select("a", "b")
-    pairs = common.stored((pairs.union(_stars(members)) if some_long else pairs).distinct(), "pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).union(members.select("node")).distinct().toDF("node")
-    sheets = common.stored(_sheets(texts.select("node", "text").join(wanted, "node", "left_semi"), words, similarity), "sheets")
-    roots = graph.components(_verified(pairs, sheets, similarity))
+    pairs = (pairs.union(_stars(members)) if some_long else pairs).distinct()
+    left = common.on_disk(common.map_arrow(_joined(pairs, prints, "size", "print"), _tallied(similarity), "a long, b long"))
+    roots = graph.components(_verified(left, texts, words, similarity))
     if some_long:
-        tasks = common.stored(_tasks(members, roots), "tasks")
-        if not tasks.isEmpty():
-            whole = tasks.join(sheets.select("node", "size", "print", "lower"), "node").select("task", "node", "root", "size", "print", "lower")
-            found = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _compared(similarity), "a long, b long")
-            links = _verified(common.stored(found.distinct(), "across"), sheets, similarity)
-            roots = graph.components(links.union(roots.toDF("u", "v")))
-    labelled = common.stored(texts.select("content", "least", "node").join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root")), "labels")
-    first = labelled.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content")).alias("first"))
-    return labelled.join(first.select("root", F.col("first.content").alias("kept")), "root").select("content", "least", "root", (F.col("content") == F.col("kept")).alias("keep"))
+        whole = _tasks(members, roots).join(prints, "node").select("task", "node", "root", "size", "print")
+        found = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _compared(similarity), "a long, b long")
+        across = common.on_disk(found.distinct())
+        links = _verified(across, texts, words, similarity)
+        roots = graph.components(links.union(roots.toDF("u", "v")))
+        across.unpersist()
+    left.unpersist()
+    return texts.select("content", "least", "node").join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root"))
+
+
+def _row_key(content: str, doc_id: str) -> Column:
+    """One key of a text and an id: the digest has a fixed length, and no id is empty."""
+    return F.concat(F.col(content), F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).cast("binary"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -438,11 +457,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     names = [f"_c{i}" for i in range(len(docs.columns))]
     i, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     rows = docs.toDF(*names).withColumn("_content", content(F.col(t)))
-    kept = common.stored(groups(docs.toDF(*names), words, similarity, i, t).where("keep").select(F.col("content").alias("_content"), F.col("least").alias("_least")), "kept")
-    # which of the kept (content, doc_id) stand on several rows: few or none, and only those are compared as rows
-    repeated = rows.select("_content", F.col(i).cast("long").alias("_least")).groupBy("_content", "_least").count().where("count > 1")
-    marked = common.stored(kept.join(repeated, kept["_content"].eqNullSafe(repeated["_content"]) & kept["_least"].eqNullSafe(repeated["_least"]), "left").select(kept["_content"], kept["_least"], F.col("count").isNotNull().alias("_many")), "kept")
-    joined = rows.join(marked.withColumnsRenamed({"_content": "_k", "_least": "_l"}), (F.col("_content") == F.col("_k")) & F.col(i).cast("long").eqNullSafe(F.col("_l")))
-    single = joined.where("not _many").select(*names)
-    several = joined.where("_many").dropDuplicates(["_k", "_l"]).select(*names)
-    return single.union(several).toDF(*docs.columns)
+    first = F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content"))
+    kept = groups(docs.toDF(*names), words, similarity, i, t).groupBy("root").agg(first.alias("first")).select("first.content", "first.least")
+    joined = rows.withColumn("_key", _row_key("_content", i)).join(kept.select(_row_key("content", "least").alias("_key")), "_key")
+    return joined.dropDuplicates(["_key"]).select(*names).coalesce(common.parts(docs.sparkSession, 2)).toDF(*docs.columns)
