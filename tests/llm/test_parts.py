@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from varsift.llm import bpe, common, decontaminate, graph, licenses, near_copies, pretokens, secrets_scan, simhash, token_counts, token_store, topk, toxicity, url_rules
+from varsift.llm.piece_cache import PieceCache
 
 
 def docs(spark, texts, **more):
@@ -68,16 +69,61 @@ def test_offsets_and_decode(spark):
 def test_elias_fano(gaps):
     ends = np.cumsum(gaps) if gaps else np.empty(0, np.int64)
     ef = token_store.EliasFano.encode(ends)
-    assert ef.values().tolist() == ends.tolist()
-    assert [ef.select(i) for i in range(0, len(ends), 37)] == ends[::37].tolist()
+    assert ef.select(0, len(ends)).tolist() == ends.tolist()
+    assert [int(ef.select(i)[0]) for i in range(0, len(ends), 37)] == ends[::37].tolist()
+    for a in range(0, len(ends), 111):
+        for b in (a, a + 1, a + 255, a + 256, a + 300):
+            assert ef.select(a, min(b, len(ends))).tolist() == ends[a:b].tolist()
     if len(ends) > 500:
         assert 8 * (len(ef.low) + len(ef.high)) <= len(ends) * (3 + max(1, int(ends[-1]) // len(ends)).bit_length())
 
 
-def test_shard():
+@pytest.mark.parametrize("doc_ids", [[None, 4, 4], [None, None, None], [-(2**63), 0, 2**63 - 1], [7, 8, 1000]])
+def test_shard(doc_ids):
     ids = np.arange(70_000, 70_030, dtype="<u4")
-    shard = token_store.Shard(token_store.pack_shard([None, 4, 4], np.array([10, 10, 30]), ids))
-    assert shard.doc_ids == [None, 4, 4] and [shard.document(i).tolist() for i in range(3)] == [ids[:10].tolist(), [], ids[10:].tolist()]
+    shard = token_store.Shard(token_store.pack_shard(doc_ids, np.array([10, 10, 30]), ids))
+    assert [shard.doc_ids(a, b).to_pylist() for a in range(4) for b in range(a, 4)] == [doc_ids[a:b] for a in range(4) for b in range(a, 4)]
+    assert [shard.document(i).tolist() for i in range(3)] == [ids[:10].tolist(), [], ids[10:].tolist()]
+    assert shard.bounds(1, 3).tolist() == [10, 10, 30]
+
+
+# --- pieces and their cache ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [1 << 12, 60])
+def test_piece_cache(most):
+    """Ids of any pieces, short and long, again and again, in a table that is large enough or starts anew."""
+    asked: Counter = Counter()
+
+    def resolve(pieces):
+        asked.update(pieces)
+        found = [np.frombuffer(p, np.uint8).astype(np.uint32) for p in pieces]
+        return np.concatenate([*found, np.empty(0, np.uint32)]), np.array([len(p) for p in pieces], np.int32)
+
+    cache = PieceCache(resolve, most)
+    rng = random.Random(most)
+    known = [bytes(rng.randrange(4) for _ in range(rng.choice([1, 1, 2, 3, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(200)] + [b"\0" * k for k in range(1, 18)]
+    for _ in range(30):
+        some = [rng.choice(known) for _ in range(rng.randrange(60))]
+        ends = np.cumsum([0, *map(len, some)])
+        ids, sizes = cache.look_up(b"".join(some), ends[:-1], ends[1:])
+        assert ids.tolist() == list(b"".join(some)) and sizes.tolist() == [len(p) for p in some]
+    assert most < 100 or max(asked.values()) == 1
+
+
+def test_portions_don_t_move_pieces(monkeypatch):
+    """Long texts are cut into portions; the ids are those of the whole texts."""
+    import public_tokenizers
+
+    encoding = brute.rank_encoding()
+    ranges = pretokens.rank_library_classes()
+    rng = random.Random(2)
+    chars = "ab z's'll tre vd\u00a0\u3000\n\té漢1!?" + "    "
+    texts = ["", *("".join(rng.choice(chars) for _ in range(rng.randrange(400))) for _ in range(60)), "x" * 300]
+    for most in (1, 7, 50):
+        monkeypatch.setattr(pretokens.portions, "__defaults__", (most,))
+        ids, ends = pretokens.encode([t.encode() for t in texts], ranges, bpe._worker(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))[0])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [encoding.encode_ordinary(t) for t in texts]
 
 
 # --- suffix automaton ---------------------------------------------------------------------------------------------
@@ -193,10 +239,9 @@ def test_similar_texts_share_a_key_and_bytes(n):
             assert set(key[own == 0]) & set(key[own == 1])
             steps = near_copies._steps(np.array([n, m]))
             step = np.maximum(steps.min(), 0)
-            x, y = near_copies._prints([a, b], np.array([step, step]))
+            x, y = near_copies.bytes_of([a, b], np.array([step, step]))
             assert near_copies._enough(sum(p == q for p, q in zip(x, y)), n, m, near_copies._positions(step), 0.8)
-            lower = np.where(near_copies._below(np.array([n, m]), steps, 0.8), steps - 1, -1)
-            assert all(max(s, 0) == step or low == step for s, low in zip(steps, lower))
+            assert [near_copies._at(p, max(s, 0), step) for p, s in zip(near_copies._prints([a, b], 0.8), steps.tolist())] == [x, y]
 
 
 def shingles(text, k=5):
@@ -382,7 +427,7 @@ def test_many_spans_in_a_long_text(spark):
 
 def test_license_templates(spark):
     texts = ["Licensed under the\nReleased under the terms of the MIT License today", "permission is hereby granted free of charge to any person obtaining a copy of the software and documentation files", "mit", "nothing here", None]
-    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts, labels=list("abcde"), score=list("abcde")).drop("labels", "score"), licenses.PHRASES, licenses.TEMPLATES).collect()}
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, texts, labels=list("abcde"), score=list("abcde"), digest=list("abcde"), row=list("abcde")), licenses.PHRASES, licenses.TEMPLATES).collect()}
     assert got[0]["labels"] == ["mit"] and got[0]["base_labels"] == ["mit"] and got[1]["base_labels"] == [] and got[1]["labels"] == ["mit"] and 0.8 <= got[1]["score"] < 1
     assert [got[i]["labels"] for i in (2, 3, 4)] == [[], [], []] and got[4]["n_words"] == 0
 
@@ -409,16 +454,32 @@ def test_license_names_are_asked_for(spark, tmp_path):
     assert [got[i] for i in range(4)] == ["apache", "", "", ""]
 
 
-def test_license_join_is_exact(spark):
+def plain_labels(text, templates, threshold):
+    """Labels of the templates that some block of a text matches, block by block and template by template."""
+    w = licenses.plain_words(text or "")
+    out = {}
+    for label, template in templates:
+        t = licenses.plain_words(template)
+        marks = {x for x in t if x in licenses.MARKS.get(label, ())}
+        for a in range(max(1, -(-len(w) // len(t)) - 1)):
+            block = set(w[a * len(t) : (a + 2) * len(t)])
+            if len(block & set(t)) >= max(1, threshold * len(set(t)) - 1e-9) and marks <= block:
+                out[label] = max(out.get(label, 0), len(block & set(t)) / len(set(t)))
+    return out
+
+
+@pytest.mark.parametrize("words", [10_000, 12])
+def test_license_join_is_exact(spark, monkeypatch, words):
+    """The join finds what trying every block finds, in one pass over the templates or in several."""
+    monkeypatch.setattr(licenses, "PASS_WORDS", words)
     rng = random.Random(2)
-    words = [f"w{i}" for i in range(14)]
-    templates = [(f"t{i}", " ".join(rng.sample(words, rng.randint(2, 9)))) for i in range(10)]
-    texts = ["\n".join(" ".join(rng.sample(words, rng.randint(1, 12))) for _ in range(3)) for _ in range(60)]
-    got = {r.doc_id: r["labels"] for r in licenses.scan(docs(spark, texts), {"no such phrase": "x"}, templates, 0.7).collect()}
-    for i, t in enumerate(texts):
-        blocks = [set(line.split()) for line in t.split("\n")]
-        want = sorted({label for label, x in templates if any(len(b & set(x.split())) >= 0.7 * len(set(x.split())) - 1e-9 for b in blocks)})
-        assert got[i] == want
+    names = [f"w{i}" for i in range(14)]
+    templates = [(f"t{i}", " ".join(rng.choice(names) for _ in range(rng.randint(2, 9)))) for i in range(10)]
+    texts = ["\n".join(" ".join(rng.choice([*names, "x", "y", "z"]) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    texts += [texts[0], "", None, "w1"]
+    for r in licenses.scan(docs(spark, texts), {"no such phrase": "x"}, templates, 0.7).collect():
+        want = plain_labels(texts[r.doc_id], templates, 0.7)
+        assert r["labels"] == sorted(want) and r["score"] == pytest.approx(max(want.values(), default=0)), texts[r.doc_id]
 
 
 # --- toxicity -----------------------------------------------------------------------------------------------------

@@ -2,9 +2,9 @@
 
 Pieces come from the vectorised pre-tokeniser (see pretokens); each distinct piece is merged once per Python worker
 and kept in a bounded cache. Ids keep the byte offsets of their tokens, so any run of ids decodes to its own place in
-the text.
+the text. Texts longer than a portion are split where a piece begins in any case, so work space stays bounded.
 
-Defined cases: a null or empty text has no ids, no offsets and decodes to no bytes; repeated rows give repeated
+Defined cases: a null or empty text has no ids, no offsets and decodes to no bytes; a text is encoded whole, however long; repeated rows give repeated
 results; a null doc_id is carried; extra columns are ignored; an empty table gives an empty result; bytes that are not
 UTF-8 count as U+FFFD, as in the tokenizer library.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varsift.llm import common, pretokens
-
-#: Distinct pieces that a worker keeps; beyond it the cache starts anew, so memory stays bounded.
-CACHED_PIECES = 150_000
+from varsift.llm.piece_cache import PieceCache, runs
 
 
 @lru_cache(4)
@@ -75,18 +74,14 @@ def _merge_long(parts: list[bytes], ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p, kept in zip(parts, alive) if kept]
 
 
-class PieceCache(dict):
-    """Piece -> its ids as little-endian 32-bit integers."""
+def resolver(ranks: dict[bytes, int]):
+    """The ids of a list of pieces as one array, and how many each has."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
+    def resolve(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [merge(p, ranks) for p in pieces]
+        return np.array([*chain.from_iterable(found)], np.uint32), np.array([*map(len, found)], np.int32)
 
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        found = self[piece] = np.array(merge(piece, self.ranks), "<u4").tobytes()
-        return found
+    return resolve
 
 
 class Decoder:
@@ -105,18 +100,14 @@ class Decoder:
         return np.cumsum(self.widths[ids])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        widths = self.widths[ids]
-        ends = np.cumsum(widths)
-        if not len(ends):
-            return b""
-        at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - widths), widths)
-        return self.table[at].tobytes()
+        parts = (ids[a : a + (1 << 18)] for a in range(0, len(ids), 1 << 18))
+        return b"".join(self.table[runs(self.starts[x], self.widths[x])].tobytes() for x in parts)
 
 
 @lru_cache(2)
 def _worker(path: str) -> tuple[PieceCache, Decoder]:
     ranks = read_ranks(path)
-    return PieceCache(ranks), Decoder(ranks)
+    return PieceCache(resolver(ranks)), Decoder(ranks)
 
 
 SCHEMA = T.StructType(
@@ -146,18 +137,12 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, decoded: bool)
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         cache, decoder = _worker(path)
         texts = common.text_bytes(rows.column(1))
-        pieces = pretokens.Pieces(texts, ranges)
-        packed = list(map(cache.__getitem__, pieces.slices()))
-        bounds = pieces.bounds.tolist()
-        each = [np.frombuffer(b"".join(packed[a:b]), "<u4") for a, b in zip(bounds, bounds[1:])]
-        del packed
-        ends = np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int32)
-        ids = np.concatenate(each) if each else np.empty(0, "<u4")
+        ids, ends = pretokens.encode(texts, ranges, cache)
         last = decoder.ends(ids)
-        firsts = np.r_[0, last][ends[:-1]]
-        offsets = (last - np.repeat(firsts, np.diff(ends))).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (ids, offsets)]
-        back = [pa.array([decoder.decode(x) for x in each], pa.binary())] * decoded
+        firsts = np.r_[0, last][ends]
+        offsets = (last - np.repeat(firsts[:-1], np.diff(ends))).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, offsets)]
+        back = [pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(firsts.astype(np.int32)), pa.py_buffer(decoder.decode(ids))])] * decoded
         return pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([rows.column(0), *lists, *back], to)], schema=to)
 
     return common.map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", batch, schema)
