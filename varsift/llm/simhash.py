@@ -6,22 +6,24 @@ fourteen sets of four positions whose exclusive-or is zero). The block's complem
 two agree. So an index on (block, its four bytes) has every pair to be found in one of its posting lists, with fourteen
 postings a distinct fingerprint instead of lists for single bytes, each of which would hold a 256th of everything.
 
-Within a posting list the shared positional bytes of the pairs are tallied, pairs below the guaranteed minimum of five
+Within a posting list the shared positional bytes of all pairs are tallied, pairs below the guaranteed minimum of five
 are dropped, and the rest are verified bit by bit. A list returns no pairs but a star for each of its connected
 parts, so a group of near copies costs rows in proportion to its members. Equal fingerprints are one node throughout.
-Lists longer than LIST_LIMIT are dealt out again by one more shared byte, which their pairs must have too; such a list
-holds at most 2^24 fingerprints and is searched by flipping up to three of its free bits.
+Lists longer than LIST_LIMIT are never held: their postings are dealt out again by one more shared byte, which spreads a
+list over up to 1024 others. Those agree in five bytes, so every pair in them has reached the minimum; what is still
+longer than LIST_LIMIT (2^24 different fingerprints at most, in one task) is verified by looking up the fingerprints
+that one to three flipped bits give, instead of pair by pair.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a null doc_id takes part in
-linking, and a component of null doc_ids alone has a null component_id; repeated rows give repeated results; an empty
-table gives an empty result; extra columns are ignored.
+linking, and a component of null doc_ids alone has a null component_id; repeated rows give repeated results; a text is
+read whole, however long; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -114,24 +116,29 @@ def _stars(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[far], label[far]
 
 
-def _links(fps: np.ndarray) -> np.ndarray:
-    """Link matrix of a list: tally shared bytes, keep pairs with the guaranteed minimum, verify their bits."""
-    n = len(fps)
-    linked = np.eye(n, dtype=bool)
-    for a in range(0, n, 256):
-        differ = fps[a : a + 256, None] ^ fps[None, :]
-        shared = (differ.view(np.uint8).reshape(len(differ), n, BYTES) == 0).sum(2, dtype=np.uint8)
-        i, j = np.nonzero(shared >= LEAST_SHARED)
-        close = np.bitwise_count(differ[i, j]) <= DISTANCE
-        linked[a + i[close], j[close]] = True
-    return linked
+def _near(differ: np.ndarray) -> np.ndarray:
+    """Of pairs, by their differing bits: those that share the guaranteed minimum of positional bytes, and are near."""
+    shared = (np.ascontiguousarray(differ).view(np.uint8).reshape(*differ.shape, BYTES) == 0).sum(-1, dtype=np.uint8)
+    near = shared >= LEAST_SHARED
+    near[near] = np.bitwise_count(differ[near]) <= DISTANCE
+    return near
 
 
-def _short_list(fps: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(fps) == 2:
-        near = int(fps[0] ^ fps[1]).bit_count() <= DISTANCE
-        return (np.array([max(nodes)]), np.array([min(nodes)])) if near else (nodes[:0], nodes[:0])
-    return _stars(nodes, _links(fps))
+def _tallied(fps: np.ndarray, nodes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Edges of lists of two members or more, lists of one length together."""
+    for n in np.unique(sizes).tolist():
+        lists = starts[sizes == n][:, None] + np.arange(n)
+        i, j = np.triu_indices(n, 1)
+        step = max(1, (1 << 20) // len(i))
+        for some in (lists[a : a + step] for a in range(0, len(lists), step)):
+            near = np.concatenate([_near(fps[some[:, i[k : k + (1 << 20)]]] ^ fps[some[:, j[k : k + (1 << 20)]]]) for k in range(0, len(i), 1 << 20)], 1)
+            if n == 2:
+                yield nodes[some[near[:, 0]]].max(1), nodes[some[near[:, 0]]].min(1)
+                continue
+            for row in np.flatnonzero(near.any(1)):
+                linked = np.eye(n, dtype=bool)
+                linked[i[near[row]], j[near[row]]] = linked[j[near[row]], i[near[row]]] = True
+                yield _stars(nodes[some[row]], linked)
 
 
 @lru_cache(64)
@@ -154,65 +161,80 @@ def _long_list(fps: np.ndarray, nodes: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield nodes[hit], nodes[at[hit]]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-    """Posting lists of two members or more from a partition sorted by (block, key, fp).
+def _edge_batch(u: np.ndarray, v: np.ndarray | None, *posting: np.ndarray) -> pa.RecordBatch:
+    """Edges; or postings that are handed on, whose v is null."""
+    types = (pa.int32(), pa.int64(), pa.int64())
+    rest = [pa.array(x, t) for x, t in zip(posting, types)] or [pa.nulls(len(u), t) for t in types]
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v, pa.int64()), *rest], names=["u", "v", "block", "key", "fp"])
 
-    A list that goes on over batches beyond `most` members comes in parts, each marked so, and is never held whole.
-    """
-    carry: list[np.ndarray] | None = None
-    parted = False
-    for batch in chain(batches, [None]):
-        rows = [] if batch is None else [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        rows = [np.concatenate(x) for x in zip(carry, rows)] if carry and rows else rows or carry
-        if not rows or not len(rows[0]):
+
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Postings (block, key, fp, node) of a partition sorted by (block, key, fp), cut between lists; True marks postings
+    of a list that goes on behind them, which then is longer than LIST_LIMIT."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        rows = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if not len(rows[0]):
             continue
-        block, key, fp, node = rows
-        edges = np.flatnonzero((np.diff(block) != 0) | (np.diff(key) != 0)) + 1
-        starts, ends = np.r_[0, edges], np.r_[edges, len(key)]
-        whole = len(starts) - (batch is not None)
-        for s in np.flatnonzero((ends - starts > 1) | (starts == 0))[: None if batch is None else whole].tolist():
-            if s < whole:
-                a, b = starts[s], ends[s]
-                yield int(block[a]), int(key[a]), fp[a:b].view(np.uint64), node[a:b], parted and s == 0
-        parted = parted and not whole
-        carry = None if batch is None else [x[starts[-1] :] for x in rows]
-        while carry and len(carry[0]) > most:
-            parted = True
-            yield int(carry[0][0]), int(carry[1][0]), carry[2][:most].view(np.uint64), carry[3][:most], True
-            carry = [x[most:] for x in carry]
-
-
-def _edge_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(u), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), none.cast(pa.int32()), none, none], names=["u", "v", "block", "key", "fp"])
+        edges = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+        same = held and held[-1][0][-1] == rows[0][0] and held[-1][1][-1] == rows[1][0]
+        if held and (not same or len(edges)):
+            cut = int(edges[0]) if same else 0
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in rows])], False
+            held, rows = [], [x[cut:] for x in rows]
+            edges = edges[edges > cut] - cut
+        if len(edges):
+            yield [x[: edges[-1]] for x in rows], False
+            rows = [x[edges[-1] :] for x in rows]
+        held.append(rows)
+        if sum(len(x[0]) for x in held) > LIST_LIMIT:
+            yield [np.concatenate(x) for x in zip(*held)], True
+            held = [[x[-1:] for x in rows]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)], False
+
+
+def _bounds(block: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.r_[0, np.flatnonzero((np.diff(block) != 0) | (np.diff(key) != 0)) + 1]
+    return starts, np.diff(np.r_[starts, len(key)])
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of short lists; the postings of longer ones are handed on (u is their node, v is null)."""
-    us: list[np.ndarray] = []
-    vs: list[np.ndarray] = []
-    for block, key, fps, nodes, parted in _runs(batches, LIST_LIMIT):
-        if parted or len(fps) > LIST_LIMIT:
-            n = len(fps)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(n, pa.int64()), pa.array(np.full(n, block, np.int32)), pa.array(np.full(n, key)), pa.array(fps.view(np.int64))], names=["u", "v", "block", "key", "fp"])
-        elif len(fps) > 1:
-            u, v = _short_list(fps, nodes)
-            if len(u):
-                us.append(u)
-                vs.append(v)
-            if len(us) >= 1000:
-                yield _edge_batch(np.concatenate(us), np.concatenate(vs))
-                us, vs = [], []
-    if us:
-        yield _edge_batch(np.concatenate(us), np.concatenate(vs))
+    going = None  # the long list of which postings were handed on, and the last of them, which comes again
+    for (block, key, fp, node), more in _whole_lists(batches):
+        starts, sizes = _bounds(block, key)
+        long = sizes > LIST_LIMIT
+        again = going is not None and going == (block[0], key[0], node[0])
+        long[0] |= again or more
+        own = np.repeat(long, sizes)
+        own[0] &= not again
+        if own.any():
+            yield _edge_batch(node[own], None, block[own], key[own], fp[own])
+        going = (block[-1], key[-1], node[-1]) if more else None
+        some = ~long & (sizes > 1)
+        found = list(_tallied(fp.view(np.uint64), node, starts[some], sizes[some]))
+        if found:
+            yield _edge_batch(*map(np.concatenate, zip(*found)))
 
 
 def _long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, _, fps, nodes, _ in _runs(batches, 1 << 25):
-        if 1 < len(fps) <= LIST_LIMIT:
-            yield _edge_batch(*_short_list(fps, nodes))
-        elif len(fps) > 1:
-            for u, v in _long_list(fps, nodes):
+    """Edges of lists that agree in five bytes, which is the guaranteed minimum; the longest are held whole."""
+    parts: list[list[np.ndarray]] = []
+    for rows, more in _whole_lists(batches):
+        if parts:
+            rows = [np.concatenate([*(p[i] for p in parts), rows[i][1:]]) for i in range(4)] if not more else rows
+        if more:
+            parts.append(rows if not parts else [x[1:] for x in rows])
+            continue
+        parts = []
+        block, key, fp, node = rows
+        starts, sizes = _bounds(block, key)
+        some = (sizes > 1) & (sizes <= LIST_LIMIT)
+        for u, v in _tallied(fp.view(np.uint64), node, starts[some], sizes[some]):
+            yield _edge_batch(u, v)
+        for a, n in zip(starts[sizes > LIST_LIMIT].tolist(), sizes[sizes > LIST_LIMIT].tolist()):
+            for u, v in _long_list(fp[a : a + n].view(np.uint64), node[a : a + n]):
                 yield _edge_batch(u, v)
 
 
