@@ -137,7 +137,7 @@ def count_edited(docs: DataFrame, ranks_path: str, edits: Column, id_col: str =
 
     def counted(pieces: pretokens.Pieces, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         cache = _worker(ranks_path)[0]
-        tokens = [len(cache[s]) // 4 for s in pieces.slices()]
+        tokens = cache.look_up(pieces.buffer, pieces.starts, pieces.ends)[1].tolist()
         bounds = pieces.bounds.tolist()
         out = []
         for i, t in enumerate(texts):
