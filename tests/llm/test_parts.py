@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,6 +211,59 @@ def test_links_are_complete(spark, monkeypatch, limit):
     assert got == {i: top(i) for i in range(len(rows))}
 
 
+def test_lists_in_small_batches(monkeypatch):
+    """Lists that end, go on and begin anywhere in the batches of a partition give what they give at once."""
+    monkeypatch.setattr(simhash, "LIST_LIMIT", 5)
+    rng = random.Random(9)
+    for _ in range(60):
+        rows = sorted({(b, k, rng.getrandbits(4) << 3 | rng.getrandbits(2)) for b in range(2) for k in range(4) for _ in range(rng.choice([0, 1, 2, 3, 5, 6, 12, 20]))})
+        table = pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "key": pa.array([r[1] for r in rows], pa.int64()), "fp": pa.array([r[2] for r in rows], pa.int64()), "node": pa.array([r[2] for r in rows], pa.int64())})
+        size = Counter(r[:2] for r in rows)
+        handed, edges = Counter(), set()
+        for out in simhash._lists(iter(table.to_batches(max_chunksize=rng.randint(1, 9)))):
+            for r in out.to_pylist():
+                if r["v"] is None:
+                    handed[r["block"], r["key"], r["fp"]] += 1
+                else:
+                    edges.add((r["u"], r["v"]))
+        assert handed == Counter(r for r in rows if size[r[:2]] > 5)
+        whole = simhash._lists(iter(table.combine_chunks().to_batches()))
+        assert edges == {(r["u"], r["v"]) for out in whole for r in out.to_pylist() if r["v"] is not None}
+        for u, v in edges:
+            assert u != v
+        links = set()
+        for out in simhash._long_lists(iter(table.to_batches(max_chunksize=rng.randint(1, 9)))):
+            links |= {(r["u"], r["v"]) for r in out.to_pylist()}
+        top = {x: x for r in rows for x in [r[:2] + (r[2],)]}
+        node_top = {r[2]: r[2] for r in rows}
+
+        def find(x):
+            while node_top[x] != x:
+                x = node_top[x]
+            return x
+
+        for u, v in links:
+            node_top[max(find(u), find(v))] = min(find(u), find(v))
+        got = {x: find(x) for x in node_top}
+        node_top = {r[2]: r[2] for r in rows}
+        for a in top:
+            for b in top:
+                if a[:2] == b[:2] and a[2] < b[2] and (a[2] ^ b[2]).bit_count() <= 3:
+                    node_top[max(find(a[2]), find(b[2]))] = min(find(a[2]), find(b[2]))
+        assert got == {x: find(x) for x in node_top}
+
+
+def test_a_list_of_many_near_fingerprints():
+    """A hundred thousand different fingerprints that agree in five bytes: linked through and through, in one task."""
+    fps = np.arange(100_000, dtype=np.int64)
+    n = len(fps)
+    table = pa.table({"block": pa.array(np.zeros(n, np.int32)), "key": pa.array(np.zeros(n, np.int64)), "fp": pa.array(fps), "node": pa.array(fps)})
+    least = fps.copy()
+    for out in simhash._long_lists(iter(table.to_batches(max_chunksize=4000))):
+        np.minimum.at(least, out.column(0).to_numpy(), out.column(1).to_numpy())
+    assert (least[1:] < fps[1:]).all() and not least[0]
+
+
 def test_positional_simhashes():
     """Each position holds the fingerprint of its shingles, and similar texts share the guaranteed minimum of bytes."""
     rng = np.random.default_rng(1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,22 +16,14 @@ from pyspark.sql import types as T
 from varsift.shipping import ship
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir; where the session names none, one in its warehouse, which is shared too."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="varsift-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_varsift").rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -38,12 +31,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/varsift/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and any executor can reread it."""
+def stored(df: DataFrame, name: str, *done: DataFrame | None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and any executor can reread it.
+
+    done: stored tables that df was the last to need; they are removed.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table in done:
+        discard(table)
+    found = spark.read.schema(df.schema).parquet(path)
+    _stored[found] = path
+    return found
+
+
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(table: DataFrame | None) -> None:
+    """Remove the files of a stored table; anything else stays as it is."""
+    path = _stored.pop(table, None) if table is not None else None
+    if path:
+        spark = table.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def on_disk(df: DataFrame) -> DataFrame:
@@ -99,11 +111,8 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Record
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package at hand and batches that suit rows with texts, unless the session sets its own."""
-    spark = df.sparkSession
-    ship(spark)
-    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default; ten thousand texts of some kilobytes are a lot at once
-        spark.conf.set(BATCH_ROWS, "4000")
+    """mapInArrow with the package at hand. The session bounds the rows and the bytes of a batch."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -15,7 +15,8 @@ than a chunk is cut into pieces that overlap by a window less one word, so every
 
 Defined cases: a null or wordless text has no words, no hits and is not contaminated; items that are null or without
 words take no part; equal items count by their own ids; a null item_id takes no part; repeated rows give repeated
-results; an empty benchmark hits nothing; an empty documents table gives an empty result; extra columns are kept.
+results; an empty benchmark hits nothing; an empty documents table gives an empty result; extra columns are kept, but
+for those that have the name of a result; a text is read whole, however long, and takes some ten times its bytes.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ from varsift.llm import common
 
 WINDOW = 13
 #: Words of benchmark items in one automaton; it bounds what the driver builds and every executor holds.
-CHUNK_WORDS = 400_000
-#: Automata that one plan passes documents through before its result is written to the shared folder.
-PASSES_A_PLAN = 8
+CHUNK_WORDS = 200_000
+#: Automata that one plan passes documents through before its result is written to the shared folder. Each stands in a
+#: Python worker of its own, at some 850 bytes a word.
+PASSES_A_PLAN = 2
 
 #: Upper case becomes lower case, what is neither a digit, a letter nor a byte of a non-ASCII character a blank.
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -252,8 +254,12 @@ class _Chunk:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, cut: int | None = None) -> DataFrame:
     """All columns of docs and n_words, hits (start and end word of each hit span, flat), items (distinct ids).
 
+    A column of docs that has the name of a result gives place to it.
+
     cut: spans of so many words or more are cut out of the text by the pass over the last chunk, when all are known.
     """
+    kept = common.others(docs, SCHEMA.fieldNames())
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     carried = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, docs.schema)])
@@ -284,11 +290,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         return common.map_texts(rows, names[at], batch, schema)
 
     chunks = _chunks(benchmark, item_id, item_text, window)
-    chunk, passes = next(chunks, []), 0
+    chunk, passes, between = next(chunks, []), 0, None
     while chunk is not None:
         following = next(chunks, None)
         if passes and passes % PASSES_A_PLAN == 0:
-            found = common.stored(found, "overlaps")
+            found = between = common.stored(found, "overlaps", between)
         found = passed(found, _Chunk(chunk), following is None)
         chunk, passes = following, passes + 1
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)), *SCHEMA.fieldNames())

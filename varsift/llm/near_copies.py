@@ -441,6 +441,7 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         roots = graph.components(links.union(roots.toDF("u", "v")))
         across.unpersist()
     left.unpersist()
+    common.discard(proposed)
     return texts.select("content", "least", "node").join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root"))
 
 

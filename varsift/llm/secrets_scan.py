@@ -10,7 +10,8 @@ character pairs and sends them back as one literal array. Smoothing makes the mo
 empty one.
 
 Defined cases: a null text is an empty one and has no spans; a null doc_id is carried; repeated rows give repeated
-results; an empty table gives an empty result; extra columns are ignored.
+results; a text is read whole, however long; an empty table gives an empty result; extra columns are kept, but for those
+that have the name of a result.
 """
 
 from __future__ import annotations
@@ -130,19 +131,21 @@ def ratio(token: Column, table: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, table: list[float], text_col: str = "text") -> DataFrame:
-    """docs with the array columns assign, access, hex and markov of spans."""
-    found = base_spans(docs.withColumn(text_col, F.coalesce(text_col, F.lit(""))), text_col)
-    found = native_spans.find(found, text_col, "markov", CANDIDATE, 3, lambda m: ratio(m, table) >= RATIO)
+    """docs with the array columns assign, access, hex and markov of spans, in place of columns of these names."""
+    # the columns of docs go by in one struct, so that their names can't clash with those made here
+    row = F.struct(*(F.col(f"`{c}`") for c in common.others(docs, KINDS)))
+    found = base_spans(docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "text")
+    found = native_spans.find(found, "text", "markov", CANDIDATE, 3, lambda m: ratio(m, table) >= RATIO)
     base = F.concat("assign", "access", "hex")
     apart = F.filter("markov", lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("markov", F.when(F.size("markov") > 0, apart).otherwise(F.col("markov")))
+    return found.select("row.*", "assign", "access", "hex", F.when(F.size("markov") > 0, apart).otherwise(F.col("markov")).alias("markov"))
 
 
 def mask(docs: DataFrame, table: list[float], text_col: str = "text", by: str = "[secret]") -> DataFrame:
     """docs whose secrets are replaced in the text; other columns stay as they were."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = names[docs.columns.index(text_col)]
-    found = scan(docs.toDF(*names).withColumn("_given", F.col(at)), table, at)
+    found = scan(docs.toDF(*names), table, at)
     found = found.withColumn("_spans", F.array_sort(F.concat("assign", "access", "hex", "markov")))
 
     def step(state: Column, span: Column) -> Column:
@@ -153,7 +156,7 @@ def mask(docs: DataFrame, table: list[float], text_col: str = "text", by: str =
 
     walked = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")), step)
     found = found.withColumn("_walked", F.when(F.size("_spans") > 0, walked))
-    text = F.when(F.col("_walked").isNull(), F.col("_given")).otherwise(F.concat(F.array_join("_walked.out", ""), F.expr(f"substring({at}, cast(_walked.at + 1 as int))")))
+    text = F.when(F.col("_walked").isNull(), F.col(at)).otherwise(F.concat(F.array_join("_walked.out", ""), F.expr(f"substring({at}, cast(_walked.at + 1 as int))")))
     return found.select(*((text if n == at else F.col(n)).alias(c) for n, c in zip(names, docs.columns)))
 
 

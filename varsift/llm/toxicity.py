@@ -4,7 +4,8 @@ Training. Documents carry labels, tokens don't, so token labels are derived firs
 toxic documents, against that among the others, exceeds TAG_RATIO in log terms and by more than chance over all features
 would make it; a word too rare to tell goes by its leading letters. Such words of toxic documents are toxic tokens. Features are the word and its leading letters, hashed, so unseen
 compounds of a known stem are found as well. Windows around those tokens and random windows train the field's weights
-(a two-state chain) by gradient ascent on the conditional likelihood; expected counts come from forward-backward.
+(a two-state chain) by gradient ascent on the conditional likelihood; expected counts come from forward-backward. The
+windows of a document are bounded by MARKED_WINDOWS, NEAR_WINDOWS and RANDOM_WINDOWS; a shorter text is one window.
 
 Scoring. Forward-backward over every token of the whole text gives marginals. Words are looked up once in a bounded
 cache, and the recursions run on all rows of a batch at once: texts are cut into rows of ROW tokens, each row's product
@@ -17,7 +18,8 @@ order of a hash of doc_id, so the driver's work does not grow with the corpus. S
 
 Defined cases: a null or wordless text scores by its lack of evidence alone, near 0; null labels and null doc_ids are
 not learnt from; a doc_id with several labels counts once for each; repeated rows give repeated results; without labelled rows of
-both kinds, or with too few to tell any word, all scores are 0; an empty table gives an empty result; extra columns are ignored.
+both kinds, or with too few to tell any word, all scores are 0; an empty table gives an empty result; extra columns are
+kept by score(), but for those that have the name of a result.
 """
 
 from __future__ import annotations
@@ -40,7 +42,10 @@ SAMPLE_DOCS, SAMPLE_TEXT = 2000, 32 << 10
 TAG_RATIO, LEAST_DOCS = 1.5, 4
 SLOTS = 1 << 18
 ROW = 64
+#: Tokens of a training window, and windows of a document at most: around toxic words, around words that are like them,
+#: and from anywhere.
 WINDOW = 24
+MARKED_WINDOWS, NEAR_WINDOWS, RANDOM_WINDOWS = 8, 4, 2
 THRESHOLD = 0.7
 CACHED_WORDS = 100_000
 
@@ -245,16 +250,15 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     for y, words in zip(toxic, docs):
         if not words:
             continue
-        hits = [i for i, w in enumerate(words) if w in marked][:8]
-        hits += [i for i, w in enumerate(words) if w in near and w not in marked][:4]
-        for i in [*hits, *rng.integers(0, len(words), 2).tolist()]:
+        hits = [i for i, w in enumerate(words) if w in marked][:MARKED_WINDOWS]
+        hits += [i for i, w in enumerate(words) if w in near and w not in marked][:NEAR_WINDOWS]
+        for i in [*hits, *rng.integers(0, len(words), RANDOM_WINDOWS).tolist()]:
             a = max(0, min(i - WINDOW // 2, len(words) - WINDOW))
-            if len(words) >= WINDOW:
-                rows.append(words[a : a + WINDOW])
-                tags.append([y and w in marked for w in rows[-1]])
+            rows.append(words[a : a + WINDOW])
+            tags.append([y and w in marked for w in rows[-1]])
     weights, bias, trans = np.zeros(SLOTS), -2.0, np.zeros((2, 2))
     grown, grown_bias, grown_trans = np.full(SLOTS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    tag_rows = np.array(tags, int).reshape(-1, WINDOW)
+    sizes = np.array([len(r) for r in rows])
     width = 4
     table = {w: fs + [SLOTS] * (width - len(fs)) for w, fs in feats.items()}
     for _ in range(10):
@@ -262,20 +266,24 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
         for part in np.array_split(order, max(1, len(order) // 256)):
             if not len(part):
                 continue
-            at = np.array([[table[w] for w in rows[i]] for i in part])
-            given = tag_rows[part]
-            evidence = np.r_[weights, 0][at].sum(2) + bias
-            marginal, steps, _ = _pass_messages(evidence, trans)
-            gap = (given - marginal) / len(part)
-            rise = np.bincount(at.ravel(), np.repeat(gap.ravel(), width), SLOTS + 1)[:SLOTS] - 1e-5 * weights
-            counted = np.zeros((2, 2))
-            np.add.at(counted, (given[:, :-1].ravel(), given[:, 1:].ravel()), 1)
-            rise_trans = (counted - steps) / len(part) - 1e-3 * trans
+            rise, rise_bias, rise_trans = -1e-5 * weights, 0.0, -1e-3 * trans
+            padded = np.r_[weights, 0]
+            for size in np.unique(sizes[part]):  # windows of short texts are shorter
+                some = part[sizes[part] == size]
+                at = np.array([[table[w] for w in rows[i]] for i in some])
+                given = np.array([tags[i] for i in some], int)
+                marginal, steps, _ = _pass_messages(padded[at].sum(2) + bias, trans)
+                gap = (given - marginal) / len(part)
+                rise += np.bincount(at.ravel(), np.repeat(gap.ravel(), width), SLOTS + 1)[:SLOTS]
+                rise_bias += gap.sum()
+                counted = np.zeros((2, 2))
+                np.add.at(counted, (given[:, :-1].ravel(), given[:, 1:].ravel()), 1)
+                rise_trans += (counted - steps) / len(part)
             grown += rise**2
-            grown_bias += gap.sum() ** 2
+            grown_bias += rise_bias**2
             grown_trans += rise_trans**2
             weights += 0.5 * rise / np.sqrt(grown)
-            bias += 0.5 * gap.sum() / np.sqrt(grown_bias)
+            bias += 0.5 * rise_bias / np.sqrt(grown_bias)
             trans += 0.2 * rise_trans / np.sqrt(grown_trans)
     field = Field(weights, float(bias), trans, np.empty(0))
     lengths = np.array([len(w) for w in docs])
@@ -337,7 +345,11 @@ def toxic_spans(text: bytes, marginal: np.ndarray) -> list[int]:
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """All columns of docs, score, and spans (start and end of each offending stretch, flat, in code points)."""
+    """All columns of docs, score, and spans (start and end of each offending stretch, flat, in code points).
+
+    A column of docs that has the name of a result gives place to it.
+    """
+    docs = docs.select(*(F.col(f"`{c}`") for c in common.others(docs, SCHEMA.fieldNames())))
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text_col)
     schema = T.StructType([*(T.StructField(n, f.dataType) for n, f in zip(names, docs.schema)), *SCHEMA.fields])
