@@ -1,31 +1,34 @@
 """License scans with built-in functions only (operator 10).
 
 Base rules are phrases whose words stand consecutively. The method is an exact set-similarity join between text blocks
-(lines, or windows) and license templates: a block matches a template if at least CONTAINMENT of the template's distinct words are
-in the block. Template words are put in the order of their document frequency over the whole corpus, rarest first. Of
-a template with n words of which a must be found, any matching block holds one of the first n - a + 1 (prefix filter),
-has a words or more (length filter), and, if its first template word stands at place i of the order, cannot share more
-than n - i (positional filter). What passes is verified by the intersection itself. The filters only skip blocks that
-cannot match.
-
-Windows are runs of consecutive words of the whole text, whatever lines they stand on, so that a wrapped notice counts
-as a whole. For a template of L words (repeats included) they hold 2 L words and begin at every L-th, so any L
-consecutive words stand in one of them. Only templates of which the whole text holds enough words are tried, and a
-window must hold those words of the template that tell its license from others (MARKS).
-
-Templates are the small side, at most MOST_TEMPLATE_WORDS words in all, and travel as literals; no row is shuffled but
-the frequencies, which are counted for template words alone and summed before they are.
+and license templates: a block matches a template if at least CONTAINMENT of the template's distinct words are in it.
+Template words are put in the order of their document frequency over the whole corpus, rarest first. Of a template with
+n words of which a must be found, any matching block holds one of the first n - a + 1: the first of the template's words
+that a block holds, at place i, leaves n - i at most (prefix and positional filter). These prefixes are an index by
+word, to which the words of the texts are joined; the pairs of template and block that come out are verified by joining
+the block's other words, and counting the distinct ones. Texts of fewer than a words are left out before (length
+filter). The filters only skip blocks that cannot match.
+
+Blocks are runs of consecutive words of the whole text, whatever lines they stand on, so that a wrapped notice counts as
+a whole. For a template of L words (repeats included) they hold 2 L words and begin at every L-th, so any L consecutive
+words stand in one of them. A block must also hold those words of the template that tell its license from others
+(MARKS).
+
+Templates are the small side: they go in passes of at most PASS_WORDS words, which are broadcast. Equal texts have equal
+results, so blocks go by a digest of the text's words, and what copies have in common is merged before it is shuffled.
+Only texts that hold a prefix word are split into words for the join.
 
 Defined cases: a null text is an empty one, without words or places; a null doc_id is carried; repeated rows give
-repeated results; an empty table gives an empty result; extra columns are ignored.
+repeated results; a text is read whole, however long; an empty table gives an empty result; extra columns are kept by
+scan(), but for those that have the name of a result, whose place the result takes.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +37,8 @@ from varsift.llm import common
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
-MOST_TEMPLATE_WORDS = 5_000
+#: Words of the templates that one pass joins.
+PASS_WORDS = 5_000
 
 #: The phrases of the base rules.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -52,14 +56,24 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 ]
 
-#: Words that tell a license from others; a block holds all those of a template that it matches.
+#: Words that tell a license from others; a block holds all those that a template has if it matches.
 MARKS = {"gpl": ["gnu"], "apache": ["apache"], "mit": ["mit"], "cc-by": ["cc", "creative", "commons"], "mpl": ["mozilla"]}
 
 
-def plain(text: Column) -> Column:
-    """Words of a text, A-Z in lower case, each with a blank before and behind: ' a b c '; a wordless text is ' '."""
-    words = F.trim(F.regexp_replace(common.lower_az(F.coalesce(text, F.lit(""))), NOT_WORD, " "))
-    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+
+
+def plain(rows: DataFrame, text: str, *columns: str) -> DataFrame:
+    """Columns of rows, and plain: the words of a text, A-Z in lower case, each with a blank before and behind, ' a b c ';
+    a wordless text is ' '."""
+    # lower() is many times faster than replacing A-Z. It changes non-ASCII letters as well, but of those two alone turn
+    # into ASCII ones, and no phrase or template word has any other.
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lower = F.when(whole.contains("\u212a") | whole.contains("\u0130"), common.lower_az(whole)).otherwise(F.lower(whole))
+    words = F.trim(F.regexp_replace(lower, NOT_WORD, " "))
+    # behind a generator they stand once: else every filter on what follows from them would work them out anew
+    once = rows.select(*columns, F.explode(F.array(words)).alias("words"))
+    return once.select(*columns, F.when(F.col("words") == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), "words", F.lit(" "))).alias("plain"))
 
 
 def _blanks(text: Column) -> Column:
@@ -79,46 +93,74 @@ def template_words(text: str) -> list[str]:
 def frequencies(plains: DataFrame, words: list[str]) -> dict[str, int]:
     """Document frequency of each template word over all rows of `plain`; as many rows reach the driver as there are words."""
     wanted = F.array(*map(F.lit, words))
-    held = plains.select(F.explode(F.array_intersect(F.split("plain", " "), wanted)).alias("word"))
+    held = plains.where(_holds(words)).select(F.explode(F.array_intersect(F.split("plain", " "), wanted)).alias("word"))
     return {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
 
 
-def _windows(words: Column, length: int) -> Column:
-    """Runs of 2 * length of an array's words, beginning at each length-th: any `length` consecutive ones are in one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(words) / length).cast("int") - 2))
-    return F.transform(starts, lambda i: F.slice(words, i * length + 1, F.lit(2 * length)))
-
-
-def ordered_templates(templates: list[tuple[str, str]], seen: dict[str, int], threshold: float) -> list[tuple[str, list[str], int]]:
-    """Label, words from rare to frequent, and the number of words a match must share."""
+def ordered_templates(templates: list[tuple[str, str]], seen: dict[str, int], threshold: float) -> list[tuple]:
+    """Label, words from rare to frequent, the number of words a match must share, and the length of each template."""
     out = []
     for label, text in templates:
         words = sorted(template_words(text), key=lambda w: (seen.get(w, 0), w))
         if words:
-            out.append((label, words, max(1, math.ceil(threshold * len(words) - 1e-9))))
-    if sum(len(w) for _, w, _ in out) > MOST_TEMPLATE_WORDS:
-        raise ValueError("split the templates: more words than one pass may broadcast")
+            out.append((label, words, max(1, math.ceil(threshold * len(words) - 1e-9)), len(plain_words(text))))
     return out
 
 
-def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float = CONTAINMENT, text_col: str = "text", windows: bool = False) -> DataFrame:
+def _passes(templates: list[tuple]) -> Iterator[list[tuple]]:
+    held, words = [], 0
+    for t in templates:
+        if held and words + len(t[1]) > PASS_WORDS:
+            yield held
+            held, words = [], 0
+        held.append(t)
+        words += len(t[1])
+    if held:
+        yield held
+
+
+def _holds(words: list[str]) -> Column:
+    """Whether a text holds one of the words."""
+    return F.col("plain").rlike(" (?:" + "|".join(map(re.escape, words)) + ") ")
+
+
+def _matches(plains: DataFrame, templates: list[tuple]) -> DataFrame:
+    """digest, label and share of every block of `plain` (n_words) that matches one of the templates."""
+    spark = plains.sparkSession
+    rows = [(k, label, w, i <= len(ws) - least, w in MARKS.get(label, ())) for k, (label, ws, least, _) in enumerate(templates) for i, w in enumerate(ws)]
+    index = F.broadcast(spark.createDataFrame(rows, "template int, label string, word string, prefix boolean, mark boolean").select("template", "word", "prefix", "mark"))
+    facts = [(k, label, len(ws), least, n, sum(w in MARKS.get(label, ()) for w in ws)) for k, (label, ws, least, n) in enumerate(templates)]
+    known = F.broadcast(spark.createDataFrame(facts, "template int, label string, words int, least int, length int, marks int"))
+    first = sorted({w for _, ws, least, _ in templates for w in ws[: len(ws) - least + 1]})
+    texts = plains.where(F.col("n_words") >= min(t[2] for t in templates)).where(_holds(first))
+    words = texts.select(F.md5("plain").alias("digest"), "n_words", F.posexplode(F.split(F.trim("plain"), " ")).alias("at", "word"))
+    held = words.join(index, "word").join(known.select("template", "length", "least"), "template").where("n_words >= least")
+    # the blocks that a word stands in begin at its place or up to two lengths before it; the last block ends the text
+    own = F.floor(F.col("at") / F.col("length")).cast("int")
+    last = F.greatest(F.lit(0), F.ceil(F.col("n_words") / F.col("length")).cast("int") - 2)
+    blocks = F.array_distinct(F.array(F.greatest(F.lit(0), F.least(own - 1, last)), F.least(own, last)))
+    found = held.select("digest", "template", "word", "prefix", "mark", F.explode(blocks).alias("block")).distinct()
+    tallied = found.groupBy("digest", "template", "block").agg(F.count("*").alias("shared"), F.max("prefix").alias("proposed"), F.sum(F.col("mark").cast("int")).alias("marked"))
+    return tallied.where("proposed").join(known, "template").where("shared >= least and marked = marks").select("digest", "label", (F.col("shared") / F.col("words")).alias("share"))
+
+
+def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, str]], threshold: float = CONTAINMENT, text_col: str = "text") -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels and labels (arrays) and score.
 
-    labels holds the labels of the base rules and of the templates that some line contains; with windows, that some
-    window of the text does.
+    labels holds the labels of the base rules and of the templates that some block of the text matches.
     """
     # the columns of docs go by in one struct, so that their names can't clash with those made here
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("plain", plain(F.col("text")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in common.others(docs, RESULTS))).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows = plain(rows, "text", "row")
     vocabulary = list(dict.fromkeys(w for _, t in templates for w in template_words(t)))
     order = ordered_templates(templates, frequencies(rows.select("plain"), vocabulary) if vocabulary else {}, threshold)
 
     words = F.when(F.col("plain") == " ", F.lit(0).cast("long")).otherwise(_blanks(F.col("plain")) - 1)
+    rows = rows.withColumn("n_words", words)
     cut = {}
     for i, phrase in enumerate(phrases):
         at = rf"(?<= )(?={re.escape(phrase).replace(chr(92) + ' ', ' ')} )"
         cut[f"cut{i}"] = F.when(F.col("plain").contains(f" {phrase} "), F.split("plain", at, -1))
-    rows = rows.withColumns({"n_words": words} | cut)
     counts, firsts, lasts, base = [], [], [], []
     for i, label in enumerate(phrases.values()):
         pieces = F.col(f"cut{i}")
@@ -127,75 +169,28 @@ def scan(docs: DataFrame, phrases: dict[str, str], templates: list[tuple[str, st
         lasts.append(F.col("n_words") - _blanks(F.element_at(pieces, -1)))
         base.append(F.when(pieces.isNotNull(), F.lit(label)))
     none = F.lit(None).cast("long")
-    rows = rows.withColumns(
-        {
-            "n_base": sum(counts[1:], counts[0]),
-            "first_word": F.least(*firsts, none),
-            "last_word": F.greatest(*lasts, none),
-            "base_labels": F.array_sort(F.array_distinct(F.array_compact(F.array(*base)))),
-        }
-    )
-    # candidate blocks: lines that hold a prefix word of some template
-    first_words = sorted({w for _, ws, least in order for w in ws[: len(ws) - least + 1]})
-    empty = F.array().cast("array<array<string>>")
-    if not first_words:
-        rows = rows.withColumn("matches", F.array().cast("array<struct<label:string,share:double>>"))
-    elif windows:
-        lengths = {tuple(sorted(template_words(t))): len(plain_words(t)) for _, t in templates}
-        every = F.array(*map(F.lit, vocabulary))
-        any_word = " (?:" + "|".join(map(re.escape, first_words)) + ") "
-        tokens = F.split(F.trim(F.col("plain")), " ")
-        rows = rows.withColumn("tokens", F.when(F.col("plain").rlike(any_word), tokens))
-        rows = rows.withColumn("held", F.array_intersect(every, F.col("tokens")))
-        found = []
-        for label, ws, least in order:
-            own = F.array(*map(F.lit, ws))
-            blocks = _windows(F.col("tokens"), lengths[tuple(sorted(ws))])
-            marks = [w for w in MARKS.get(label, []) if w in ws]
-            if marks:
-                blocks = F.filter(blocks, lambda b: reduce(and_, (F.array_contains(b, w) for w in marks)))
-            shared = F.array_max(F.transform(blocks, lambda b: F.size(F.array_intersect(own, b))))
-            best = F.when(F.size(F.array_intersect(own, F.col("held"))) >= least, shared)
-            found.append(F.struct(F.lit(label).alias("label"), (F.coalesce(best, F.lit(0)) / len(ws)).alias("share"), (F.coalesce(best, F.lit(0)) >= least).alias("enough")))
-        rows = rows.withColumn("matches", F.transform(F.filter(F.array(*found), lambda m: m["enough"]), lambda m: F.struct(m["label"].alias("label"), m["share"].alias("share"))))
-    else:
-        prefix = F.array(*map(F.lit, first_words))
-        any_word = " (?:" + "|".join(map(re.escape, first_words)) + ") "
-        lines = F.transform(F.split("text", "[\n\r]", -1), lambda x: F.array_distinct(F.split(F.trim(plain(x)), " ")))
-        rows = rows.withColumn("blocks", F.when(F.col("plain").rlike(any_word), F.filter(lines, lambda b: F.arrays_overlap(b, prefix))).otherwise(empty))
-        index = F.array(
-            *(
-                F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, ws)).alias("words"), F.lit(least).alias("least"), F.array(*map(F.lit, ws[: len(ws) - least + 1])).alias("prefix"))
-                for label, ws, least in order
-            )
-        )
-
-        def near(block: Column) -> Column:
-            def may(t: Column) -> Column:
-                place = F.array_position(F.transform(t["words"], lambda w: F.array_contains(block, w)), True)
-                return (F.size(block) >= t["least"]) & F.arrays_overlap(block, t["prefix"]) & (F.size(t["words"]) - place + 1 >= t["least"])
-
-            def share(t: Column) -> Column:
-                return F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share"))
-
-            return F.filter(F.transform(F.filter(index, may), share), lambda m: m["share"] >= threshold - 1e-9)
-
-        rows = rows.withColumn("matches", F.flatten(F.transform("blocks", near)))
-    return rows.select(
-        "row.*",
+    judged = rows.withColumns(cut).select(
+        "row",
         "n_words",
-        "n_base",
-        "first_word",
-        "last_word",
-        "base_labels",
-        F.array_sort(F.array_distinct(F.concat("base_labels", F.transform("matches", lambda m: m["label"])))).alias("labels"),
-        F.greatest(F.when(F.col("n_base") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0))).alias("score"),
+        sum(counts[1:], counts[0]).alias("n_base"),
+        F.least(*firsts, none).alias("first_word"),
+        F.greatest(*lasts, none).alias("last_word"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*base)))).alias("base_labels"),
+        F.md5("plain").alias("digest"),
     )
+    matches = [_matches(rows, some) for some in _passes(order)]
+    own = ["row.*", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    based = F.when(F.col("n_base") > 0, 1.0).otherwise(0.0)
+    if not matches:
+        return judged.select(*own, F.col("base_labels").alias("labels"), based.alias("score"))
+    every = reduce(DataFrame.union, matches).groupBy("digest").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
+    return judged.join(every, "digest", "left").select(*own, labels.alias("labels"), F.greatest(based, F.coalesce("share", F.lit(0.0))).alias("score"))
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices of every document."""
-    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES, windows=True)
+    found = scan(common.table(spark, sf_dir, "documents").select("doc_id", "text"), PHRASES, TEMPLATES)
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
     )
