@@ -51,7 +51,7 @@ def test_missing_design(tmp_path):
 
 def test_derived(design_path):
     c = run_config(design_path, wildtype_sequence="acGTa", sequence_type="noncoding", indels="5,6")
-    assert (c.wt_variable_seq, c.has_constant_region, c.permitted_sequences, c.indel_lengths, c.retain_indels) == ("GT", True, "NN", [5, 6], True)
+    assert (c.wt_variable_seq, c.has_constant_region, c.permitted, c.indel_lengths, c.retain_indels) == ("GT", True, "NN", [5, 6], True)
     assert run_config(design_path).indel_lengths is None and run_config(design_path, indels="all").indel_lengths == []
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tests import plain_reads
 from varsift.functions import estimates
 from varsift.operators import counts, enrichment, fitness, growth, mutations, reads, variants
 from varsift.plans import report
@@ -211,7 +214,7 @@ def test_demultiplex(spark):
     [("ACG", None, "TTACGCC", "CC"), ("AACG", None, "CGTTTT", "TTTT"), (None, "GGG", "ACTGGGTT", "ACT"), (None, "GGGG", "ACTTGG", "ACTT"), (None, "CCC;required...GGG;optional", "CCCATATGGGA", "ATAT"), (None, "CCC;required...GGG;optional", "CCCATAT", "ATAT")],
 )
 def test_trim_span(five, three, read, left):
-    a, b, found = reads.trim_span(read, reads.Adapter.of(five, three), 0.0, 2)
+    a, b, found = reads.trim_spans(pd.Series([read]), reads.Adapter.of(five, three), 0.0, 2).iloc[0]
     assert (read[a:b], found) == (left, True)
 
 
@@ -231,20 +234,55 @@ def test_trim_pairs(spark):
     assert reads.trim_pairs(df, {}, config()).count() == 2
 
 
+def merged(seq1, qual1, seq2, qual2, *options):
+    return next(zip(*reads.merge_batch([seq1], [qual1], [seq2], [qual2], *options)))
+
+
 def test_merge_pair():
     seq = "ACGTTGCAACGGTACCATTGA"
     rc = seq.translate(str.maketrans("ACGT", "TGCA"))[::-1]
-    assert reads.merge_pair(seq[:15], "I" * 15, rc[:15], "I" * 15, 5, 5, 1.0, 5, 41)[0] == seq
-    whole = reads.merge_pair(seq, "I" * 21, rc, "I" * 21, 5, 5, 1.0, 5, 41)
+    assert merged(seq[:15], "I" * 15, rc[:15], "I" * 15, 5, 5, 1.0, 5, 41)[0] == seq
+    whole = merged(seq, "I" * 21, rc, "I" * 21, 5, 5, 1.0, 5, 41)
     assert whole[0] == seq and set(whole[1]) == {"J"}
-    assert reads.merge_pair("AAAAAAAA", "I" * 8, "AAAAAAAA", "I" * 8, 5, 5, 1.0, 5, 41)[2] == "No_alignment_found"
-    assert reads.merge_pair("AAA", "III", "TTT", "III", 5, 5, 1.0, 1, 41)[2] == "Overlap_too_short"
-    assert reads.merge_pair("AAA", "III", "TTT", "III", 1, 5, 1.0, 5, 41)[2] == "Too_short"
+    assert merged("AAAAAAAA", "I" * 8, "AAAAAAAA", "I" * 8, 5, 5, 1.0, 5, 41)[2] == "No_alignment_found"
+    assert merged("AAA", "III", "TTT", "III", 5, 5, 1.0, 1, 41)[2] == "Overlap_too_short"
+    assert merged("AAA", "III", "TTT", "III", 1, 5, 1.0, 5, 41)[2] == "Too_short"
     # of two bases that differ, the one of better quality stays
-    differ = reads.merge_pair("ACGTTGCAAC", "IIII#IIIII", "GTTGCAACGT"[:10], "I" * 10, 8, 5, 9.0, 5, 41)
+    differ = merged("ACGTTGCAAC", "IIII#IIIII", "GTTGCAACGT"[:10], "I" * 10, 8, 5, 9.0, 5, 41)
     assert differ[0] == "ACGTTGCAAC"
 
 
+def _bases(rng, n):
+    return "".join(rng.choice("ACGT") for _ in range(n))
+
+
+def test_trimming_by_batches():
+    rng = random.Random(1)
+    for _ in range(120):
+        linked = f"{_bases(rng, 4)};required...{_bases(rng, 4)};optional"
+        adapter = reads.Adapter.of(rng.choice([None, _bases(rng, rng.randint(1, 8))]), rng.choice([None, linked, _bases(rng, rng.randint(1, 8))]))
+        if not adapter.five and not adapter.three:
+            continue
+        seqs = [_bases(rng, rng.randint(0, 5)) + rng.choice([adapter.five or "", ""]) + _bases(rng, rng.randint(0, 20)) + (adapter.three or "") + _bases(rng, rng.randint(0, 4)) for _ in range(20)]
+        rate, overlap = rng.choice([0, 0.1, 0.3]), rng.randint(1, 5)
+        got = reads.trim_spans(pd.Series([*seqs, None, ""]), adapter, rate, overlap)
+        assert [tuple(r) for r in got.itertuples(index=False)] == [plain_reads.trim_span(s, adapter, rate, overlap) for s in [*seqs, None, ""]]
+
+
+def test_merging_by_batches():
+    rng = random.Random(2)
+    complement = str.maketrans("ACGT", "TGCA")
+    for _ in range(100):
+        rows = []
+        for _ in range(15):
+            x = _bases(rng, rng.randint(5, 40))
+            a, b = x[: rng.randint(0, len(x))], x[rng.randint(0, len(x)) :].translate(complement)[::-1]
+            a, b = ("".join(rng.choice("ACGT") if rng.random() < 0.05 else c for c in s) for s in (a, b))
+            rows.append((a, "".join(chr(33 + rng.randint(0, 41)) for _ in a), b, "".join(chr(33 + rng.randint(0, 41)) for _ in b)))
+        options = (rng.randint(1, 10), rng.randint(0, 10), rng.choice([0.5, 5.0, 50.0]), rng.randint(0, 12), 41)
+        assert list(zip(*reads.merge_batch(*map(list, zip(*rows)), *options))) == [plain_reads.merge_pair(*r, *options) for r in rows]
+
+
 def test_orient(spark):
     df = pairs(spark, [("ACGTACAAAA", "I" * 10, "GGCCGGTTTT", "J" * 10), ("GGCCGGTTTT", "J" * 10, "ACGTACAAAA", "I" * 10)])
     got = reads.orient(df, "ACGTAC", "GGCCGG", 0.0, 3).orderBy("read_id").collect()

@@ -87,8 +87,8 @@ def base_composition(reads: DataFrame, by: str = "file", seq: str = "seq") -> Da
 # --- demultiplexing ---------------------------------------------------------------------------------------------
 
 
-def _matrix(seqs: pd.Series, width: int) -> np.ndarray:
-    flat = "".join(s[:width].upper().ljust(width, "-") for s in seqs.fillna("")).encode("latin-1", "replace")
+def _matrix(seqs: pd.Series, width: int, fill: str = "-") -> np.ndarray:
+    flat = "".join(s[:width].upper().ljust(width, fill) for s in seqs.fillna("")).encode("latin-1", "replace")
     return np.frombuffer(flat, np.uint8).reshape(len(seqs), width)
 
 
@@ -161,40 +161,62 @@ class Adapter:
             return cls(parts[0][0], parts[1][0], "required" in parts[0], "required" in parts[1])
         return cls(five, three)
 
-
-def _place(read: np.ndarray, adapter: np.ndarray, rate: float, overlap: int, at_start: bool) -> tuple[int, int] | None:
-    """Start and end of the best occurrence: whole anywhere, or cut off by the read's start (or end)."""
-    n, m = len(read), len(adapter)
-    best = None
-    lowest = -(m - 1) if at_start else 0
-    for a in range(lowest, n if not at_start else n - m + 1):
-        part = adapter[max(0, -a) : n - a if a + m > n else m]
-        if len(part) < min(overlap, m) or (a + m > n and at_start):
-            continue
-        errors = int((read[max(0, a) : max(0, a) + len(part)] != part).sum())
-        if errors <= rate * len(part):
-            rank = (-(len(part) - errors), errors, a)
-            if best is None or rank < best[0]:
-                best = (rank, max(0, a), max(0, a) + len(part))
-    return None if best is None else best[1:]
-
-
-def trim_span(seq: str | None, adapter: Adapter, rate: float, overlap: int) -> tuple[int, int, bool]:
-    """What is left of a read, and whether its adapters were found."""
-    read = np.frombuffer((seq or "").upper().encode("latin-1", "replace"), np.uint8)
-    start, end, hits, needs = 0, len(read), [], []
+    @property
+    def linked(self) -> str:
+        """Both as one: the read begins with the first and may end before the second."""
+        return f"{self.five};required...{self.three};optional"
+
+
+def _codes(adapter: str) -> np.ndarray:
+    return np.frombuffer(adapter.upper().encode(), np.uint8)
+
+
+def places(bases: np.ndarray, lengths: np.ndarray, adapter: np.ndarray, rate: float, overlap: int, at_start: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every read whether the adapter occurs, and start and end of its best occurrence: whole anywhere, or cut off by
+    the read's start (or end). Most matches win, then fewest errors, then the leftmost place.
+
+    bases: a row of codes for each read, filled up with zeros by the adapter's length at least.
+    """
+    n, m = len(bases), len(adapter)
+    most = int(lengths.max(initial=0))
+    matches, errors = np.full(n, -1), np.zeros(n, np.int64)
+    start, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for a in range(-(m - 1) if at_start else 0, most - m + 1 if at_start else most):
+        first = max(0, a)
+        part = adapter[first - a :]
+        width = np.minimum(len(part), lengths - first)
+        # what lies beyond a read's end are zeros, which no adapter has
+        equal = (bases[:, first : first + len(part)] == part).sum(1)
+        wrong = width - equal
+        good = (width >= min(overlap, m)) & (wrong <= rate * width)
+        if at_start:
+            good &= lengths >= a + m
+        good &= (equal > matches) | ((equal == matches) & (wrong < errors))
+        matches[good], errors[good], start[good], end[good] = equal[good], wrong[good], first, first + width[good]
+    return matches >= 0, start, end
+
+
+def trim_spans(seqs: pd.Series, adapter: Adapter, rate: float, overlap: int) -> pd.DataFrame:
+    """start and end of what is left of each read, and whether its adapters were found."""
+    lengths = seqs.str.len().fillna(0).to_numpy(np.int64)
+    start, end = np.zeros(len(seqs), np.int64), lengths.copy()
+    spare = max(len(adapter.five or ""), len(adapter.three or ""))
+    bases = _matrix(seqs, int(lengths.max(initial=0)) + spare, "\0")
+    hits, needs = [], []
     if adapter.five:
-        found = _place(read, np.frombuffer(adapter.five.upper().encode(), np.uint8), rate, overlap, True)
-        start = found[1] if found else 0
-        hits.append(found is not None)
+        hit, _, behind = places(bases, lengths, _codes(adapter.five), rate, overlap, True)
+        start = np.where(hit, behind, 0)
+        hits.append(hit)
         needs.append(adapter.five_required)
     if adapter.three:
-        found = _place(read[start:], np.frombuffer(adapter.three.upper().encode(), np.uint8), rate, overlap, False)
-        end = start + found[0] if found else end
-        hits.append(found is not None)
+        at = np.minimum(start[:, None] + np.arange(bases.shape[1]), bases.shape[1] - 1)
+        hit, before, _ = places(np.take_along_axis(bases, at, 1), lengths - start, _codes(adapter.three), rate, overlap, False)
+        end = np.where(hit, start + before, end)
+        hits.append(hit)
         needs.append(adapter.three_required)
     linked = len(hits) == 2 and not all(needs)
-    return start, end, all(h or not n for h, n in zip(hits, needs)) if linked else any(hits)
+    found = np.logical_and.reduce([h | (not n) for h, n in zip(hits, needs)]) if linked else np.logical_or.reduce(hits)
+    return pd.DataFrame({"start": start, "end": end, "found": found})
 
 
 def trim(reads: DataFrame, side: str, adapter: Adapter, rate: float, overlap: int, cut_front: int = 0, cut_back: int = 0) -> DataFrame:
@@ -209,7 +231,7 @@ def trim(reads: DataFrame, side: str, adapter: Adapter, rate: float, overlap: in
 
     @F.pandas_udf("start int, end int, found boolean")
     def spans(seqs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([trim_span(s, adapter, rate, overlap) for s in seqs], columns=["start", "end", "found"])
+        return trim_spans(seqs, adapter, rate, overlap)
 
     reads = reads.withColumn("_t", spans.asNondeterministic()(seq))
     at, width = F.col("_t.start") + 1, F.col("_t.end") - F.col("_t.start")
@@ -230,20 +252,25 @@ def trim_options(row: dict, config: RunConfig) -> dict:
     return {c: row.get(c) if row.get(c) is not None else getattr(config, CONFIG_COLUMNS[c]) for c in TRIM_COLUMNS}
 
 
+def shortest_variant(config: RunConfig) -> int:
+    """Bases of the shortest sequence that a run keeps."""
+    whole = len(config.wt_nt_seq)
+    return whole if not config.retain_indels else min(whole, *config.indel_lengths, whole) if config.indel_lengths else 1
+
+
 def link_adapters(row: dict, config: RunConfig) -> dict:
-    """Turn a 5' and a 3' adapter into a linked one where the read is long enough to reach the second."""
-    shortest = len(config.wt_nt_seq)
-    if config.retain_indels:
-        shortest = min([shortest, *config.indel_lengths]) if config.indel_lengths else 1
-    row = dict(row)
-    for name, length in (("First", "pair1_length"), ("Second", "pair2_length")):
-        five, three, n = row.get(f"cutadapt5{name}"), row.get(f"cutadapt3{name}"), row.get(length)
-        if five is None or three is None or "..." in three or n is None:
+    """The row with linked adapters for those mates that reach, behind the 5' adapter and the shortest variant, into the
+    3' one."""
+    linked = {}
+    for mate, name in enumerate(("First", "Second"), 1):
+        five, three = f"cutadapt5{name}", f"cutadapt3{name}"
+        adapter, length = Adapter.of(row.get(five), row.get(three)), row.get(f"pair{mate}_length")
+        if length is None or not adapter.five or not adapter.three or "..." in row[three]:
             continue
-        left = int(n) - int(row.get(f"cutadaptCut5{name}") or 0) - int(row.get(f"cutadaptCut3{name}") or 0)
-        if left > len(five) + shortest:
-            row[f"cutadapt3{name}"], row[f"cutadapt5{name}"] = f"{five};required...{three};optional", None
-    return row
+        cuts = sum(int(row.get(f"cutadaptCut{end}{name}") or 0) for end in (5, 3))
+        if int(length) - cuts > len(adapter.five) + shortest_variant(config):
+            linked |= {three: adapter.linked, five: None}
+    return row | linked
 
 
 def trim_pairs(reads: DataFrame, row: dict, config: RunConfig) -> DataFrame:
@@ -274,12 +301,10 @@ def orient(pairs: DataFrame, forward: str, reverse: str, rate: float, overlap: i
 
     @F.pandas_udf("boolean")
     def swapped(seqs: pd.Series) -> pd.Series:
-        def score(s: str, a: str) -> int:
-            read, adapter = (np.frombuffer(x.upper().encode(), np.uint8) for x in (s or "", a))
-            at = _place(read, adapter, rate, overlap, True)
-            return at[1] - at[0] if at else 0
-
-        return pd.Series([score(s, reverse) > score(s, forward) for s in seqs])
+        lengths = seqs.str.len().fillna(0).to_numpy(np.int64)
+        bases = _matrix(seqs, int(lengths.max(initial=0)) + max(len(forward), len(reverse)), "\0")
+        fits = [np.where(hit, end - start, 0) for hit, start, end in (places(bases, lengths, _codes(a), rate, overlap, True) for a in (forward, reverse))]
+        return pd.Series(fits[1] > fits[0])
 
     turn = F.col("swapped")
     pairs = pairs.withColumn("swapped", swapped.asNondeterministic()("seq1"))
@@ -292,42 +317,67 @@ def orient(pairs: DataFrame, forward: str, reverse: str, rate: float, overlap: i
 _COMPLEMENT = str.maketrans("acgtACGT", "tgcaTGCA")
 
 
-def merge_pair(seq1: str, qual1: str, seq2: str, qual2: str, least_overlap: int, most_differences: int, most_errors: float, least_length: int, top_quality: int) -> tuple[str | None, str | None, str | None]:
-    """seq, qual and reason to fail of an overlapping pair; ungapped, staggered ends allowed, posterior qualities."""
-    a, b = (np.frombuffer(s.upper().encode(), np.uint8) for s in (seq1, seq2.translate(_COMPLEMENT)[::-1]))
-    qa, qb = (np.frombuffer(q.encode(), np.uint8).astype(int) - 33 for q in (qual1, qual2[::-1]))
-    if min(len(a), len(b)) < least_length:
-        return None, None, "Too_short"
-    best = None
-    for start in range(-(len(b) - 1), len(a)):
-        lo, hi = max(0, start), min(len(a), start + len(b))
-        if hi - lo < least_overlap:
-            continue
-        differ = int((a[lo:hi] != b[lo - start : hi - start]).sum())
-        score = (hi - lo) - 4 * differ
-        if best is None or score > best[0]:
-            best = (score, start, lo, hi, differ)
-    if best is None:
-        return None, None, "Overlap_too_short"
-    score, start, lo, hi, differ = best
-    if score <= 0:
-        return None, None, "No_alignment_found"
-    if differ > most_differences:
-        return None, None, "Too_many_diffs"
-    x, y, px, py = a[lo:hi], b[lo - start : hi - start], 10 ** (-qa[lo:hi] / 10), 10 ** (-qb[lo - start : hi - start] / 10)
-    same = x == y
-    high, low = np.minimum(px, py), np.maximum(px, py)
-    p = np.where(same, px * py / 3 / (1 - px - py + 4 * px * py / 3), high * (1 - low / 3) / (px + py - 4 * px * py / 3))
-    middle = np.where(same | (px <= py), x, y)
-    quality = np.clip(np.round(-10 * np.log10(np.maximum(p, 1e-10))), 2, top_quality).astype(int)
+# Reasons to fail, in the order in which they are looked at, and what fails none.
+REASONS = [None, "Too_short", "Overlap_too_short", "No_alignment_found", "Too_many_diffs", "Exp.errs._too_high"]
+
+
+def _rows(values: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of each text as a row, filled up, and the lengths."""
+    lengths = np.array([len(v) for v in values], np.int64)
+    width = int(lengths.max(initial=0))
+    return np.frombuffer("".join(v.ljust(width, chr(fill)) for v in values).encode("latin-1", "replace"), np.uint8).reshape(len(values), width), lengths
+
+
+def merge_batch(seq1: list[str], qual1: list[str], seq2: list[str], qual2: list[str], least_overlap: int, most_differences: int, most_errors: float, least_length: int, top_quality: int) -> tuple[list, list, list]:
+    """seq, qual and reason to fail of overlapping pairs; ungapped, staggered ends allowed, posterior qualities.
+
+    All pairs are tried at one shift of the second mate after the other; the best has the most matches over differences
+    at a weight of three, and of equals the one that begins first.
+    """
+    a, la = _rows([s.upper() for s in seq1], 0)
+    b, lb = _rows([s.upper().translate(_COMPLEMENT)[::-1] for s in seq2], 1)
+    qa, qb = _rows(qual1, 33)[0].astype(np.int64) - 33, _rows([q[::-1] for q in qual2], 33)[0].astype(np.int64) - 33
+    n, wide_a, wide_b = len(a), a.shape[1], b.shape[1]
+    top = np.full(n, np.iinfo(np.int64).min)
+    shift, differ = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for start in range(-(wide_b - 1), wide_a):
+        lo, off = max(0, start), max(0, -start)
+        width = min(wide_a - lo, wide_b - off)
+        shared = np.minimum(la, start + lb) - lo
+        # beyond either mate's end the fillings differ
+        wrong = (a[:, lo : lo + width] != b[:, off : off + width]).sum(1) - (width - np.maximum(shared, 0))
+        score = shared - 4 * wrong
+        good = (start > -lb) & (start < la) & (shared >= least_overlap) & (score > top)
+        top[good], shift[good], differ[good] = score[good], start, wrong[good]
+    low = np.minimum(la, lb) < least_length
+    failed = np.select([low, top == np.iinfo(np.int64).min, top <= 0, differ > most_differences], [1, 2, 3, 4], 0)
     # before the overlap stands the first read, behind it the second; what overhangs on the far side is cut
-    seq = np.concatenate([a[:lo] if start >= 0 else a[:0], middle, b[hi - start :] if hi - start < len(b) and hi == len(a) else b[:0]])
-    qual = np.concatenate([qa[:lo] if start >= 0 else qa[:0], quality, qb[hi - start :] if hi - start < len(b) and hi == len(a) else qb[:0]])
-    if len(seq) < least_length:
-        return None, None, "Too_short"
-    if (10 ** (-qual / 10)).sum() > most_errors:
-        return None, None, "Exp.errs._too_high"
-    return seq.tobytes().decode(), "".join(chr(q + 33) for q in np.minimum(qual, top_quality)), None
+    lo, hi = np.maximum(shift, 0), np.minimum(la, shift + lb)
+    tail = np.where(hi == la, lb - (hi - shift), 0)
+    length = np.where(failed == 0, hi + tail, 0)
+    place = np.arange(int(length.max(initial=0)))[None, :]
+    at_a = np.clip(place, 0, max(wide_a - 1, 0))
+    at_b = np.clip(place - shift[:, None], 0, max(wide_b - 1, 0))
+    if not place.size:
+        return [None] * n, [None] * n, [REASONS[k] for k in failed]
+    x, y = np.take_along_axis(a, np.broadcast_to(at_a, (n, place.size)), 1), np.take_along_axis(b, at_b, 1)
+    sure_x, sure_y = np.take_along_axis(qa, np.broadcast_to(at_a, (n, place.size)), 1), np.take_along_axis(qb, at_b, 1)
+    px, py = 10 ** (-sure_x / 10), 10 ** (-sure_y / 10)
+    same = x == y
+    high, least = np.minimum(px, py), np.maximum(px, py)
+    with np.errstate(all="ignore"):
+        p = np.where(same, px * py / 3 / (1 - px - py + 4 * px * py / 3), high * (1 - least / 3) / (px + py - 4 * px * py / 3))
+        posterior = np.clip(np.round(-10 * np.log10(np.maximum(p, 1e-10))), 2, top_quality)
+    both = (place >= lo[:, None]) & (place < hi[:, None])
+    before = place < lo[:, None]
+    seq = np.where(both, np.where(same | (px <= py), x, y), np.where(before, x, y))
+    qual = np.where(both, np.nan_to_num(posterior, nan=2), np.where(before, sure_x, sure_y)).astype(np.int64)
+    inside = place < length[:, None]
+    errors = np.where(inside, 10 ** (-qual / 10), 0).sum(1)
+    failed = np.select([failed > 0, length < least_length, errors > most_errors], [failed, 1, 5], 0)
+    letters, marks = seq.astype(np.uint8).tobytes().decode("latin-1"), (np.minimum(qual, top_quality) + 33).astype(np.uint8).tobytes().decode("latin-1")
+    cut = lambda text: [None if k else text[i * place.size : i * place.size + m] for i, (k, m) in enumerate(zip(failed.tolist(), length.tolist()))]
+    return cut(letters), cut(marks), [REASONS[k] for k in failed]
 
 
 def merge_pairs(pairs: DataFrame, config: RunConfig) -> DataFrame:
@@ -338,7 +388,7 @@ def merge_pairs(pairs: DataFrame, config: RunConfig) -> DataFrame:
 
     @F.pandas_udf("seq string, qual string, reason string")
     def merged(s1: pd.Series, q1: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([merge_pair(*row, *options) for row in zip(s1, q1, s2, q2)], columns=["seq", "qual", "reason"])
+        return pd.DataFrame(dict(zip(("seq", "qual", "reason"), merge_batch(*(x.fillna("").tolist() for x in (s1, q1, s2, q2)), *options))))
 
     out = pairs.withColumn("_m", merged.asNondeterministic()("seq1", "qual1", "seq2", "qual2")).withColumns({"seq": F.col("_m.seq"), "qual": F.col("_m.qual")})
     low = F.coalesce(least_quality("qual") < config.vsearch_min_qual, F.lit(False))

@@ -72,7 +72,7 @@ def annotate(df: DataFrame, config: RunConfig, native: bool = False) -> DataFram
     reason = (
         F.when(F.col("indel"), F.lit(None).cast("string"))
         .when(~F.col("constant_region"), REASONS[0])
-        .when(~sequence.permitted("nt_seq", config.permitted_sequences), REASONS[1])
+        .when(~sequence.permitted("nt_seq", config.permitted), REASONS[1])
         .when(far > config.max_substitutions, REASONS[2])
         .when(mixed, REASONS[3])
     )

@@ -1,7 +1,7 @@
 """FASTQ as a Python data source: plain or gzip, single files or pairs read in lockstep.
 
 A file (or a pair) is one partition, as gzip can't be split and pairs go by position; repartition after reading. A
-truncated last record ends the file.
+truncated last record ends the file; mates of unequal numbers of records are an error.
 
     spark.read.format("varsift_fastq").option("path", "a.fastq.gz").option("mate", "b.fastq.gz").load()
 
@@ -11,6 +11,7 @@ Several files: `path` and `mate` may hold comma-separated lists.
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 from itertools import zip_longest
 
@@ -34,8 +35,9 @@ def records(path: str) -> Iterator[tuple[str, str, str]]:
 
     files, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("/") else (fs.LocalFileSystem(), path)
     with files.open_input_stream(name, compression=None) as raw:
-        lines = gzip.open(raw, "rt") if path.endswith(".gz") else (line.decode() for line in raw.read().splitlines())
-        lines = (line.rstrip("\r\n") for line in lines)
+        # line by line, whatever the size of the file
+        whole = gzip.open(raw, "rt") if path.endswith(".gz") else io.TextIOWrapper(io.BufferedReader(raw, 1 << 20))
+        lines = (line.rstrip("\r\n") for line in whole)
         while True:
             header, seq, plus, qual = (next(lines, None) for _ in range(4))
             if not header or qual is None:
@@ -49,6 +51,8 @@ class FastqReader(DataSourceReader):
         self.mates = [p for p in options.get("mate", "").split(",") if p]
 
     def partitions(self) -> list[InputPartition]:
+        if self.mates and len(self.mates) != len(self.paths):
+            raise ValueError(f"{len(self.paths)} files and {len(self.mates)} mates")
         return [_File(a, b) for a, b in zip_longest(self.paths, self.mates)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
@@ -56,7 +60,9 @@ class FastqReader(DataSourceReader):
             for i, record in enumerate(records(partition.path)):
                 yield (partition.path, i, *record)
         else:
-            for i, (a, b) in enumerate(zip(records(partition.path), records(partition.mate))):
+            for i, (a, b) in enumerate(zip_longest(records(partition.path), records(partition.mate))):
+                if a is None or b is None:
+                    raise ValueError(f"{partition.path} and {partition.mate} have unequal numbers of records: one ends after {i}")
                 yield (partition.path, i, *a, *b)
 
 
