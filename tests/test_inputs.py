@@ -82,13 +82,13 @@ def test_single_end_design_isnt_duplicate(tmp_path):
     assert design.ExperimentDesign.read(path).sample_names == ["a", "b"]
 
 
-def test_side_files(tmp_path):
-    (tmp_path / "b.txt").write_text("barcode\tvariant\r\nAAAA\tCCCC\r\nTTTT\tCCCC\r\nAAAA\tGGGG\r\n")
-    assert design.read_barcode_identity(tmp_path / "b.txt") == {"aaaa": "gggg", "tttt": "cccc"}
-    for text in ("barcode\tx\nA\tC\n", "barcode\tvariant\nAN\tC\n"):
-        (tmp_path / "b.txt").write_text(text)
+def test_side_files(spark, tmp_path):
+    (tmp_path / "b.txt").write_bytes(b"barcode\tvariant\r\nAAAA\tCCCC\r\nTTTT\tCCCC\r\nAAAA\tGGGG\r\n")
+    assert sorted(map(tuple, counts.read_barcodes(spark, tmp_path / "b.txt").collect())) == [("aaaa", "gggg"), ("tttt", "cccc")]
+    for i, text in enumerate(("barcode\tx\nA\tC\n", "barcode\tvariant\nAN\tC\n")):
+        (tmp_path / f"b{i}.txt").write_text(text)
         with pytest.raises(ValueError):
-            design.read_barcode_identity(tmp_path / "b.txt")
+            counts.read_barcodes(spark, tmp_path / f"b{i}.txt")
     (tmp_path / "s.txt").write_text(" ACGT \n\nttt\n")
     assert design.read_synonyms(tmp_path / "s.txt") == ["acgt", "ttt"]
     (tmp_path / "d.txt").write_text("pair1\tpair2\tpair_directory\tbarcode\tnew_pair_prefix\na\tb\t/x\tACG\tp\n")

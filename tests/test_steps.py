@@ -296,3 +296,25 @@ def test_report_tables(spark):
     trimmed = spark.createDataFrame([(10, 7), (5, 9)], "total_reads bigint, pairs_written bigint")
     assert [r.filtered for r in report.trim_shares(trimmed).collect()] == [3, 0]
     assert spark.createDataFrame([(0.5,)], "p double").select(report.normal_quantile("p")).first()[0] == 0.0
+
+
+# A published wildtype row of four replicates.
+GOLDEN_WT = "ggtaatagcagagggggtggagctggtttgggaaacaatcaaggtagtaatatgggtggtgggatgaactttggtgcgttcagcattaatccagccatgatggctgccgcccaggcagcactacag"
+GOLDEN_AMINO = "GNSRGGGAGLGNNQGSNMGGGMNFGAFSINPAMMAAAQAALQ"
+GOLDEN_INPUTS, GOLDEN_OUTPUTS = [20949, 22510, 22864, 23326], [14710, 16376, 15623, 17857]
+GOLDEN_FITNESS = [-0.00998775986426852, -0.153016504755251, 0.0874479986847711, 0.0755562659347483]
+GOLDEN_SIGMA = [0.0154627087574389, 0.131005474782979, 0.159796930352447, 0.0140363562816411]
+GOLDEN_MERGED = (0.0359395343629076, 0.0103387105874816)
+
+
+def test_published_wildtype_row(spark):
+    """Annotation, mean count and merged fitness of the row come out as published."""
+    reps = [1, 2, 3, 4]
+    names = estimates.count_names(reps)
+    counted = spark.createDataFrame([(GOLDEN_WT, *[x for pair in zip(GOLDEN_INPUTS, GOLDEN_OUTPUTS) for x in pair])], "nt_seq string, " + ", ".join(f"{n} bigint" for n in names))
+    r = variants.process(counted, config(wildtype_sequence=GOLDEN_WT.upper()), checked=False).retained.first()
+    assert (r.aa_seq, r.Nham_nt, r.Nham_aa, r.Nmut_codons, r.WT, r.indel, r.STOP, r.STOP_readthrough) == (GOLDEN_AMINO, 0, 0, 0, True, False, False, False)
+    row = (*GOLDEN_FITNESS, *GOLDEN_SIGMA, *GOLDEN_INPUTS)
+    frame = spark.createDataFrame([row], ", ".join([f"fitness{e}_uncorr double" for e in reps] + [f"sigma{e}_uncorr double" for e in reps] + [f"count_e{e}_s0 bigint" for e in reps]))
+    merged = fitness.merge(frame, reps).withColumn("mean_count", estimates.row_mean([F.col(f"count_e{e}_s0") for e in reps])).first()
+    assert (merged.fitness, merged.sigma) == pytest.approx(GOLDEN_MERGED, abs=1e-12) and merged.mean_count == 22412.25

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varsift.sources.design import ExperimentDesign
@@ -16,8 +16,13 @@ def tally(reads: DataFrame, sample: str = "sample_id", seq: str = "seq") -> Data
     return reads.groupBy(F.col(sample).alias("sample_id"), F.col(seq).alias("nt_seq")).agg(F.count("*").alias("count"))
 
 
+def tally_order() -> list[Column]:
+    """By sample, from the most frequent sequence on, ties by sequence."""
+    return [F.col("sample_id"), F.desc("count"), F.col("nt_seq")]
+
+
 def sorted_tally(reads: DataFrame, sample: str = "sample_id", seq: str = "seq") -> DataFrame:
-    return tally(reads, sample, seq).orderBy("sample_id", F.desc("count"), "nt_seq")
+    return tally(reads, sample, seq).orderBy(*tally_order())
 
 
 def pivot(long: DataFrame, samples: list[str]) -> DataFrame:

@@ -2,19 +2,22 @@
 
 Thresholds, wildtype scalars and weights come from a few aggregates. The normalisation's objective is a sum over rows:
 up to FIT_ROWS rows it is evaluated on the driver, beyond that each evaluation is one distributed aggregate. The error
-model is linear in its parameters, so a bootstrap needs only its normal equations; bootstraps run as Spark tasks over
-a pool of rows whose size is bounded, and each solves a small convex problem.
+model is linear in its parameters, so a bootstrap needs only its normal equations, and each solves a small convex
+problem. Every bootstrap draws its rows (max_n at most) from the whole table, in one order: up to POOL_ROWS rows from a
+broadcast copy, beyond that by joining the numbers that were drawn to the numbered rows. Both ways draw the same rows.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from varsift.functions import estimates
@@ -24,9 +27,10 @@ from varsift.shipping import ship
 
 #: Rows up to which the normalisation is fitted on the driver (a double for each row and replicate).
 FIT_ROWS = 1_000_000
-#: Rows of the pool that bootstraps draw from; more usable rows are sampled evenly by a hash.
+#: Rows up to which bootstraps draw from a broadcast copy of the table.
 POOL_ROWS = 200_000
 MOST_SUBSETS = 500
+LOG = logging.getLogger(__name__)
 
 
 def input_threshold(df: DataFrame, reps: Sequence[int]) -> DataFrame:
@@ -81,7 +85,7 @@ def fit_normalisation(df: DataFrame, reps: Sequence[int], prefix: str = "fitness
     p = minimise(objective, np.r_[np.ones(k), np.zeros(k)])
     scale = p[:k] / p[0]
     if (scale < 0).any():
-        print("some scales are negative: are input and output samples exchanged in the design?")
+        LOG.warning("some scales are negative: are input and output samples exchanged in the design?")
     return NormModel({e: round(float(v), 4) for e, v in zip(reps, scale)}, {e: round(float(v), 4) for e, v in zip(reps, p[k:])})
 
 
@@ -115,10 +119,13 @@ def normal_equations(fits: np.ndarray, cin: np.ndarray, cout: np.ndarray, weight
     return gram, target
 
 
-def bootstrap(pool: np.ndarray, k: int, seed: int, most: int, lower_rep: float) -> np.ndarray:
-    """Parameters of one resample. pool: fits, 1/in, 1/out (scaled), weight."""
-    rng = np.random.default_rng(seed)
-    rows = pool[rng.choice(len(pool), size=min(len(pool), most), replace=True)]
+def drawn(n: int, seed: int, most: int) -> np.ndarray:
+    """Numbers of the rows of one resample."""
+    return np.random.default_rng(seed).choice(n, size=min(n, most), replace=True)
+
+
+def solve(rows: np.ndarray, k: int, lower_rep: float) -> np.ndarray:
+    """Parameters of one resample. rows: fits, 1/in, 1/out (scaled), weight."""
     if len(rows) * len(subsets(k)) < 3 * k + 1:
         return np.full(3 * k, np.nan)
     gram, target = normal_equations(rows[:, :k], rows[:, k : 2 * k], rows[:, 2 * k : 3 * k], rows[:, 3 * k])
@@ -155,23 +162,46 @@ def fit(df: DataFrame, reps: Sequence[int], fitness_normalise: bool, fitness_err
     mean_error = estimates.row_mean(errors)
     weight = 1 / (mean_error * mean_error * F.col("error_model_weighting"))
     columns = [*fits, *(F.lit(scale[e]) / estimates.s0(e) for e in reps), *(F.lit(scale[e]) / estimates.s1(e) for e in reps), weight]
-    if n_usable > POOL_ROWS:
-        rows = rows.orderBy(F.xxhash64("merge_seq", "nt_seq")).limit(POOL_ROWS)
-    else:
-        rows = rows.orderBy("merge_seq", "nt_seq")
-    pool = spark.sparkContext.broadcast(_values(columns, rows))
     seeds = np.random.default_rng(seed).integers(0, 2**31, size=n_bootstraps).tolist()
     ship(spark)
+    if n_usable <= POOL_ROWS:
+        pool = spark.sparkContext.broadcast(_values(columns, rows.orderBy("merge_seq", "nt_seq")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"p": [bootstrap(pool.value, k, s, max_n, lower_rep).tolist() for s in batch["seed"]]})
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"p": [solve(pool.value[drawn(n_usable, s, max_n)], k, lower_rep).tolist() for s in batch["seed"]]})
 
-    tasks = max(1, min(n_bootstraps, spark.sparkContext.defaultParallelism))
-    found = spark.createDataFrame([(int(s),) for s in seeds], "seed long").repartition(tasks).mapInPandas(run, "p array<double>").collect()
+        tasks = max(1, min(n_bootstraps, spark.sparkContext.defaultParallelism))
+        found = spark.createDataFrame([(int(s),) for s in seeds], "seed long").repartition(tasks).mapInPandas(run, "p array<double>").collect()
+    else:
+        found = resampled(rows.select("merge_seq", "nt_seq", F.array(*[c.cast("double") for c in columns]).alias("row")), n_usable, seeds, k, max_n, lower_rep)
     return ErrorModel(summarise(np.array([r.p for r in found], float), reps)), norm
 
 
+def resampled(rows: DataFrame, n: int, seeds: list[int], k: int, most: int, lower_rep: float) -> list[Row]:
+    """p: the parameters of each resample of a large table of (merge_seq, nt_seq, row)."""
+    spark = rows.sparkSession
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch["seed"]:
+                numbers = drawn(n, int(s), most)
+                yield pd.DataFrame({"seed": s, "number": numbers, "place": np.arange(len(numbers))})
+
+    def fitted(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"p": [solve(np.stack(rows.sort_values("place")["row"].to_numpy()), k, lower_rep).tolist()]})
+
+    # rows are numbered in their order: within sorted partitions, and from where each partition begins
+    ordered = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "merge_seq", "nt_seq").sortWithinPartitions("merge_seq", "nt_seq")
+    placed = ordered.withColumns({"part": F.spark_partition_id(), "within": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.DISK_ONLY)
+    begins = placed.groupBy("part").agg(F.count("*").alias("c")).withColumn("first", F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = placed.join(F.broadcast(begins), "part").select("row", (F.coalesce("first", F.lit(0)) + F.col("within")).alias("number"))
+    wanted = spark.createDataFrame([(int(s),) for s in seeds], "seed long").repartition(len(seeds)).mapInPandas(draw, "seed long, number long, place long")
+    found = wanted.join(numbered, "number").groupBy("seed").applyInPandas(fitted, "p array<double>").collect()
+    placed.unpersist()
+    return found
+
+
 def summarise(params: np.ndarray, reps: Sequence[int]) -> list[dict]:
     """Mean and the tenth and ninetieth percentile of each parameter over bootstraps."""
     k = len(reps)

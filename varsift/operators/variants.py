@@ -17,7 +17,7 @@ from varsift.functions import estimates, sequence
 from varsift.operators import counts
 from varsift.plans.config import RunConfig
 from varsift.shipping import ship
-from varsift.sources.design import read_barcode_identity
+from varsift.sources.counts import read_barcodes
 
 ANNOTATED = ["aa_seq", "WT", "STOP", "STOP_readthrough", "Nham_nt", "Nham_aa", "Nmut_codons"]
 REASONS = ["constant_region", "permitted", "too_many_substitutions", "mixed_substitutions"]
@@ -153,8 +153,7 @@ def process(df: DataFrame, config: RunConfig, checked: bool = True, native: bool
         df = df.withColumn("nt_seq", sequence.reverse_complement("nt_seq"))
     nobarcode = None
     if config.barcode_identity_path is not None:
-        pairs = read_barcode_identity(config.barcode_identity_path)
-        known, nobarcode = counts.debarcode(df, spark.createDataFrame(list(pairs.items()), "barcode string, variant string"), names)
+        known, nobarcode = counts.debarcode(df, read_barcodes(spark, config.barcode_identity_path), names)
         if checked and known.isEmpty():
             raise RuntimeError("no valid barcodes; check the barcode identity file")
         df = known

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from varsift.plans import catalogue_files  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -613,17 +617,29 @@ def count_hist(spark, sf_dir):
     return report.count_histogram(retained(spark, sf_dir), "count_e1_s0").select("nham", "bin", "n")
 
 
-@query()
+_cell = lambda c: f"case when {c} >= hi_{c} then 41 else cast(floor(cast(40 as double) * ({c} - lo_{c}) / (hi_{c} - lo_{c})) as bigint) + 1 end"
+_bounds = lambda c: f"min({c}) as lo_{c}, case when max({c}) > min({c}) then max({c}) else min({c}) + 1 end as hi_{c}"
+
+
+@query(f"with {ANNOTATED_SQL}, b as (select {_bounds('count_e1_s0')}, {_bounds('count_e1_s1')} from retained) select {_cell('count_e1_s0')} as bin_x, {_cell('count_e1_s1')} as bin_y, count(*) as n from retained cross join b group by 1, 2")
 def count_grid(spark, sf_dir):
     return report.density_grid(retained(spark, sf_dir), "count_e1_s0", "count_e1_s1")
 
 
-@query()
+_PLACES = [(i - 0.5) / 400 for i in range(1, 401)]
+_Z_ROWS = "z as (" + " union all ".join(f"select {e} as rep, least(greatest({_z(e)}, -10), 10) as z from est where {_z(e)} is not null" for e in REPS) + ")"
+
+
+@query(f"with {EST_SQL}, {_Z_ROWS}, q as (select rep, unnest(cast({[round(NormalDist().inv_cdf(p), 6) for p in _PLACES]} as double[])) as expected, unnest(quantile_cont(z, {_PLACES})) as z from z group by rep) select rep, expected, round(z, 6) as z from q")
 def qq_points(spark, sf_dir):
-    return report.qq_points(estimated(spark, sf_dir), REPS)
+    return report.qq_points(estimated(spark, sf_dir), REPS).select("rep", r6("expected", "expected"), r6("z", "z"))
 
 
-@query()
+_FATE = "case when length(nt_seq) <> 30 then 'Indels (discarded)' when Nham_aa > 2 then 'Too many subs' when Nmut_codons <> Nham_aa and Nham_aa <> 0 then 'Mixed codon' when Nham_nt = 0 then '0 substitutions' when Nham_nt = 1 then '1 substitution' when Nham_nt = 2 then '2 substitutions' else '3+ substitutions' end"
+_ALL_SQL = f"{INDELS_SQL}, whole as (select * from variants where length(nt_seq) = 30), translated as (select *, {fixture.amino_sql('nt_seq')} as aa_seq from whole), annotated as (select nt_seq, {', '.join(COUNTS)}, {fixture.differ_sql('nt_seq', WT)} as Nham_nt, {fixture.differ_sql('aa_seq', WT_AMINO)} as Nham_aa, {fixture.codons_sql('nt_seq', WT)} as Nmut_codons from translated union all select nt_seq, {', '.join(COUNTS)}, null, null, null from variants where length(nt_seq) <> 30)"
+
+
+@query(f"with {_ALL_SQL} select {_FATE} as row, " + ", ".join(f"cast(sum({c}) as bigint) as {report.short_name(c)}" for c in COUNTS) + " from annotated group by 1 having " + " + ".join(f"sum({c})" for c in COUNTS) + " > 0")
 def stats_table(spark, sf_dir):
     done = variants.process(fixture.with_indels(spark, sf_dir), config(), checked=False)
     return report.stats_table(done.stats, COUNTS)
@@ -663,6 +679,14 @@ def trans_concat(spark, sf_dir):
     return reads.concatenate(fixture.event_pairs(spark, sf_dir), config(**_READ_OPTIONS)).select("read_id", "seq", "fail_reason")
 
 
+_QUAL = lambda n: f"repeat(chr(cast(33 + event_quality as int)), cast({n} as int))"
+
+
+@query(f"with {EVENTS_SQL} select read_id, case when i % 13 = 0 then '#' || repeat('I', cast(length(seq1) - 1 as int)) else {_QUAL('length(seq1)')} end || {_QUAL('length(seq2)')} as qual from quality")
+def trans_quality(spark, sf_dir):
+    return reads.concatenate(fixture.event_pairs(spark, sf_dir), config(**_READ_OPTIONS)).select("read_id", "qual")
+
+
 _reason = lambda r: f"count(*) filter (where g = '{r}')"
 
 
@@ -700,12 +724,57 @@ def adapter_trim(spark, sf_dir):
     return done.select("read_id", F.col("trimmed1").alias("found"), F.col("seq1").alias("seq"))
 
 
-@query()
+_linked = "strpos(seq1, 'ACG') > 0"
+_rest = "substr(seq1, strpos(seq1, 'ACG') + 3)"
+
+
+@query(f"with {EVENTS_SQL}, cut as (select read_id, {_linked} as found, case when {_linked} then {_rest} else seq1 end as rest from pairs) select read_id, found, case when strpos(rest, 'TTG') > 0 then substr(rest, 1, strpos(rest, 'TTG') - 1) else rest end as seq from cut")
+def adapter_linked(spark, sf_dir):
+    done = reads.trim(fixture.event_pairs(spark, sf_dir), "1", reads.Adapter.of(None, "ACG;required...TTG;optional"), 0.0, 3)
+    return done.select("read_id", F.col("trimmed1").alias("found"), F.col("seq1").alias("seq"))
+
+
+@query(f"with {EVENTS_SQL} select read_id, strpos(seq1, 'GTC') > 0 as found, case when strpos(seq1, 'GTC') > 0 then substr(seq1, strpos(seq1, 'GTC') + 3) else seq1 end as seq from pairs")
+def adapter_five(spark, sf_dir):
+    done = reads.trim(fixture.event_pairs(spark, sf_dir), "1", reads.Adapter.of("GTC", None), 0.0, 3)
+    return done.select("read_id", F.col("trimmed1").alias("found"), F.col("seq1").alias("seq"))
+
+
+_wrong = lambda seq, code: "(" + " + ".join(f"cast(substr({seq}, {i}, 1) <> '{c}' as int)" for i, c in enumerate(code, 1)) + ")"
+_NEAR = ", ".join(f"case when {_wrong('seq1', c)} <= 1 and {_wrong('seq2', c)} <= 1 then {_wrong('seq1', c)} + {_wrong('seq2', c)} else 99 end as d{i}" for i, c in enumerate(_CODES))
+_LEAST = "least(" + ", ".join(f"d{i}" for i in range(len(_CODES))) + ")"
+_PICK = f"case when {_LEAST} = 99 then null " + " ".join(f"when d{i} = {_LEAST} then 'bc{i}'" for i in range(len(_CODES))) + " end"
+
+
+@query(f"with {EVENTS_SQL}, near as (select *, {_NEAR} from pairs), picked as (select *, {_PICK} as bc from near) select read_id, bc, case when bc is null then seq1 else substr(seq1, 5) end as seq1, case when bc is null then seq2 else substr(seq2, 5) end as seq2 from picked")
+def demux_mates(spark, sf_dir):
+    """Barcodes on both mates, with an error each."""
+    rows = [{"new_pair_prefix": f"bc{i}", "barcode1": c, "barcode2": c} for i, c in enumerate(_CODES)]
+    done = reads.demultiplex(fixture.event_pairs(spark, sf_dir).drop("sample_id"), rows, 0.25)
+    return done.select("read_id", F.col("sample_id").alias("bc"), "seq1", "seq2")
+
+
+_MERGE = f"""{EVENTS_SQL}, mates as (
+  select read_id, i, event_quality, seq1 as a, 'GTACGT' || substr(seq1, 3) as b from quality
+), shifted as (
+  select *, unnest(range(1 - length(b), length(a))) as s from mates
+), overlapped as (
+  select *, greatest(0, s) as lo, least(length(a), s + length(b)) as hi from shifted
+), compared as (
+  select *, list_filter(range(lo, hi), lambda x: substr(a, x + 1, 1) <> substr(b, x - s + 1, 1)) as differ from overlapped where hi - lo >= 8
+), ranked as (
+  select *, hi - lo - 4 * len(differ) as score, row_number() over (partition by read_id order by hi - lo - 4 * len(differ) desc, s) as place from compared
+)"""
+
+
+@query(f"with {_MERGE}, best as (select *, case when score <= 0 then 'No_alignment_found' when len(differ) > 8 then 'Too_many_diffs' end as failed from ranked where place = 1) select read_id, case when failed is not null then null when i % 13 <> 0 then substr(a, 1, greatest(s, 0)) || substr(b, greatest(-s, 0) + 1) else case when s > 0 then substr(a, 1, 1) else substr(b, 1 - s, 1) end || substr(a, 2, hi - 1) || case when hi = length(a) then substr(b, hi - s + 1) else '' end end as seq, case when failed is not null then failed when len(list_filter(differ, lambda x: x > 0 or i % 13 <> 0)) > 0 or (s > 0 and (event_quality < 30 or i % 13 = 0)) then 'Min_Q_too_low' end as fail_reason from best")
 def pair_merge(spark, sf_dir):
+    """The second mate lacks the first two bases and has six others. Its bases are the better ones, but in pairs whose
+    first mate is as good behind its first base."""
     pairs = fixture.event_pairs(spark, sf_dir)
     mate = F.concat(sequence.reverse_complement(F.substring("seq1", 3, 40)), F.lit("ACGTAC"))
     pairs = pairs.withColumns({"seq2": mate, "qual2": F.repeat(F.lit("I"), F.length(mate))})
-    return reads.merge_pairs(pairs, config(cutadapt_min_length=5, vsearch_min_ovlen=8, vsearch_max_ee=5.0)).select("read_id", "seq", "qual", "fail_reason")
+    return reads.merge_pairs(pairs, config(cutadapt_min_length=5, vsearch_min_ovlen=8, vsearch_max_ee=5.0)).select("read_id", "seq", "fail_reason")
 
 
 # --- models -------------------------------------------------------------------------------------------------------

@@ -46,15 +46,23 @@ def config_of(args: list[str] | None = None) -> tuple[RunConfig, bool]:
     return RunConfig(**given), verbose
 
 
-def main(args: list[str] | None = None) -> None:
+def session(config: RunConfig):
+    """The session that spark-submit describes; without one, num_cores threads of this machine."""
+    from pyspark import SparkConf
     from pyspark.sql import SparkSession
 
+    builder = SparkSession.builder.appName(config.project_name)
+    if not SparkConf().contains("spark.master"):
+        builder = builder.config("spark.master", f"local[{config.num_cores}]").config("spark.sql.shuffle.partitions", max(2, config.num_cores))
+    return builder.getOrCreate()
+
+
+def main(args: list[str] | None = None) -> None:
     from varsift.plans.pipeline import run
 
     config, verbose = config_of(args)
     logging.basicConfig(level=logging.DEBUG if verbose else logging.INFO)
-    spark = SparkSession.builder.appName(config.project_name).master(f"local[{config.num_cores}]").config("spark.sql.shuffle.partitions", max(2, config.num_cores)).getOrCreate()
-    run(spark, config)
+    run(session(config), config)
 
 
 if __name__ == "__main__":

@@ -6,7 +6,7 @@ stage 4 from a stored tally, or at stage 5 from the stored annotated table.
 
 from __future__ import annotations
 
-from pathlib import Path
+import logging
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +15,11 @@ from varsift.functions import estimates, sequence
 from varsift.operators import counts, enrichment, error_model, fitness, growth, mutations, reads, variants
 from varsift.plans import outputs, report
 from varsift.plans.config import RunConfig
-from varsift.sources import fastq, reports
+from varsift.sources import fastq, files, reports
 from varsift.sources.counts import read_count_file, read_stored, read_tally
 from varsift.sources.design import ExperimentDesign, read_barcode_design, read_synonyms
 
-
-def _uri(path: Path) -> str:
-    return f"file://{path.resolve()}"
+LOG = logging.getLogger(__name__)
 
 
 def read_design(config: RunConfig) -> ExperimentDesign:
@@ -32,9 +30,9 @@ def sample_reads(spark: SparkSession, config: RunConfig, design: ExperimentDesig
     """For each design row its sample code and its reads with columns seq1, qual1 (and seq2, qual2), demultiplexed."""
 
     def load(folder: str, first: str, second: str | None) -> DataFrame:
-        a = [str(Path(folder) / first)]
+        a = [str(files.locate(folder) / first)]
         if config.paired and second:
-            return fastq.read_fastq(spark, a, [str(Path(folder) / second)])
+            return fastq.read_fastq(spark, a, [str(files.locate(folder) / second)])
         return fastq.read_fastq(spark, a).withColumnsRenamed({"seq": "seq1", "qual": "qual1"})
 
     parts: dict[str, DataFrame] = {}
@@ -63,7 +61,7 @@ def run_reads(spark: SparkSession, config: RunConfig, design: ExperimentDesign)
     if config.start_stage <= 1:
         for code, (_, df) in samples.items():
             quality = reads.quality_by_position(df.withColumn("file", F.lit(code)), qual="qual1")
-            quality.write.mode("overwrite").parquet(_uri(project / "2_fastqc" / f"{code}.parquet"))
+            quality.write.mode("overwrite").parquet(files.uri(project / "2_fastqc" / f"{code}.parquet"))
         if config.stop_stage < 2:
             return None
     if config.start_stage <= 2:
@@ -74,22 +72,22 @@ def run_reads(spark: SparkSession, config: RunConfig, design: ExperimentDesign)
             samples[code] = (row, reads.trim_pairs(df, asked, config))
     if config.stop_stage < 3:
         for code, (_, df) in samples.items():
-            df.write.mode("overwrite").parquet(_uri(project / "3_trim" / f"{code}.parquet"))
+            df.write.mode("overwrite").parquet(files.uri(project / "3_trim" / f"{code}.parquet"))
         return None
     aligned = None
     for code, (_, df) in samples.items():
         one = reads.process(df, config).select(F.lit(code).alias("sample_id"), "seq", "qual", "fail_reason")
         aligned = one if aligned is None else aligned.unionByName(one)
-    aligned.write.mode("overwrite").parquet(_uri(project / "4_align" / "reads.parquet"))
-    aligned = spark.read.parquet(_uri(project / "4_align" / "reads.parquet"))
+    aligned.write.mode("overwrite").parquet(files.uri(project / "4_align" / "reads.parquet"))
+    aligned = spark.read.parquet(files.uri(project / "4_align" / "reads.parquet"))
     good = aligned.where("fail_reason is null")
     facts = reads.read_statistics(aligned).join(reads.length_quantiles(good), "sample_id", "left").collect()
     for r in facts:
         stats = {k: r[k.replace(".", "")] for k in reports.COUNTERS}
         stats |= {f"Merged_length_{k}": "NA" if r[f"length_{k}"] is None else r[f"length_{k}"] for k in reports.LENGTHS}
         reports.write_report(project / "4_align" / f"{r.sample_id}.report", stats)
-    counts.tally(good.withColumn("seq", F.lower("seq"))).write.mode("overwrite").partitionBy("sample_id").parquet(_uri(project / "5_tally"))
-    return spark.read.parquet(_uri(project / "5_tally"))
+    counts.tally(good.withColumn("seq", F.lower("seq"))).write.mode("overwrite").partitionBy("sample_id").parquet(files.uri(project / "5_tally"))
+    return spark.read.parquet(files.uri(project / "5_tally"))
 
 
 def build_counts(spark: SparkSession, config: RunConfig, design: ExperimentDesign) -> DataFrame | None:
@@ -99,9 +97,9 @@ def build_counts(spark: SparkSession, config: RunConfig, design: ExperimentDesig
     if config.start_stage >= 4:
         stored = config.project_path / "5_tally"
         if any(stored.glob("*.vsearch.unique")):
-            tally = read_tally(spark, {design.sample_code(r): str(stored / f"{design.sample_code(r)}.vsearch.unique") for r in design.rows})
+            tally = read_tally(spark, {design.sample_code(r): files.uri(stored / f"{design.sample_code(r)}.vsearch.unique") for r in design.rows})
         else:
-            tally = read_stored(spark, _uri(stored))
+            tally = read_stored(spark, files.uri(stored))
     else:
         tally = run_reads(spark, config, design)
     if tally is None or config.stop_stage < 4:
@@ -109,13 +107,18 @@ def build_counts(spark: SparkSession, config: RunConfig, design: ExperimentDesig
     return counts.wide_counts(tally.select("nt_seq", "count", "sample_id"), design)
 
 
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run(spark: SparkSession, config: RunConfig) -> dict[str, DataFrame]:
     """A whole run; result tables by name (empty if it stopped early). Files go below output_path / project_name."""
     config.tmp_path.mkdir(parents=True, exist_ok=True)
     design = read_design(config)
     reps = design.retained(config.retained_replicates)
     if len(reps) < 2 and not config.enrichment_mode:
-        print("fewer than two replicates: neither normalisation nor error model")
+        LOG.warning("fewer than two replicates: neither normalisation nor error model")
         config.fitness_normalise = config.fitness_error_model = False
     if config.enrichment_mode:
         return run_enrichment(spark, config, design, reps)
@@ -125,18 +128,18 @@ def run(spark: SparkSession, config: RunConfig) -> dict[str, DataFrame]:
         wide = build_counts(spark, config, design)
         if wide is None:
             return {}
-        done = variants.process(wide, config, persist=lambda d: d.persist())
-        prefix = config.project_path / config.project_name
-        outputs.write_text(done.indel, Path(f"{prefix}_indel_variant_data_merge.tsv"))
-        outputs.write_text(done.rejected, Path(f"{prefix}_rejected_variant_data_merge.tsv"))
-        outputs.write_text(done.retained, Path(f"{prefix}_variant_data_merge.tsv"))
-        done.retained.write.mode("overwrite").parquet(_uri(stored))
-        done.stats.write.mode("overwrite").parquet(_uri(config.tmp_path / "stats.parquet"))
-        done.annotated.unpersist()
+        # the annotated table has all reads' variants and is read by several parts: written once, at any size
+        annotated = files.scratch(spark, "annotated")
+        done = variants.process(wide, config, persist=lambda d: written(d, annotated))
+        for kind, rows in (("_indel", done.indel), ("_rejected", done.rejected), ("", done.retained)):
+            outputs.write_text(rows, config.project_path / f"{config.project_name}{kind}_variant_data_merge.tsv")
+        done.retained.write.mode("overwrite").parquet(files.uri(stored))
+        done.stats.write.mode("overwrite").parquet(files.uri(config.tmp_path / "stats.parquet"))
+        files.remove(annotated)
     if config.stop_stage < 5:
         return {}
-    retained = read_stored(spark, _uri(stored))
-    stats = read_stored(spark, _uri(config.tmp_path / "stats.parquet"))
+    retained = read_stored(spark, files.uri(stored))
+    stats = read_stored(spark, files.uri(config.tmp_path / "stats.parquet"))
     return run_fitness(retained, stats, config, design, reps)
 
 
@@ -191,10 +194,10 @@ def run_enrichment(spark: SparkSession, config: RunConfig, design: ExperimentDes
             return {}
         library = enrichment.annotate(wide, config)
         outputs.write_text(library, config.project_path / f"{config.project_name}_library_variant_data.tsv")
-        library.write.mode("overwrite").parquet(_uri(stored))
+        library.write.mode("overwrite").parquet(files.uri(stored))
     if config.stop_stage < 5:
         return {}
-    rows = fitness.filter_low_counts(read_stored(spark, _uri(stored)), config, reps).withColumn("error_model", F.lit(True))
+    rows = fitness.filter_low_counts(read_stored(spark, files.uri(stored)), config, reps).withColumn("error_model", F.lit(True))
     rows = fitness.add_dropout_pseudocount(rows, config.fitness_dropout_pseudocount, reps)
     norm = enrichment_normalisation(rows, reps)
     table = enrichment.calculate(rows, config, reps, norm)

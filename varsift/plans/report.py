@@ -95,15 +95,16 @@ def trim_shares(stats: DataFrame) -> DataFrame:
     return stats.withColumn("filtered", F.greatest(F.col("total_reads") - F.col("pairs_written"), F.lit(0)))
 
 
-def _table(df: DataFrame, title: str, most: int = 200) -> str:
+def _table(df: DataFrame, title: str) -> str:
+    """All rows of a table that has a row for each sample, category or bin."""
     head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
     cell = lambda v: f"{v:,}" if isinstance(v, int) else f"{v:.4g}" if isinstance(v, float) else "" if v is None else str(v)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(cell(v))}</td>" for v in r) + "</tr>" for r in df.limit(most).collect())
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(cell(v))}</td>" for v in r) + "</tr>" for r in df.collect())
     return f"<h2>{html.escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
 
 
 def _scatter(df: DataFrame, x: str, y: str, title: str) -> str:
-    rows = [(float(r[x]), float(r[y])) for r in df.select(x, y).limit(4000).collect()]
+    rows = [(float(r[x]), float(r[y])) for r in df.select(x, y).collect()]
     if not rows:
         return ""
     lo, hi = min(min(r) for r in rows), max(max(r) for r in rows)

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+import logging
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varsift.operators.counts import last_by_line
+from varsift.sources import files
 from varsift.sources.design import ExperimentDesign
 
 WHOLE = ("tinyint", "smallint", "int", "bigint")
+LOG = logging.getLogger(__name__)
 
 
-def _text_table(spark: SparkSession, path: str, header: bool, names: list[str] | None = None) -> DataFrame:
-    """A tab-separated file, all columns strings. Files with bare carriage returns are one line to Spark's reader, so
-    the header says which line end to use."""
-    reader = spark.read.option("sep", "\t").option("header", header).option("nullValue", "NA").option("emptyValue", "").option("quote", "")
-    first = spark.read.text(path, lineSep="\n").limit(1).collect()
-    if first and "\r" in first[0][0].rstrip("\r"):
+def _text_table(spark: SparkSession, path: str, *more: Column) -> DataFrame:
+    """A tab-separated file with a header, all columns strings, and more columns. Files with bare carriage returns are
+    one line to Spark's reader, so the header says which line end to use."""
+    reader = spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").option("quote", "")
+    first = files.head(path)
+    if b"\r" in first.split(b"\n")[0].rstrip(b"\r"):
         reader = reader.option("lineSep", "\r")
     df = reader.csv(path)
-    df = df.toDF(*[c.rstrip("\r") for c in (names or df.columns)][: len(df.columns)])
-    clean = [F.nullif(F.regexp_replace(F.col(f"`{c}`"), "\r$", ""), F.lit("")) for c in df.columns]
-    return df.select(*[F.when(x != "NA", x).alias(c) for x, c in zip(clean, df.columns)])
+    clean = {c.rstrip("\r"): F.nullif(F.regexp_replace(F.col(f"`{c}`"), "\r$", ""), F.lit("")) for c in df.columns}
+    return df.select(*[F.when(x != "NA", x).alias(c) for c, x in clean.items()], *more)
 
 
 def read_count_file(spark: SparkSession, path: Path | str, design: ExperimentDesign, validate: bool = True) -> DataFrame:
     """nt_seq (lower case) and a bigint column for each sample, under its internal name."""
-    df = _text_table(spark, str(path), True)
+    df = _text_table(spark, files.uri(path))
     return count_table(df, design, validate)
 
 
@@ -76,7 +79,7 @@ def read_tally(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            print(f"no tally for {sample}: {path}")
+            LOG.warning("no tally for %s: %s", sample, path)
             continue
         one = one.select(F.lower("nt_seq").alias("nt_seq"), "count", F.lit(sample).alias("sample_id"))
         found = one if found is None else found.unionByName(one)
@@ -85,6 +88,20 @@ def read_tally(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return found
 
 
+def read_barcodes(spark: SparkSession, path: Path | str) -> DataFrame:
+    """barcode and variant in lower case, of any number of rows; of equal barcodes the last line counts."""
+    # lines of a file follow each other by the place of their split and within it
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    rows = _text_table(spark, files.uri(path), line.alias("line"))
+    if missing := [c for c in ("barcode", "variant") if c not in rows.columns]:
+        raise ValueError(f"columns missing from the barcode file: {missing}")
+    rows = rows.select(*[F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("barcode", "variant")], "line")
+    odd = rows.where(F.concat("barcode", "variant").rlike("[^acgt]")).select("barcode", "variant").first()
+    if odd:
+        raise ValueError(f"the barcode file holds other characters than ACGT: {tuple(odd)}")
+    return last_by_line(rows, "line")
+
+
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table written by an earlier stage."""
     return spark.read.parquet(path)

@@ -119,20 +119,6 @@ class ExperimentDesign:
         return bool(outputs) and all(r.get(k) is not None for r in outputs for k in ("cell_density", "selection_time")) and all(r.get("cell_density") is not None for r in inputs)
 
 
-def read_barcode_identity(path: Path | str) -> dict[str, str]:
-    """Barcode to variant, in lower case; of equal barcodes the last line counts."""
-    rows = read_tsv(path)
-    if missing := [c for c in ("barcode", "variant") if rows and c not in rows[0]]:
-        raise ValueError(f"columns missing from the barcode file: {missing}")
-    out = {}
-    for r in rows:
-        pair = [(r[c] or "").lower() for c in ("barcode", "variant")]
-        if set("".join(pair)) - set("acgt"):
-            raise ValueError(f"the barcode file holds other characters than ACGT: {pair}")
-        out[pair[0]] = pair[1]
-    return out
-
-
 def read_barcode_design(path: Path | str) -> list[dict[str, str | None]]:
     """Rows of a barcode design; a single column `barcode` stands for barcode1."""
     rows = read_tsv(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varsift.functions.sequence import largest_int
+from varsift.sources import files
 
 # Counters of a filter report and their labels in the file.
 COUNTERS = {
@@ -20,7 +21,7 @@ LENGTHS = {"min": "Min", "low": "Low quartile", "median": "Median", "high": "Hig
 def write_report(path: Path | str, stats: dict) -> None:
     lines = ["Merged length distribution:", *(f"\t {stats.get(f'Merged_length_{k}', 'NA')}  {v}" for k, v in LENGTHS.items())]
     lines += ["", "Totals:", *(f"\t {stats.get(k, 0)}  {v}" for k, v in COUNTERS.items())]
-    Path(path).write_text("\n".join(lines) + "\n")
+    files.locate(path).write_text("\n".join(lines) + "\n")
 
 
 # How the external merge tool words its counters; reasons without a counter of their own are failed alignments.
@@ -41,7 +42,8 @@ MERGE_TOOL = {
 def _counted(path: Path | str, names: dict[str, str]) -> dict[str, int]:
     """Sums of a report's "number  label" lines by counter; a line's counter is that of the longest name it begins with."""
     stats = dict.fromkeys(COUNTERS, 0)
-    lines = Path(path).read_text().splitlines() if Path(path).exists() else []
+    path = files.locate(path)
+    lines = path.read_text().splitlines() if path.exists() else []
     known = sorted(names, key=len, reverse=True)
     for number, _, label in (line.strip().partition(" ") for line in lines):
         name = next((n for n in known if label.strip().lower().startswith(n)), None)
@@ -62,7 +64,7 @@ def parse_merge_report(path: Path | str) -> dict[str, int]:
 
 def collect_reports(spark: SparkSession, project: Path | str) -> DataFrame:
     """A row of counters for each sample's report, sorted by sample; prefilter reports are left out."""
-    paths = sorted(p for p in (Path(project) / "4_align").glob("*.report") if "prefilter" not in p.name)
+    paths = sorted(p for p in (files.locate(project) / "4_align").glob("*.report") if "prefilter" not in p.name)
     rows = [(p.stem, *parse_report(p).values()) for p in paths]
     names = [k.replace(".", "") for k in COUNTERS]
     return spark.createDataFrame(rows, "sample_name string, " + ", ".join(f"`{n}` long" for n in names))
@@ -80,8 +82,8 @@ def trim_stats(lines: DataFrame, group: str = "sample_name") -> DataFrame:
 
 def collect_trim_stats(spark: SparkSession, project: Path | str) -> DataFrame:
     """trim_stats of every *.stdout of the trimming stage, sorted by sample."""
-    folder = Path(project) / "3_trim"
+    folder = files.locate(project) / "3_trim"
     if not list(folder.glob("*.stdout")):
         return spark.createDataFrame([], "sample_name string, total_reads long, read1_with_adapter long, read2_with_adapter long, pairs_written long")
-    lines = spark.read.text(f"file://{folder.resolve()}/*.stdout").select("value", F.col("_metadata.file_name").alias("name"))
+    lines = spark.read.text(files.uri(folder) + "/*.stdout").select("value", F.col("_metadata.file_name").alias("name"))
     return trim_stats(lines.select("value", F.split("name", r"\.cutadapt")[0].alias("sample_name"))).orderBy("sample_name")
