@@ -294,7 +294,7 @@ def test_similar_texts_share_a_key_and_bytes(n):
             steps = near_copies._steps(np.array([n, m]))
             step = np.maximum(steps.min(), 0)
             x, y = near_copies.bytes_of([a, b], np.array([step, step]))
-            assert near_copies._enough(sum(p == q for p, q in zip(x, y)), n, m, near_copies._positions(step), 0.8)
+            assert near_copies._enough(sum(p == q for p, q in zip(x, y)), n, m, near_copies._bytes(step), 0.8)
             assert [near_copies._at(p, max(s, 0), step) for p, s in zip(near_copies._prints([a, b], 0.8), steps.tolist())] == [x, y]
 
 
@@ -371,11 +371,11 @@ def test_near_copies_are_exact_at_the_threshold(spark, monkeypatch, limit):
 def test_near_copies_in_lists_of_many_blocks(spark, monkeypatch, one_root):
     """Two members of different components of a long list meet whichever blocks they are dealt to."""
     monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", 3)
-    rows = [(key, node) for key in (1, 2) for node in range(20)] + [(3, 5), (3, 6)]
-    members = spark.createDataFrame(rows, "key long, node long")
+    rows = [(hub, node) for hub in (1, 2) for node in range(20)] + [(3, 5), (3, 6)]
+    stars = spark.createDataFrame(rows, "hub long, node long")
     roots = {i: 0 for i in range(1, 12 if one_root else 2)} | {6: 5}
     met = {}
-    for r in near_copies._tasks(members, spark.createDataFrame(list(roots.items()), "node long, root long")).collect():
+    for r in near_copies._tasks(stars, spark.createDataFrame(list(roots.items()), "node long, root long")).collect():
         met.setdefault(r.task, set()).add(r.node)
     assert all(any({a, b} <= m for m in met.values()) for a in range(20) for b in range(a) if roots.get(a, a) != roots.get(b, b))
     assert max(map(len, met.values())) < 20 and (one_root or {5, 6} not in met.values())

@@ -8,8 +8,9 @@ touches one position, so two texts of n and m shingles at a similarity of s agre
 
 1. Inverted index. The postings of a text are its first filled positions, each with all 64 bits of its SimHash, one more
    than may differ. Two texts that reach s share one (prefix filter over the filled positions).
-2. Count filter. For every pair that a posting list proposes, the shared positional bytes (the low byte of each SimHash)
-   are tallied; a pair below the guaranteed minimum, positions less those that may differ, goes.
+2. Count filter. For every pair that a posting list proposes, the shared positional bytes (the low byte of each SimHash,
+   at FINE times the index's positions, where two shingles seldom meet) are tallied; a pair below the guaranteed minimum,
+   positions less those that may differ, goes.
 3. Verification by the exact intersection of the shingle sets (64-bit hashes).
 
 The number of positions grows with the text by powers of two (_positions). Texts just above such a step are indexed, and
@@ -19,10 +20,14 @@ by single shingles. A text needs so many filled positions as it has postings; th
 
 Texts that are equal but for case and blanks are one node (128-bit digest of the words). Posting lists of up to
 LIST_LIMIT nodes propose their pairs. Of a longer list, which large groups of near copies make, each member is first
-held against one hub, the member that stands in most long lists. Lists whose members are connected by then are done. In
-the others, the bytes of all pairs of different components meet, dealt out in tasks of two blocks of members; what the
-count filter leaves is verified like all pairs. Keys that a sample shows to stand in very many texts never meet in one
-task: their members go straight to this step, and joins on a key are left to the engine, which splits large ones.
+held against one hub, the member that stands in most long lists. Lists of one hub are then one group, which holds every
+member once. Groups whose members are connected by then are done. In the others, the bytes of all pairs of different
+components meet, dealt out in tasks of two blocks of members; what the count filter leaves is verified like all pairs.
+Keys that a sample shows to stand in very many texts never meet in one task: their members go straight to this step, and
+joins on a key are left to the engine, which splits large ones.
+
+The texts are shuffled once, by digest, and written in buckets of it, so that whatever asks for some of them later moves
+digests alone.
 
 Defined cases: a null text is an empty one, and all wordless texts are copies of each other; a null doc_id stands behind
 all others; repeated rows are copies; a text is read whole, however long; an empty table gives an empty result; extra
@@ -44,8 +49,8 @@ from varsift.llm import common, graph
 from varsift.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-#: Shingles from which a text is indexed by positions; positions at the first step.
-SMALL, FIRST_POSITIONS = 64, 48
+#: Shingles from which a text is indexed by positions; positions at the first step; positional bytes for each of them.
+SMALL, FIRST_POSITIONS, FINE = 64, 48, 4
 #: Members up to which a posting list proposes all its pairs.
 LIST_LIMIT = 6
 #: About so many texts are looked at to tell which keys are to be spread; at most so many are.
@@ -71,10 +76,15 @@ def _steps(sizes: np.ndarray) -> np.ndarray:
 
 
 def _positions(step: np.ndarray | int) -> np.ndarray:
-    """Positions at a step; small texts have bytes at the first."""
+    """Positions of the index at a step."""
     return FIRST_POSITIONS << np.maximum(step, 0)
 
 
+def _bytes(step: np.ndarray | int) -> np.ndarray:
+    """Positional bytes at a step; small texts have those of the first."""
+    return FINE * _positions(step)
+
+
 def _first_size(step: np.ndarray) -> np.ndarray:
     """Shingles from which a text is at a step."""
     return np.where(step < 0, 0, SMALL << np.maximum(step, 0))
@@ -92,7 +102,7 @@ def _similar(common_size, size_a, size_b, similarity: float):
 
 def content(text: Column) -> Column:
     """A 128-bit digest of a text's words: equal for texts that differ in case (A-Z) and blanks alone."""
-    return F.unhex(F.md5(F.trim(F.regexp_replace(common.lower_az(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))))
+    return F.md5(F.trim(F.regexp_replace(common.lower_az(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
 def shingle_sets(text: pa.Array, words: int) -> list[np.ndarray]:
@@ -116,7 +126,7 @@ def simhashes(sets: list[np.ndarray], positions: np.ndarray) -> tuple[np.ndarray
 
 def bytes_of(sets: list[np.ndarray], steps: np.ndarray) -> list[bytes]:
     """The positional bytes of each set at a step."""
-    positions = _positions(steps)
+    positions = _bytes(steps)
     text, place, sims = simhashes(sets, positions)
     first = np.r_[0, np.cumsum(positions)]
     flat = np.zeros(first[-1], np.uint8)
@@ -194,7 +204,7 @@ def _prints(sets: list[np.ndarray], similarity: float) -> list[bytes]:
 
 def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """key, node, size and spread (a part of a key that is spread, else -1) of all postings; the first of each text has
-    its bytes."""
+    its bytes and its digest."""
     sent = texts.sparkSession.sparkContext.broadcast(_spread_keys(texts, words, similarity))
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -205,24 +215,25 @@ def _postings(texts: DataFrame, words: int, similarity: float) -> DataFrame:
         spread = np.where(np.isin(key, sent.value), node % SPREAD, -1).astype(np.int32)
         first = np.zeros(len(own), bool)
         first[np.unique(own, return_index=True)[1]] = True
-        prints = pa.array(_prints(sets, similarity), pa.binary()).take(pa.array(own, mask=~first))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size), pa.array(spread), prints], names=["key", "node", "size", "spread", "print"])
+        firsts = pa.array(own, mask=~first)
+        prints = pa.array(_prints(sets, similarity), pa.binary()).take(firsts)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(size), pa.array(spread), prints, part.column(2).take(firsts)], names=["key", "node", "size", "spread", "print", "content"])
 
-    return common.map_texts(texts.select("node", "text"), "text", batch, "key long, node long, size int, spread int, print binary")
+    return common.map_texts(texts.select("node", "text", "content"), "text", batch, "key long, node long, size int, spread int, print binary, content string")
 
 
-PROPOSED = "a long, b long, key long, size int, print binary"
+PROPOSED = "a long, b long, key long, size int, print binary, content string"
 
 
-def _proposed(a, b=None, key=None, size=None, print=None) -> pa.RecordBatch:
+def _proposed(a, b=None, key=None, size=None, print=None, content=None) -> pa.RecordBatch:
     n = len(a)
-    columns = [(a, pa.int64()), (b, pa.int64()), (key, pa.int64()), (size, pa.int32()), (print, pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x) if isinstance(x, np.ndarray) else x for x, t in columns], names=["a", "b", "key", "size", "print"])
+    columns = [(a, pa.int64()), (b, pa.int64()), (key, pa.int64()), (size, pa.int32()), (print, pa.binary()), (content, pa.string())]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x) if isinstance(x, np.ndarray) else x for x, t in columns], names=["a", "b", "key", "size", "print", "content"])
 
 
 def _lists(similarity: float, limit: int):
-    """From a partition sorted by key: the bytes of the texts (a, size, print), pairs of the short lists (a, b), and the
-    members (a, key) of the longer ones and of spread keys.
+    """From a partition sorted by key: facts of the texts (a, size, print, content), pairs of the short lists (a, b), and
+    the members (a, key) of the longer ones and of spread keys.
 
     A long list is handed on as it comes and never held.
     """
@@ -233,7 +244,7 @@ def _lists(similarity: float, limit: int):
         for batch in batches:
             if batch.column(4).null_count < len(batch):
                 some = batch.filter(pc.is_valid(batch.column(4)))
-                yield _proposed(some.column(1), size=some.column(2), print=some.column(4))
+                yield _proposed(some.column(1), size=some.column(2), print=some.column(4), content=some.column(5))
             rows = [batch.column(i).to_numpy() for i in range(4)]
             apart = rows[3] >= 0
             if over is not None:
@@ -274,11 +285,10 @@ def _lists(similarity: float, limit: int):
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """a, b: each member of a long list with the list's hub, the member that stands in most long lists."""
+    """hub, node: the hubs of long lists, which are the members that stand in most of them, with all members of theirs."""
     weighed = members.join(members.groupBy("node").count(), "node")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("count", "node"))["node"].alias("hub"))
-    both = members.join(hubs, "key").where("node <> hub")
-    return both.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return members.join(hubs, "key").select("hub", "node").distinct()
 
 
 def _enough(shared, size_a, size_b, positions, similarity: float):
@@ -288,7 +298,7 @@ def _enough(shared, size_a, size_b, positions, similarity: float):
 
 def _at(print: bytes, own: int, step: int) -> bytes | None:
     """A text's bytes at a step, if it has them; own: the step of the text."""
-    width = int(_positions(own))
+    width = int(_bytes(own))
     if own == step:
         return print[:width]
     return print[width:] if own == step + 1 and len(print) > width else None
@@ -307,7 +317,7 @@ def _tallied(similarity: float):
                 x, y = _at(x, p, k), _at(y, q, k)
                 if x is not None and y is not None:
                     shared[i] = np.count_nonzero(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))
-            good = pa.array(_enough(shared, size_a, size_b, _positions(step), similarity))
+            good = pa.array(_enough(shared, size_a, size_b, _bytes(step), similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     return run
@@ -319,7 +329,12 @@ def _joined(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{n}" for n in "ab" for c in columns))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def _chosen(texts: DataFrame, contents: DataFrame) -> DataFrame:
+    """The texts of some digests; the texts stay where their buckets are."""
+    return texts.join(contents.hint("shuffle_hash"), "content", "left_semi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, facts: DataFrame, words: int, similarity: float) -> DataFrame:
     """u, v of the pairs whose sets of shingles are similar."""
 
     def batch(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -329,7 +344,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, flat)], names=["node", "set"])
 
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
-    chosen = texts.select("node", "text").join(wanted, "node", "left_semi")
+    chosen = _chosen(texts.select("node", "text", "content"), facts.join(wanted, "node").select("content")).select("node", "text")
     # the texts that are left are a small part of all, and so are the tasks
     sets = common.stored(common.map_texts(chosen, "text", batch, T.StructType.fromDDL("node long, set array<long>")).coalesce(common.parts(texts.sparkSession, 8)), "sets")
     both = _joined(pairs, sets, "set")
@@ -337,18 +352,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return both.where(_similar(shared, F.size("set_a"), F.size("set_b"), similarity)).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _tasks(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """task, node, root: the members of each long list that has members of several components.
+def _tasks(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """task, node, root: the members of each group (hub, node) that has members of several components.
 
-    A list of several blocks has a task for each pair of blocks, so that any two members of different components meet;
-    blocks of the largest component don't meet each other. Lists with the same members are one.
+    A group of several blocks has a task for each pair of blocks, so that any two members of different components meet;
+    blocks of the largest component don't meet each other.
     """
-    placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mark = F.xxhash64("node")
-    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("mark"), F.sum(mark.bitwiseAND(0xFFFFFFFF)).alias("marks"))
-    by_key = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), F.bit_xor("mark").alias("mark"), F.sum("marks").alias("marks"))
+    placed = stars.join(roots, "node", "left").select(F.col("hub").alias("key"), "node", F.coalesce("root", "node").alias("root"))
+    by_root = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    by_key = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK_MEMBERS).cast("int")
-    mixed = by_key.where("all > top.n").dropDuplicates(["all", "mark", "marks"])
+    mixed = by_key.where("all > top.n")
     mixed = mixed.select("key", F.col("top.root").alias("largest"), blocks(F.col("all") - F.col("top.n")).alias("rest"), blocks(F.col("top.n")).alias("most"), (F.col("all") <= BLOCK_MEMBERS).alias("one"))
     dealt = placed.join(mixed, "key").withColumn("is_most", F.col("root") == F.col("largest"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_most"), F.col("most")).otherwise(F.col("rest"))).cast("int"))
@@ -371,7 +385,7 @@ def _across(node: np.ndarray, root: np.ndarray, size: np.ndarray, prints: list[b
     for step in np.unique(steps).tolist():
         held = [_at(p, own, step) for p, own in zip(prints, steps.tolist())]
         at = np.array([i for i, x in enumerate(held) if x is not None])
-        width = int(_positions(step))
+        width = int(_bytes(step))
         table = np.frombuffer(b"".join(x for x in held if x is not None), np.uint8).reshape(len(at), width)
         for row in np.flatnonzero(label[at] != most).tolist():
             i = at[row]
@@ -414,40 +428,46 @@ def _compared(similarity: float):
     return run
 
 
-def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """content, least (smallest doc_id of the text) and root of every text: texts of one group have one root."""
+def _grouped(rows: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, text, row. The texts (content, least, text, row of the least doc_id, node) in buckets by content, and
+    content, least and root of each: texts of one group have one root."""
     if not 0.5 < similarity <= 1:
         raise ValueError("a similarity above 0.5: partners must not be more than one step of positions below")
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), content(F.col(f"`{text_col}`")).alias("content"), F.col(f"`{text_col}`").alias("text"))
+    spark = rows.sparkSession
+    known = rows.select(content(F.col("text")).alias("content"), "doc_id", "text", "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id")
+    first = known.groupBy("content").agg(F.min("doc_id").alias("least"), F.min_by(F.struct("text", "row"), order).alias("first"))
     # node numbers are written with the rows, so all that follows reads the same ones
-    first = rows.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    texts = common.stored(first.coalesce(common.parts(spark, 2)).withColumn("node", F.monotonically_increasing_id()), "texts")
+    texts = common.bucketed(first.select("content", "least", "first.text", "first.row").withColumn("node", F.monotonically_increasing_id()), "content", "texts")
     parts = common.parts(spark)
     postings = _postings(texts, words, similarity).repartition(parts, "key", "spread").sortWithinPartitions("key")
     proposed = common.stored(common.map_arrow(postings, _lists(similarity, LIST_LIMIT), PROPOSED).coalesce(common.parts(spark, 4)), "proposed")
-    prints = proposed.where("print is not null").select(F.col("a").alias("node"), "size", "print")
+    facts = proposed.where("print is not null").select(F.col("a").alias("node"), "size", "print", "content")
     members = proposed.where("key is not null").select("key", F.col("a").alias("node"))
     some_long = not members.isEmpty()
     pairs = proposed.where("b is not null").select("a", "b")
-    pairs = (pairs.union(_stars(members)) if some_long else pairs).distinct()
-    left = common.on_disk(common.map_arrow(_joined(pairs, prints, "size", "print"), _tallied(similarity), "a long, b long"))
-    roots = graph.components(_verified(left, texts, words, similarity))
+    stars = common.on_disk(_stars(members)) if some_long else None
+    if some_long:
+        pairs = pairs.union(stars.where("hub <> node").select(F.least("hub", "node"), F.greatest("hub", "node")))
+    left = common.on_disk(common.map_arrow(_joined(pairs.distinct(), facts, "size", "print"), _tallied(similarity), "a long, b long"))
+    roots = graph.components(_verified(left, texts, facts, words, similarity))
     if some_long:
-        whole = _tasks(members, roots).join(prints, "node").select("task", "node", "root", "size", "print")
+        whole = _tasks(stars, roots).join(facts, "node").select("task", "node", "root", "size", "print")
         found = common.map_arrow(whole.repartition(parts, "task").sortWithinPartitions("task"), _compared(similarity), "a long, b long")
         across = common.on_disk(found.distinct())
-        links = _verified(across, texts, words, similarity)
+        links = _verified(across, texts, facts, words, similarity)
         roots = graph.components(links.union(roots.toDF("u", "v")))
         across.unpersist()
+        stars.unpersist()
     left.unpersist()
     common.discard(proposed)
-    return texts.select("content", "least", "node").join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root"))
+    return texts, texts.select("content", "least", "node").join(roots, "node", "left").select("content", "least", F.coalesce("root", "node").alias("root"))
 
 
-def _row_key(content: str, doc_id: str) -> Column:
-    """One key of a text and an id: the digest has a fixed length, and no id is empty."""
-    return F.concat(F.col(content), F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")).cast("binary"))
+def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """content, least (smallest doc_id of the text) and root of every text: texts of one group have one root."""
+    text = F.col(f"`{text_col}`")
+    return _grouped(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.lit(None).cast("string").alias("row")), words, similarity)[1]
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -457,8 +477,10 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]
     i, t = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
-    rows = docs.toDF(*names).withColumn("_content", content(F.col(t)))
+    rest = [n for n in names if n != t]
+    rows = docs.toDF(*names).select(F.col(i).cast("long").alias("doc_id"), F.col(t).alias("text"), F.struct(*rest).alias("row"))
+    texts, labelled = _grouped(rows, words, similarity)
     first = F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content"))
-    kept = groups(docs.toDF(*names), words, similarity, i, t).groupBy("root").agg(first.alias("first")).select("first.content", "first.least")
-    joined = rows.withColumn("_key", _row_key("_content", i)).join(kept.select(_row_key("content", "least").alias("_key")), "_key")
-    return joined.dropDuplicates(["_key"]).select(*names).coalesce(common.parts(docs.sparkSession, 2)).toDF(*docs.columns)
+    kept = labelled.groupBy("root").agg(first.alias("first")).select("first.content")
+    own = _chosen(texts, kept).select(*(F.col("text") if n == t else F.col(f"row.{n}") for n in names))
+    return own.coalesce(common.parts(docs.sparkSession, 2)).toDF(*docs.columns)
