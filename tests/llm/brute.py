@@ -146,6 +146,52 @@ def op9(rows):
     return out
 
 
+def op4(rows):
+    """Tokens of whole texts before and after the query's three edits."""
+    e = rank_encoding()
+    out = []
+    for doc_id, text in rows:
+        t = text or ""
+        n = len(t)
+        pick = zlib.crc32(str(doc_id).encode()) % (n + 1) if doc_id is not None else 0
+        edits = [(pick, 0, " it's new, isn't it? "), (n - min(n, 60), 25, "")]
+        if doc_id is not None:
+            edits.append((n // 2, min(n, 12), f"v{doc_id}"))
+        edited = t
+        for at, cut, put in edits:
+            at = min(at, len(edited))
+            edited = edited[:at] + put + edited[at + cut :]
+        out.append((doc_id, len(e.encode_ordinary(t)), len(e.encode_ordinary(edited))))
+    return out
+
+
+def marginals(evidence, trans):
+    """Marginals of state 1 by forward and backward sums in logarithms, token by token."""
+    n = len(evidence)
+    local = np.c_[np.zeros(n), np.clip(evidence, -30, 30)]
+    forward, backward = local.copy(), np.zeros((n, 2))
+    for t in range(1, n):
+        forward[t] += np.logaddexp(forward[t - 1][0] + trans[0], forward[t - 1][1] + trans[1])
+    for t in range(n - 2, -1, -1):
+        ahead = local[t + 1] + backward[t + 1]
+        backward[t] = np.logaddexp(trans[:, 0] + ahead[0], trans[:, 1] + ahead[1])
+    both = forward + backward
+    return np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1])) if n else np.zeros(0)
+
+
+def op1(rows, field):
+    """Scores by the trained field, text by text."""
+    out = []
+    for doc_id, text in rows:
+        found = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (text or "").translate(LOWER))
+        m = marginals(np.array([field.evidence(w.encode()) for w in found]), field.trans)
+        largest, expected = max(m, default=0.0), sum(x for x in m if x >= 0.05)
+        sure = min(max(largest, 1e-6), 1 - 1e-6)
+        x = np.array([1, np.log(sure / (1 - sure)) / 5, np.log1p(expected)])
+        out.append((doc_id, 1 / (1 + np.exp(-x @ field.document)) if len(field.document) else 0.0))
+    return out
+
+
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 

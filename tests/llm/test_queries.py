@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm import brute
 from tests.llm.test_parts import plain_labels
-from varsift.llm import licenses, queries
+from varsift.llm import licenses, queries, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 DIRS = ["edge", pytest.param("small", marks=pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables"))]
@@ -79,6 +79,20 @@ def test_licenses(spark, folder):
     same([(r.doc_id, r.labels) for r in found], want)
 
 
+def test_token_counts(spark, folder):
+    same(Q["op4"](spark, folder).select("doc_id", "n_tokens", "n_tokens_edited").collect(), brute.op4(docs(spark, folder)))
+
+
+def test_toxicity_scores(spark, folder):
+    """Scores and flags are those of the trained field by forward and backward sums of each whole text."""
+    frames = [spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")]
+    field = toxicity.train(frames[0].select("doc_id", "text"), frames[1], toxicity.held_out())
+    got = sorted(((r.doc_id, r.score) for r in Q["op1"](spark, folder).collect()), key=key)
+    want = sorted(brute.op1(docs(spark, folder), field), key=key)
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-6)
+
+
 def test_toxicity_rows(spark, folder):
     found = Q["op1"](spark, folder).collect()
     assert len(found) == len(docs(spark, folder))

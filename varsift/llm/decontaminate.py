@@ -355,3 +355,28 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
         contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
     )
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: The same by a join on the windows themselves, for each length of window that there is.
+SQL = f"""with items as (
+  select item_id, {_WORDS_SQL} as w from benchmark where item_id is not null and text is not null
+), windows as (
+  select distinct item_id, size, array_to_string(w[a : a + size - 1], ' ') as win
+  from (select *, least(len(w), {WINDOW}) as size, unnest(range(1, greatest(len(w) - {WINDOW}, 0) + 2)) as a from items where len(w) > 0)
+), docs as (
+  select row_number() over () as r, doc_id, {_WORDS_SQL} as w from documents
+), placed as (
+  select r, size, a, array_to_string(w[a : a + size - 1], ' ') as win
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as a from docs cross join (select distinct size from windows))
+), met as (
+  select r, a, item_id, p.size from placed p join windows using (size, win)
+), hit as (
+  select r, count(distinct word) as n_hit from (select r, unnest(range(a, a + size)) as word from (select distinct r, a, size from met)) group by r
+), found as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct r, cast(item_id as varchar) as item from met) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hit using (r) left join found using (r)"""
