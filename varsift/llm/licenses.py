@@ -194,3 +194,38 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
     )
+
+
+def _list(words: list[str]) -> str:
+    return "cast([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "] as varchar[])"
+
+
+def _sql() -> str:
+    """The query in SQL: every block of every text against every template."""
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    phrases = ", ".join(f"('{label}', {_list(p.split())})" for p, label in PHRASES.items())
+    templates = ", ".join(
+        f"('{label}', {_list(ws)}, {_list([w for w in MARKS.get(label, []) if w in ws])}, {length}, {least})" for label, ws, least, length in ordered_templates(TEMPLATES, {}, CONTAINMENT)
+    )
+    return f"""with docs as (
+  select row_number() over () as r, doc_id, {words} as w from documents
+), phrases as (select * from (values {phrases}) as t(label, p)
+), templates as (select * from (values {templates}) as t(label, words, marks, length, least)
+), placed as (
+  select r, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda a: w[a + 1 : a + len(p)] = p)) as a from docs cross join phrases
+), based as (
+  select r, count(*) as n_base, min(a) as first_word, max(a) as last_word, list(distinct label) as base from placed group by r
+), tried as (
+  select r, label, least, len(words) as n, list_max(list_transform(range(0, greatest(1, cast(ceil(len(w) / length) as bigint) - 1)), lambda i:
+    case when list_has_all(w[i * length + 1 : (i + 2) * length], marks) then len(list_intersect(words, list_distinct(w[i * length + 1 : (i + 2) * length]))) else 0 end)) as shared
+  from docs cross join templates
+), matched as (
+  select r, list(distinct label) as more, max(shared / n) as share from tried where shared >= least group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(list_sort(base), ','), '') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') as labels,
+       greatest(case when n_base > 0 then 1.0 else 0.0 end, coalesce(share, 0)) as score
+from docs left join based using (r) left join matched using (r)"""
+
+
+SQL = _sql()

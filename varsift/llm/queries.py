@@ -15,4 +15,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": topk.SQL, "op5_decontaminate": decontaminate.SQL, "op7_url_rules": url_rules.SQL}
+    return {"op3_topk": topk.SQL, "op5_decontaminate": decontaminate.SQL, "op7_url_rules": url_rules.SQL, "op10_licenses": licenses.SQL}
