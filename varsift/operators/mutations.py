@@ -59,8 +59,11 @@ def doubles(df: DataFrame, singles_df: DataFrame | None, ref: str, coding: bool)
 
 
 # Columns of the reports, in order.
-SINGLE = "Pos WT_AA Mut nt_seq aa_seq Nham_nt Nham_aa Nmut_codons STOP STOP_readthrough mean_count fitness sigma".split()
-DOUBLE = "Pos1 Pos2 WT_AA1 WT_AA2 Mut1 Mut2 nt_seq aa_seq Nham_nt Nham_aa Nmut_codons STOP STOP_readthrough mean_count fitness1 sigma1 fitness2 sigma2 fitness_uncorr sigma_uncorr".split()
+SINGLE = ["Pos", "WT_AA", "Mut", "nt_seq", "aa_seq", "Nham_nt", "Nham_aa", "Nmut_codons", "STOP", "STOP_readthrough", "mean_count", "fitness", "sigma"]
+DOUBLE = [
+    "Pos1", "Pos2", "WT_AA1", "WT_AA2", "Mut1", "Mut2", "nt_seq", "aa_seq", "Nham_nt", "Nham_aa", "Nmut_codons", "STOP", "STOP_readthrough", "mean_count",
+    "fitness1", "sigma1", "fitness2", "sigma2", "fitness_uncorr", "sigma_uncorr",
+]
 CODING_ONLY = {"aa_seq", "Nham_aa", "Nmut_codons", "STOP", "STOP_readthrough"}
 
 

@@ -609,6 +609,20 @@ def replicate_corr(spark, sf_dir):
     return report.correlations(estimated(spark, sf_dir), [f"fitness{e}_uncorr" for e in REPS]).select("x", "y", r6("r", "r"))
 
 
+@query(f"with {EST_SQL} select nt_seq, round(var_samp(f), 6) as variance from (" + " union all ".join(f"select nt_seq, fitness{e} as f, fitness1 + fitness2 + fitness3 as whole from est" for e in REPS) + ") where whole is not null group by 1")
+def row_variances(spark, sf_dir):
+    rows = estimated(spark, sf_dir)
+    names = [F.col(f"fitness{e}_uncorr") for e in REPS]
+    return rows.where(sum(names[1:], names[0]).isNotNull()).select("nt_seq", r6(estimates.row_variance(names), "variance"))
+
+
+@query(f"with {VARIANTS_SQL} select nt_seq, length(nt_seq) as n, substr(nt_seq, 1, 1) as first, substr(nt_seq, 30, 1) as last from variants")
+def encoded_sequences(spark, sf_dir):
+    """A sequence as characters, and the same put together again."""
+    rows = _seqs(spark, sf_dir).withColumn("chars", sequence.encode("nt_seq"))
+    return rows.select(sequence.decode("chars").alias("nt_seq"), F.size("chars").cast("bigint").alias("n"), F.get("chars", F.lit(0)).alias("first"), F.element_at("chars", -1).alias("last"))
+
+
 _BIN = "cast(floor(log10(count_e1_s0 + 1.0) / 0.2) as bigint) + 1"
 
 
@@ -707,6 +721,12 @@ def quality_positions(spark, sf_dir):
     return rows.select("sample_id", F.col("position").cast("bigint").alias("position"), "n", r6("mean", "mean"))
 
 
+@query(f"with {EVENTS_SQL}, each as (select sample_id, seq2, unnest(range(1, length(seq2) + 1)) as position from quality) select sample_id, position, substr(seq2, position, 1) as base, count(*) as n from each group by 1, 2, 3")
+def base_counts(spark, sf_dir):
+    rows = reads.base_composition(fixture.event_pairs(spark, sf_dir), "sample_id", "seq2")
+    return rows.select("sample_id", F.col("position").cast("bigint").alias("position"), "base", "n")
+
+
 _CODES = ["ACGT", "CATG", "TTGA", "GCCA"]
 _code_sql = "case " + " ".join(f"when substr(seq1, 1, 4) = '{c}' then 'bc{i}'" for i, c in enumerate(_CODES)) + " end"
 

@@ -8,9 +8,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varsift.operators import counts
+from varsift.operators import counts, reads
 from varsift.plans import fixture
-from varsift.plans.catalogue import _MAP, design, query
+from varsift.plans.catalogue import _MAP, config, design, query
+from varsift.plans.config import parse_threshold, threshold_for
 from varsift.plans.fixture import COUNTS, EVENTS_SQL, READS_SQL, VARIANTS_SQL
 from varsift.sources import counts as count_source
 from varsift.sources import design as design_source
@@ -25,7 +26,7 @@ def side_file(text: str, name: str = "side.txt") -> Path:
 
 
 def values(rows: list[tuple], columns: list[str]) -> str:
-    show = lambda v: "null" if v is None else "'" + v + "'" if isinstance(v, str) else str(v)
+    show = lambda v: "null" if v is None else "'" + v + "'" if isinstance(v, str) else str(v).lower()
     return f"select * from (values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) as t({', '.join(columns)})"
 
 
@@ -124,6 +125,75 @@ def src_barcode_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["new_pair_prefix"], r["barcode1"], r["barcode2"], r["pair1"]) for r in rows], "prefix string, barcode1 string, barcode2 string, pair1 string")
 
 
+@query(values([("generations", True), ("growth", True), ("no growth without times", False), ("no generations", False), ("retained", True)], ["fact", "holds"]))
+def src_design_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a design says about generations and growth, and which replicates a list retains."""
+    whole = design()
+    without = lambda name: design_source.ExperimentDesign([r | {name: None} for r in whole.rows])
+    facts = [
+        ("generations", whole.has_generations()),
+        ("growth", whole.has_growth_data()),
+        ("no growth without times", without("selection_time").has_growth_data()),
+        ("no generations", without("generations").has_generations()),
+        ("retained", whole.retained("3,1") == [1, 3] and whole.retained("all") == [1, 2, 3]),
+    ]
+    return spark.createDataFrame(facts, "fact string, holds boolean")
+
+
+_OPTIONS = [
+    ("coding", {}, "coding", "N" * 30, None, 2),
+    ("a stop inside", {"wildtype_sequence": "ATGTAAGCT"}, "noncoding", "N" * 9, None, 2),
+    ("constant parts", {"wildtype_sequence": "atgGCTgat", "permitted_sequences": "NRy"}, "coding", "NRY", None, 2),
+    ("indels", {"indels": "3, 33", "max_substitutions": 1}, "coding", "N" * 30, "3,33", 1),
+    ("all indels", {"indels": "all", "sequence_type": "noncoding"}, "noncoding", "N" * 30, "", 2),
+]
+
+
+@query(values([(name, kind, permitted, indels, most) for name, _, kind, permitted, indels, most in _OPTIONS], ["name", "kind", "permitted", "indels", "most"]))
+def options_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What follows from options that are given or left out."""
+    rows = []
+    for name, options, *_ in _OPTIONS:
+        c = config(**options)
+        rows.append((name, c.sequence_type_resolved, c.permitted, None if c.indel_lengths is None else ",".join(map(str, c.indel_lengths)), c.max_substitutions))
+    return spark.createDataFrame(rows, "name string, kind string, permitted string, indels string, most int")
+
+
+_BAD = {"wildtype_sequence": "ATGNNN", "permitted_sequences": "NN", "indels": "some", "mutagenesis_type": "odd", "barcode_error_rate": 2, "max_substitutions": 0, "num_cores": 0, "fitness_min_input_count_any": "1:2:3", "sequence_type": "x"}
+
+
+@query(values([(name,) for name in _BAD], ["option"]))
+def options_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options that are out of their ranges are named."""
+    rows = []
+    for name, value in _BAD.items():
+        try:
+            config(**{name: value})
+        except ValueError as e:
+            rows.append((str(e).split()[0],))
+    return spark.createDataFrame(rows, "option string")
+
+
+@query(values([(0, 5, 3), (1, 3, 3), (2, None, 3), (9, None, 3)], ["distance", "listed", "flat"]))
+def thresholds_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds by distance and flat ones."""
+    listed, flat = parse_threshold("0:5, 1:3"), parse_threshold("3")
+    rows = [(d, threshold_for(listed, d), threshold_for(flat, d)) for d in (0, 1, 2, 9)]
+    return spark.createDataFrame(rows, "distance int, listed int, flat int")
+
+
+@query(values([("linked", None, "AAAAAAAAAA;required...TTTTTTTTTT;optional", True), ("short", "AAAAAAAAAA", "TTTTTTTTTT", True), ("cut only", None, None, True), ("nothing", None, None, False)], ["name", "five", "three", "trimmed"]))
+def adapters_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapters of a row: linked where a read is long enough, and whether anything is to be trimmed."""
+    both = {"cutadapt5First": "A" * 10, "cutadapt3First": "T" * 10}
+    given = {"linked": both | {"pair1_length": 100}, "short": both | {"pair1_length": 40}, "cut only": {"cutadaptCut5First": 3}, "nothing": {"pair1_length": 100}}
+    rows = []
+    for name, row in given.items():
+        asked = reads.link_adapters(row, config())
+        rows.append((name, asked.get("cutadapt5First"), asked.get("cutadapt3First"), reads.needs_trimming(asked)))
+    return spark.createDataFrame(rows, "name string, five string, three string, trimmed boolean")
+
+
 @query(values([("acgt",), ("ttt",)], ["sequence"]))
 def src_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in design_source.read_synonyms(side_file(" ACGT \n\nttt\n"))], "sequence string")

@@ -62,6 +62,8 @@ def run_reads(spark: SparkSession, config: RunConfig, design: ExperimentDesign)
         for code, (_, df) in samples.items():
             quality = reads.quality_by_position(df.withColumn("file", F.lit(code)), qual="qual1")
             quality.write.mode("overwrite").parquet(files.uri(project / "2_fastqc" / f"{code}.parquet"))
+            bases = reads.base_composition(df.withColumn("file", F.lit(code)), seq="seq1")
+            bases.write.mode("overwrite").parquet(files.uri(project / "2_fastqc" / f"{code}_bases.parquet"))
         if config.stop_stage < 2:
             return None
     if config.start_stage <= 2:
