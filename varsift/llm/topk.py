@@ -107,6 +107,8 @@ class Best:
         most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
         if most < 2**53:
             return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+        if most >= 2**63:
+            raise OverflowError("vectors of which products may leave 64-bit integers")
         return a @ b.T
 
     def _keep(self, q: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
