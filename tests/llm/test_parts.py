@@ -578,7 +578,7 @@ def test_held_out_accuracy(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, score bigint")
     known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     field = toxicity.train(frame, known, toxicity.held_out())
-    got = toxicity.score(frame.drop("score"), field).join(known, "doc_id").where(toxicity.held_out()).collect()
+    got = toxicity.score(frame, field).join(known, "doc_id").where(toxicity.held_out()).collect()
     assert len(got) > 150 and sum((r.score >= 0.7) == (r.toxic == 1) for r in got) >= 0.98 * len(got)
     for r in got:
         assert [any(b in r.text[a:z] for b in bad) for a, z in zip(r.spans[::2], r.spans[1::2])] == [True] * (len(r.spans) // 2)
@@ -689,3 +689,54 @@ def test_pipeline_on_empty_tables(spark, empty_dir):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+# --- names that clash, texts that are long -----------------------------------------------------------------------------
+
+
+def test_results_take_the_place_of_columns_of_their_names(spark, edge_dir):
+    """Columns of documents that are called like results give way to them, and every name stands once."""
+    clash = ["score", "spans", "SCORE_2", "n_words", "hits", "items", "assign", "access", "hex", "markov", "labels", "base_labels", "n_base", "first_word", "last_word", "row", "plain", "text_2"]
+    frame = docs(spark, ["password: longvalue123 mit license", "", None], **{c: list("abc") for c in clash})
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id bigint, text string")
+    field = toxicity.fit([b"a b c", b"d e f"], [0, 1])
+    for found, results in (
+        (toxicity.score(frame, field), ["score", "spans"]),
+        (decontaminate.find_overlaps(frame, bench), ["n_words", "hits", "items"]),
+        (secrets_scan.scan(frame, secrets_scan.ratios({})), ["assign", "access", "hex", "markov"]),
+        (licenses.scan(frame, licenses.PHRASES, licenses.TEMPLATES), licenses.RESULTS),
+    ):
+        assert sorted(found.columns) == sorted({*frame.columns, *results})
+        kinds = dict(found.dtypes)
+        assert all(kinds[c] != "string" for c in results) and all(kinds[c] == "string" for c in clash if c not in results)
+        assert found.count() == 3
+
+
+@pytest.fixture(scope="module")
+def long_dir(tmp_path_factory):
+    """Two texts of twenty megabytes that are nearly equal, and a short one."""
+    import pyarrow.parquet as pq
+
+    top = tmp_path_factory.mktemp("long")
+    rng = random.Random(1)
+    some = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    big = " ".join(rng.choice(some) for _ in range(3_200_000))
+    pq.write_table(pa.table({"doc_id": pa.array(range(3), pa.int64()), "text": pa.array([big, big[:-5] + "x", "short one"])}), top / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": [" ".join(big.split()[1_000_000:1_000_020])]}), top / "benchmark.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array([2], pa.int64()), "toxic": pa.array([0], pa.int32())}), top / "labels.parquet")
+    return str(top)
+
+
+@pytest.mark.parametrize("name", ["op1_toxicity", "op2_token_store", "op4_token_counts", "op5_decontaminate", "op8_simhash", "op9_byte_bpe"])
+def test_very_long_texts(spark, long_dir, name):
+    """Texts of twenty megabytes are read whole."""
+    from varsift.llm import queries
+
+    found = {r.doc_id: r for r in queries.queries()[name](spark, long_dir).collect()}
+    assert set(found) == {0, 1, 2}
+    if name == "op5_decontaminate":
+        assert (found[0].n_words, found[0].n_hit, found[0].n_items) == (3_200_000, 20, 1)
+    if name == "op8_simhash":
+        assert found[1].component_id == 0 != found[2].component_id
+    if name in ("op2_token_store", "op9_byte_bpe"):
+        assert found[0].n_tokens > 3_200_000

@@ -125,11 +125,21 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Record
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package at hand. The session bounds the rows and the bytes of a batch."""
+    """mapInArrow with the package at hand. The session bounds the rows and the bytes of a batch; see small_batches()."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the bytes of this session's Arrow batches, which both the executor and its Python workers hold: Spark's 64 MB
+    a task are much where memory is scarce. For applications (the queries and the pipeline); the operators leave the
+    session as it is."""
+    spark.conf.set(BATCH_BYTES, most)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def written(df: DataFrame, *done: DataFrame) -> DataFrame:  # edges are short rows: a few files do
-        return common.stored(df.where("u <> v").distinct().coalesce(common.parts(df.sparkSession, 16)), "edges", *done)
+        return common.stored(df.where("u <> v").distinct().coalesce(common.parts(df.sparkSession, 64)), "edges", *done)
 
     edges = written(edges.select("u", "v"))
     before = None

@@ -9,7 +9,7 @@ touches one position, so two texts of n and m shingles at a similarity of s agre
 1. Inverted index. The postings of a text are its first filled positions, each with all 64 bits of its SimHash, one more
    than may differ. Two texts that reach s share one (prefix filter over the filled positions).
 2. Count filter. For every pair that a posting list proposes, the shared positional bytes (the low byte of each SimHash,
-   at FINE times the index's positions, where two shingles seldom meet) are tallied; a pair below the guaranteed minimum,
+   at FINE times the index's positions, where fewer shingles meet) are tallied; a pair below the guaranteed minimum,
    positions less those that may differ, goes.
 3. Verification by the exact intersection of the shingle sets (64-bit hashes).
 
@@ -50,7 +50,7 @@ from varsift.llm.simhash import majority, shingle_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles from which a text is indexed by positions; positions at the first step; positional bytes for each of them.
-SMALL, FIRST_POSITIONS, FINE = 64, 48, 4
+SMALL, FIRST_POSITIONS, FINE = 64, 48, 2
 #: Members up to which a posting list proposes all its pairs.
 LIST_LIMIT = 6
 #: About so many texts are looked at to tell which keys are to be spread; at most so many are.
@@ -325,6 +325,7 @@ def _tallied(similarity: float):
 
 def _joined(pairs: DataFrame, facts: DataFrame, *columns: str) -> DataFrame:
     """Pairs with facts of either node."""
+    facts = facts.select("node", *columns).repartition(common.parts(facts.sparkSession), "node")  # one shuffle for both sides
     side = lambda n: facts.select(F.col("node").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in columns))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *(f"{c}_{n}" for n in "ab" for c in columns))
 
@@ -483,4 +484,4 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     first = F.min(F.struct(F.col("least").isNull().alias("unknown"), "least", "content"))
     kept = labelled.groupBy("root").agg(first.alias("first")).select("first.content")
     own = _chosen(texts, kept).select(*(F.col("text") if n == t else F.col(f"row.{n}") for n in names))
-    return own.coalesce(common.parts(docs.sparkSession, 2)).toDF(*docs.columns)
+    return own.coalesce(common.parts(docs.sparkSession, 4)).toDF(*docs.columns)

@@ -260,7 +260,8 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     grown, grown_bias, grown_trans = np.full(SLOTS, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     sizes = np.array([len(r) for r in rows])
     width = 4
-    table = {w: fs + [SLOTS] * (width - len(fs)) for w, fs in feats.items()}
+    del seen
+    table = {w: feats[w] + [SLOTS] * (width - len(feats[w])) for r in rows for w in r}
     for _ in range(10):
         order = rng.permutation(len(rows))
         for part in np.array_split(order, max(1, len(order) // 256)):
