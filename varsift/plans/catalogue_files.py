@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varsift.operators import counts, reads
-from varsift.plans import fixture
-from varsift.plans.catalogue import _MAP, config, design, query
+from varsift.plans import fixture, outputs
+from varsift.plans.catalogue import _MAP, ERRORS, NORM, config, design, query
 from varsift.plans.config import parse_threshold, threshold_for
 from varsift.plans.fixture import COUNTS, EVENTS_SQL, READS_SQL, VARIANTS_SQL
 from varsift.sources import counts as count_source
@@ -199,6 +199,37 @@ def src_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s,) for s in design_source.read_synonyms(side_file(" ACGT \n\nttt\n"))], "sequence string")
 
 
+# --- sinks ------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {VARIANTS_SQL} select nt_seq, nullif(count_e1_s0, 0) as count_e1_s0, count_e1_s1 from variants")
+def snk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file with nulls as NA, joined from the parts of all tasks and read again."""
+    path = f"{files.scratch(spark, 'text')}/counts.tsv"
+    outputs.write_text(fixture.variants(spark, sf_dir).repartition(3).select("nt_seq", F.nullif("count_e1_s0", F.lit(0)).alias("count_e1_s0"), "count_e1_s1"), path)
+    return spark.read.option("sep", "\t").option("header", True).option("nullValue", "NA").schema("nt_seq string, count_e1_s0 bigint, count_e1_s1 bigint").csv(path)
+
+
+@query(f"with {VARIANTS_SQL} select 'full' as name, count(*) as n from variants")
+def snk_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle of Parquet tables, without those that are empty."""
+    path = f"{files.scratch(spark, 'bundle')}/all.parquet"
+    rows = fixture.variants(spark, sf_dir)
+    written = outputs.write_bundle({"full": rows, "none": rows.limit(0)}, path)
+    return spark.createDataFrame([(n, spark.read.parquet(f"{path.removesuffix('.parquet')}/{n}.parquet").count()) for n in written], "name string, n bigint")
+
+
+@query(values([("errormodel.txt", "input", 1.1), ("errormodel.txt", "output", 1.3), ("normalisationmodel.txt", "scale_2", 1.1)], ["file", "name", "value"]).replace("1.1)", "cast(1.1 as double))").replace("1.3)", "cast(1.3 as double))"))
+def snk_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model tables as text."""
+    folder = files.locate(files.scratch(spark, "models"))
+    outputs.write_models(folder, ERRORS, NORM)
+    read = lambda name: spark.read.option("sep", "\t").option("header", True).option("inferSchema", True).csv(files.uri(folder / name))
+    errors = read("errormodel.txt").where("rep = 1 and parameter <> 'reperror'").select(F.lit("errormodel.txt").alias("file"), F.col("parameter").alias("name"), F.col("mean_value").cast("double").alias("value"))
+    norm = read("normalisationmodel.txt").select(F.lit("normalisationmodel.txt").alias("file"), F.lit("scale_2").alias("name"), F.col("scale_2").cast("double").alias("value"))
+    return errors.union(norm)
+
+
 # --- reads ----------------------------------------------------------------------------------------------------------
 
 _QUAL1 = "case when i % 13 = 0 then '#' || repeat('I', cast(length(seq1) - 1 as int)) else repeat(chr(cast(33 + event_quality as int)), cast(length(seq1) as int)) end"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 from collections.abc import Sequence
 from datetime import date
 from pathlib import Path
@@ -113,20 +114,83 @@ def _scatter(df: DataFrame, x: str, y: str, title: str) -> str:
     return f'<h3>{html.escape(title)}</h3><svg width="300" height="300"><line x1="10" y1="290" x2="290" y2="10" stroke="#999"/>{dots}</svg>'
 
 
+WIDTH, HEIGHT = 460, 220
+COLOURS = ["#4878a8", "#e08a3c", "#5a9e6f", "#c25450", "#8a6fb0", "#8c6d5b", "#cf86b8", "#7f7f7f", "#b5b03a", "#3fa9b5"]
+
+
+def _figure(title: str, body: str, names: Sequence[str] = ()) -> str:
+    """An SVG with a title and a line of names in their colours."""
+    keys = "".join(f'<tspan fill="{COLOURS[i % len(COLOURS)]}" dx="8">{html.escape(str(n))}</tspan>' for i, n in enumerate(names))
+    return f'<h3>{html.escape(title)}</h3><svg width="{WIDTH}" height="{HEIGHT + 30}"><text x="4" y="{HEIGHT + 22}" font-size="11">{keys}</text>{body}</svg>'
+
+
+def stacked_bars(cells: Sequence[tuple[str, str, float]], title: str) -> str:
+    """A bar for each group of (group, part, value), its parts on top of each other."""
+    groups, parts = list(dict.fromkeys(c[0] for c in cells)), list(dict.fromkeys(c[1] for c in cells))
+    top = max((sum(v for g, _, v in cells if g == group) for group in groups), default=0) or 1
+    wide = WIDTH / max(1, len(groups))
+    body = ""
+    for i, group in enumerate(groups):
+        at = HEIGHT - 14.0
+        for g, part, value in cells:
+            if g == group:
+                tall = (HEIGHT - 20) * value / top
+                at -= tall
+                body += f'<rect x="{i * wide + 2:.1f}" y="{at:.1f}" width="{wide - 4:.1f}" height="{tall:.1f}" fill="{COLOURS[parts.index(part) % len(COLOURS)]}"/>'
+        body += f'<text x="{i * wide + 3:.1f}" y="{HEIGHT - 2}" font-size="9">{html.escape(group)}</text>'
+    return _figure(title, body, parts)
+
+
+def step_lines(points: Sequence[tuple[str, float, float]], title: str) -> str:
+    """A line for each name of (name, x, y)."""
+    names = list(dict.fromkeys(p[0] for p in points))
+    most_x, most_y = (max((p[k] for p in points), default=1) or 1 for k in (1, 2))
+    body = ""
+    for i, name in enumerate(names):
+        dots = " ".join(f"{WIDTH * x / most_x:.1f},{HEIGHT - 14 - (HEIGHT - 20) * y / most_y:.1f}" for n, x, y in points if n == name)
+        body += f'<polyline points="{dots}" fill="none" stroke="{COLOURS[i % len(COLOURS)]}"/>'
+    return _figure(title, body, names)
+
+
+def heat_grid(cells: Sequence[tuple[int, int, int]], title: str, bins: int = 40) -> str:
+    """Squares at (column, row, number), darker with the logarithm of the number."""
+    most = math.log1p(max((n for *_, n in cells), default=1))
+    size = (HEIGHT - 14) / (bins + 1)
+    squares = (f'<rect x="{(x - 1) * size:.1f}" y="{HEIGHT - 14 - y * size:.1f}" width="{size:.1f}" height="{size:.1f}" fill="#1f4e79" fill-opacity="{math.log1p(n) / most:.2f}"/>' for x, y, n in cells)
+    return _figure(title, "".join(squares))
+
+
+def _long(rows: DataFrame, group: str, parts: Sequence[str]) -> list[tuple[str, str, float]]:
+    return [(str(r[group]), p, float(r[p] or 0)) for r in rows.collect() for p in parts]
+
+
 def write_report(path: Path, config: RunConfig, stats: DataFrame, variants: DataFrame, fitness: DataFrame, reps: Sequence[int], columns: Sequence[str], reads: DataFrame | None = None, trimmed: DataFrame | None = None) -> None:
     """One page: settings, processing, counts, replicates, model fit, and reads where there are any."""
     parts = [f"<h1>{html.escape(config.project_name)}</h1><p>{date.today().isoformat()}</p>"]
     parts.append("<h2>Settings</h2><table>" + "".join(f"<tr><td>{k}</td><td>{html.escape(v)}</td></tr>" for k, v in config.settings()) + "</table>")
     parts.append(_table(stats_table(stats, columns), "Variants by category (reads)"))
-    parts.append(_table(processing_shares(stats).orderBy("sample", "category", "nham"), "Shares by category"))
-    parts += [_table(count_histogram(variants, c).orderBy("nham", "bin"), f"Counts of {short_name(c)}") for c in columns]
+    shares = processing_shares(stats).orderBy("sample", "category", "nham")
+    parts.append(_table(shares, "Shares by category"))
+    kind = lambda r: r.category if r.nham is None else f"{r.category} {r.nham}"
+    parts.append(stacked_bars([(short_name(r["sample"]), kind(r), r.share or 0.0) for r in shares.collect()], "Shares by category"))
+    for c in columns:
+        bins = count_histogram(variants, c).orderBy("nham", "bin")
+        parts += [_table(bins, f"Counts of {short_name(c)}"), step_lines([(f"{r.nham} changes", float(r.bin), r.density) for r in bins.collect()], f"Density of log counts of {short_name(c)}")]
     parts.append(_table(correlations(variants, list(columns)), "Correlation of counts"))
+    for a, b in zip(columns, columns[1:]):
+        parts.append(heat_grid([tuple(r) for r in density_grid(variants, a, b).collect()], f"{short_name(a)} against {short_name(b)}"))
     names = [f"fitness{e}_uncorr" for e in reps]
     if len(reps) > 1:
         parts.append(_table(correlations(fitness, names), "Correlation of fitness"))
+        for a, b in zip(names, names[1:]):
+            parts.append(heat_grid([tuple(r) for r in density_grid(fitness, a, b).collect()], f"{a.removesuffix('_uncorr')} against {b.removesuffix('_uncorr')}"))
         points = qq_points(fitness, reps).persist()
         parts += [_scatter(points.where(F.col("rep") == e), "expected", "z", f"Replicate {e}: z-scores against the normal distribution") for e in reps]
         points.unpersist()
     parts += [_table(df, title) for df, title in ((reads, "Read filters"), (None if trimmed is None else trim_shares(trimmed), "Trimming")) if df is not None]
+    if reads is not None:
+        parts.append(stacked_bars(_long(reads, "sample_name", [c for c in reads.columns if c not in ("sample_name", "Pairs")]), "Fates of reads"))
+    if trimmed is not None:
+        parts.append(stacked_bars(_long(trim_shares(trimmed), "sample_name", ["pairs_written", "filtered"]), "Trimmed pairs"))
     style = "<style>body{font-family:sans-serif;margin:2em}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:2px 8px}</style>"
     path.write_text(f"<!DOCTYPE html><html><head><meta charset='utf-8'>{style}</head><body>{''.join(parts)}</body></html>")

@@ -6,15 +6,23 @@ Tables always go through Spark; this is for the small files beside them, and for
 from __future__ import annotations
 
 import fnmatch
+import re
+import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
-def locate(path: Path | str) -> Path | Location:
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]+):/(?!/)")
+
+
+def locate(path: Path | Location | str) -> Path | Location:
     """A pathlib path for a local one, a Location for a URI."""
-    return path if isinstance(path, Path | Location) else Location(path) if "://" in str(path) else Path(path)
+    if isinstance(path, Path | Location):
+        return path
+    text = _URI.sub(r"\1:///", str(path), count=1) if _URI.match(str(path)) else str(path)
+    return Location(text) if "://" in text else Path(text)
 
 
 def uri(path: Path | Location | str) -> str:
@@ -77,10 +85,19 @@ def remove(path: Path | Location | str) -> None:
     system.delete(at, True)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if driver and
+    executors are one process, and else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+        found = tempfile.mkdtemp(prefix="varsift-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all executors share: spark.checkpoint.dir, or else the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(shared or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/_varsift/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/varsift/{name}-{uuid.uuid4().hex}"
 
 
 class Location:
