@@ -472,6 +472,34 @@ def test_secret_model_and_mask(spark):
     assert masked[10] is None and masked[11] == ""
 
 
+def test_markov_spans_of_planted_secrets(spark):
+    """Random strings without a keyword are found, long identifiers are left alone; spans are those of a plain walk."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    stems = ["read", "write", "user", "account", "session", "config", "parser", "table", "column", "index", "stream", "buffer", "request", "response", "handler", "manager", "service", "client", "server", "engine", "query", "result", "value", "number", "string", "object"]
+    secret = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(24, 40)))
+
+    def identifier():
+        some = [rng.choice(stems) for _ in range(rng.randint(4, 6))]
+        return rng.choice(["_".join(some), "".join(w.title() for w in some), some[0] + "".join(w.title() for w in some[1:])])
+
+    learnt = [f"password: {secret()} and {identifier()} then {identifier()} with {identifier()}" for _ in range(300)]
+    planted = [(secret() if i % 2 else identifier(), i % 2) for i in range(400)]
+    planted = [(t if len(t) >= 20 else t + "_" + identifier(), y) for t, y in planted]
+    table = secrets_scan.train(docs(spark, learnt))
+    found = {r.doc_id: r.markov for r in secrets_scan.scan(docs(spark, [f"see {t} here" for t, _ in planted]), table).collect()}
+    hit = {i for i, spans in found.items() if spans}
+    secrets, plain = ({i for i, (_, y) in enumerate(planted) if y == k} for k in (1, 0))
+    assert len(hit & secrets) >= 0.9 * len(secrets) and len(hit & plain) <= 0.02 * len(plain)
+
+    def ratio(token):
+        states = [secrets_scan.ALPHABET.index(c) + 1 for c in token if c in secrets_scan.ALPHABET]
+        return sum(round(table[a * secrets_scan.STATES + b], 6) for a, b in zip([0, *states], states))
+
+    for i, (token, _) in enumerate(planted):
+        assert [(s["start"], s["end"]) for s in found[i]] == ([(4, 4 + len(token))] if ratio(token) >= secrets_scan.RATIO else []), token
+
+
 def test_many_spans_in_a_long_text(spark):
     text = " ".join(f"é{i} token={i:010d}" for i in range(1500))
     assert [tuple(r)[:1] + tuple(r)[4:5] for r in [secrets_scan.base_spans(docs(spark, [text]), "text").select("doc_id", "text", "access", "hex", F.size("assign").alias("n")).first()]] == [(0, 1500)]

@@ -14,23 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varsift.shipping import ship
+from varsift.sources.files import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where the session names none, one in its warehouse, which is shared too."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_varsift").rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/varsift/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, *done: DataFrame | None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and any executor can reread it.
 

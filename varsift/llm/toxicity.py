@@ -18,7 +18,8 @@ order of a hash of doc_id, so the driver's work does not grow with the corpus. S
 
 Defined cases: a null or wordless text scores by its lack of evidence alone, near 0; null labels and null doc_ids are
 not learnt from; a doc_id with several labels counts once for each; repeated rows give repeated results; without labelled rows of
-both kinds, or with too few to tell any word, all scores are 0; an empty table gives an empty result; extra columns are
+both kinds all scores are 0; with too few to be certain of any word, the words that lean most are learnt from, and scores
+rank documents but stay below the threshold; an empty table gives an empty result; extra columns are
 kept by score(), but for those that have the name of a result.
 """
 
@@ -47,6 +48,8 @@ ROW = 64
 WINDOW = 24
 MARKED_WINDOWS, NEAR_WINDOWS, RANDOM_WINDOWS = 8, 4, 2
 THRESHOLD = 0.7
+#: Where no word is certain: words that are learnt from, and what a score can reach.
+UNCERTAIN_WORDS, UNCERTAIN_CEILING = 30, 0.69
 CACHED_WORDS = 100_000
 
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -102,6 +105,8 @@ class Field:
     bias: float
     trans: np.ndarray
     document: np.ndarray
+    #: What a score can reach at most.
+    ceiling: float = 1.0
 
     def evidence(self, word: bytes) -> float:
         return float(self.weights[features(word)].sum()) + self.bias
@@ -169,7 +174,7 @@ class Field:
     def score(self, largest: np.ndarray, expected: np.ndarray) -> np.ndarray:
         if not len(self.document):
             return np.zeros(len(largest))
-        return 1 / (1 + np.exp(-np.clip(_document_features(largest, expected) @ self.document, -30, 30)))
+        return self.ceiling / (1 + np.exp(-np.clip(_document_features(largest, expected) @ self.document, -30, 30)))
 
 
 def _document_features(largest: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -244,6 +249,10 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
         return False
 
     marked = {w for w, fs in feats.items() if toxic_word(fs)}
+    certain = bool(marked)
+    if not certain:  # too few labels to be sure of any word: those that lean most, for scores that rank but don't reject
+        lean = sorted(((evidence(seen[1][fs[0]], seen[0][fs[0]]), w) for w, fs in feats.items() if leaning(fs[0])), reverse=True)
+        marked = {w for _, w in lean[:UNCERTAIN_WORDS]}
     near = {w for w, fs in feats.items() if any(leaning(f) for f in fs)}
     # windows: around words that are toxic, words that are like them, and from anywhere
     rows, tags = [], []
@@ -290,8 +299,9 @@ def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     lengths = np.array([len(w) for w in docs])
     known = {w: field.evidence(w) for w in feats}
     x = _document_features(*_summary(field.marginals(np.array([known[w] for words in docs for w in words]), lengths), lengths))
-    if not marked:  # too few labels to tell any word: no evidence against any document
+    if not marked:  # no word leans to toxic documents: no evidence against any
         return field
+    field.ceiling = 1.0 if certain else UNCERTAIN_CEILING
     w, ridge = np.zeros(3), 1 / len(docs)
     each = np.where(label == 1, 0.5 / totals[1], 0.5 / totals[0])
     for _ in range(50):  # Newton steps with a small ridge
