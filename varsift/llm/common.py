@@ -115,9 +115,31 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[pa.RecordBatch], pa.Record
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow with the package at hand. The session bounds the rows and the bytes of a batch; see small_batches()."""
+    """mapInArrow with the package at hand. The session bounds the rows and the bytes of a batch; see small_batches().
+
+    Workers live on between tasks, so each task gives back what it no longer needs.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return free memory to the system: Arrow's pool and, where the C library can, its heap."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
