@@ -212,7 +212,9 @@ def unlike(docs: list[list[bytes]], label: list[int], shingle: int = 4) -> list[
 def fit(texts: list[bytes], toxic: list[int], seed: int = 7) -> Field:
     """A field from labelled documents."""
     rng = np.random.default_rng(seed)
-    docs = [tokens(t) for t in texts]
+    same: dict[bytes, bytes] = {}  # one object for all places of a word
+    docs = [[same.setdefault(w, w) for w in tokens(t)] for t in texts]
+    del same
     kept = unlike(docs, toxic)
     docs, toxic = [docs[i] for i in kept], [toxic[i] for i in kept]
     label = np.array(toxic, int)
