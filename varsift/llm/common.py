@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str, *done: DataFrame | None) -> DataFrame:
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
     """Write df to the shared folder in buckets by a column and read it back: joins by that column move the other side
     alone. There are as many buckets as shuffle partitions, so rows that a shuffle by the column brings are written as
-    they come, a file for each bucket."""
+    they come, a file for each bucket. The table is named in the session's catalog for a moment only."""
     spark = df.sparkSession
     table, path = f"varsift_{name}_{uuid.uuid4().hex}", scratch(spark, name)
     df.write.format("parquet").bucketBy(parts(spark), column).option("path", path).saveAsTable(table)
