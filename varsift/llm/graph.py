@@ -36,13 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     edges has the columns u and v; loops, repeated edges and either direction are allowed.
     """
 
-    def written(df: DataFrame, *done: DataFrame) -> DataFrame:  # edges are short rows: a few files do
-        return common.stored(df.where("u <> v").distinct().coalesce(common.parts(df.sparkSession, 64)), "edges", *done)
+    def written(df: DataFrame, share: int, *done: DataFrame) -> DataFrame:
+        return common.stored(df.where("u <> v").distinct().coalesce(common.parts(df.sparkSession, share)), "edges", *done)
 
-    edges = written(edges.select("u", "v"))
+    # what the edges come from may be much work; from then on they are short rows, for which a few files do
+    edges = written(edges.select("u", "v"), 4)
     before = None
     while True:
-        edges = written(_small_star(_large_star(edges).where("u <> v").distinct()), edges)
+        edges = written(_small_star(_large_star(edges).where("u <> v").distinct()), 64, edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
