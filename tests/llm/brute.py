@@ -188,7 +188,7 @@ def op1(rows, field):
         largest, expected = max(m, default=0.0), sum(x for x in m if x >= 0.05)
         sure = min(max(largest, 1e-6), 1 - 1e-6)
         x = np.array([1, np.log(sure / (1 - sure)) / 5, np.log1p(expected)])
-        out.append((doc_id, 1 / (1 + np.exp(-x @ field.document)) if len(field.document) else 0.0))
+        out.append((doc_id, field.ceiling / (1 + np.exp(-x @ field.document)) if len(field.document) else 0.0))
     return out
 
 
