@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from varsift.llm import bpe, common, decontaminate, near_copies, secrets_scan, toxicity
 
 
+def _begin(spark: SparkSession) -> None:
+    """Each stage finds small Arrow batches and executors that hold nothing of the stage before."""
+    common.small_batches(spark)
+    common.give_back_heap(spark)
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
-    common.small_batches(spark)
+    _begin(spark)
     return toxicity.remove_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with five-word similarity of 0.8 or more, the one of the smallest doc_id stays."""
-    common.small_batches(spark)
+    _begin(spark)
     return near_copies.keep_one(docs)
 
 
@@ -34,20 +40,20 @@ def _with_length(docs: DataFrame) -> DataFrame:
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go; from the others, every passage of a
     window or of a whole shorter item is cut."""
-    common.small_batches(spark)
+    _begin(spark)
     bench = common.table(spark, sf_dir, "benchmark")
     return _with_length(decontaminate.strip_spans(docs, bench, drop_contaminated=True))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the texts."""
-    common.small_batches(spark)
+    _begin(spark)
     return _with_length(secrets_scan.mask(docs, secrets_scan.train(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, with the byte offsets at which tokens end, and the bytes that the ids decode to."""
-    common.small_batches(spark)
+    _begin(spark)
     done = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "offsets", "decoded")
 
