@@ -46,3 +46,8 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows(got, df.columns) == rows(result.fetchall(), columns)
+
+
+def test_names_are_not_those_of_corpus_operators():
+    """Names that begin with "op" are the corpus operators'; they tell whether those are installed."""
+    assert not [name for name in {**catalogue.queries(), **catalogue.oracle_sql()} if name.startswith("op")]

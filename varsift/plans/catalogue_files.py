@@ -150,7 +150,7 @@ _OPTIONS = [
 
 
 @query(values([(name, kind, permitted, indels, most) for name, _, kind, permitted, indels, most in _OPTIONS], ["name", "kind", "permitted", "indels", "most"]))
-def options_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolved_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What follows from options that are given or left out."""
     rows = []
     for name, options, *_ in _OPTIONS:
@@ -163,7 +163,7 @@ _BAD = {"wildtype_sequence": "ATGNNN", "permitted_sequences": "NN", "indels": "s
 
 
 @query(values([(name,) for name in _BAD], ["option"]))
-def options_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def refused_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options that are out of their ranges are named."""
     rows = []
     for name, value in _BAD.items():
