@@ -156,8 +156,8 @@ def give_back_heap(spark: SparkSession) -> None:
     """Have the executors' JVMs collect all garbage, after which they return free heap to the system. By themselves they
     keep whatever an earlier stage touched, and the Python workers of the next one need memory beside it.
 
-    Tasks are dealt to idle executors in turn, so one for each core reaches all. For applications between their stages,
-    like small_batches(); where explicit collections are turned off, nothing happens.
+    Tasks are dealt to idle executors in turn, so one for each core reaches all. For moments between steps that write whole
+    tables; where explicit collections are turned off, nothing happens.
     """
     context = spark.sparkContext
     tasks = max(context.defaultParallelism, context._jsc.sc().getExecutorMemoryStatus().size())
